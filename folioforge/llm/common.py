@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches: rows hold whole texts, so the default of 10,000 rows is no bound on memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folioforge/{name}-{uuid.uuid4().hex}"
 
