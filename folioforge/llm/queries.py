@@ -34,5 +34,21 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op8_minhash_near_dedup, op10_substring_dedup)}
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vecdup import similar_vectors
+
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import new_path
+    from .warc import read_warc, write_warc
+
+    path = new_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    out = read_warc(spark, path, with_payload=False)
+    return out.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op3_embedding_near_dedup, op8_minhash_near_dedup, op9_warc_round_trip, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
