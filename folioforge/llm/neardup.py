@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 from .components import components
 
 #: Hashes kept for each document.
@@ -90,6 +90,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gives an empty result; other columns are ignored.
     """
     t = num / den
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sk = written(shingle_rows(docs, size, K, full=False), "sketches")
     classes = sk.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("cls"))
@@ -108,24 +109,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = flat.join(flat.groupBy("v").agg(F.count("*").alias("df")), "v")
     per = rows.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.avg("df").alias("mean_df"))
     prefix = (F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1).cast("int")
-    hot_lists = per.select("id", "n", "mean_df", F.explode(F.slice("vs", F.lit(1), prefix)).alias("x"))
-    hot_lists = written(hot_lists.select("id", "n", "mean_df", "x.v"), "hotlists")
+    hot_lists = per.select("id", "n", "mean_df", F.posexplode(F.slice("vs", F.lit(1), prefix)).alias("rank", "x"))
+    hot_lists = written(hot_lists.select("id", "n", "mean_df", "rank", "x.v"), "hotlists")
     length = hot_lists.groupBy("v").agg(F.count("*").alias("m"), F.max_by("id", F.struct("mean_df", -F.col("id"))).alias("hub")).where("m > 1")
     hot_lists = hot_lists.join(length, "v")
     short = hot_lists.where(F.col("m") <= LIST)
     long_ = hot_lists.where(F.col("m") > LIST)
     spokes = long_.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    pairs = written(pairs.union(_list_pairs(short, t)).union(spokes).distinct(), "pairs")
+    pairs = written(pairs.union(_list_pairs(short, t, ranked=True)).union(spokes).distinct(), "pairs")
 
     links = written(_verified(pairs, reps, docs, size, num, den, t), "links")
     comp = components(links)
-    left = long_.select("v", "id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("c"))
-    left = written(left, "left")
+    left = long_.select("v", "id", "n", "rank").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    left = written(left.select("v", "id", "n", "rank", F.coalesce("component", "id").alias("c")), "left")
     sizes = left.groupBy("v", "c").agg(F.count("*").alias("w"))
     main = sizes.groupBy("v").agg(F.max_by("c", F.struct("w", "c")).alias("main"), F.count("*").alias("cs")).where("cs > 1")
-    minor = left.join(main, "v").where("c <> main").select("v", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"))
-    rest = minor.join(left, "v").where((F.col("ci") != F.col("c")) & (F.least("n", "ni") * den >= F.greatest("n", "ni") * num))
-    rest = rest.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    minor = left.join(main, "v").where("c <> main").select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("c").alias("ca"))
+    others = left.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("c").alias("cb"))
+    rest = minor.join(others, "v").where((F.col("ca") != F.col("cb")) & _reach(t))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     if not rest.isEmpty():
         more = _verified(rest, reps, docs, size, num, den, t)
@@ -139,12 +141,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _list_pairs(lists: DataFrame, t: float) -> DataFrame:
-    """Pairs of ids on the same list, sizes within the threshold; lists here have a bounded length."""
-    l = lists.select("v", F.col("id").alias("a"), F.col("n").alias("na"))
-    r = lists.select("v", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9
-    return l.join(r, "v").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+def _reach(t: float):
+    """Whether sets of na and nb hashes that first share the hashes at ranks ra and rb can reach t.
+
+    Of a pair that reaches t, the row of its first shared hash always passes, so none is lost.
+    """
+    after = 1 + F.least(F.col("na") - F.col("ra") - 1, F.col("nb") - F.col("rb") - 1)
+    return (F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-9) & (after >= (F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-9)
+
+
+def _list_pairs(lists: DataFrame, t: float, ranked: bool = False) -> DataFrame:
+    """Pairs of ids on the same list that their sizes (and ranks) allow; lists have a bounded length."""
+    rank = F.col("rank") if ranked else F.lit(0)
+    l = lists.select("v", F.col("id").alias("a"), F.col("n").alias("na"), rank.alias("ra"))
+    r = lists.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), rank.alias("rb"))
+    return l.join(r, "v").where((F.col("a") < F.col("b")) & _reach(t)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, num: int, den: int, t: float) -> DataFrame:

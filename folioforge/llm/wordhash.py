@@ -8,9 +8,9 @@ import numpy as np
 import xxhash
 
 #: Words held in one block of documents; bounds the memory of the vectorised steps.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 100_000
 #: Distinct words remembered between blocks.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
