@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii, listed
+
+    out = find_pii(table(spark, sf_dir, "documents"))
+    counts = ["n_email", "n_ip", "n_card", "n_phone"]
+    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -50,5 +64,5 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op3_embedding_near_dedup, op8_minhash_near_dedup, op9_warc_round_trip, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op3_embedding_near_dedup, op6_pii_spans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_warc_round_trip, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
