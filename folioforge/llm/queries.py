@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_on, scored
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = fit_on(docs, labels.where(~held_out), "doc_id", "text", "toxic")
+    out = scored(docs, model, keep=("doc_id",))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def byte_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencount import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii, listed
 
@@ -64,5 +86,5 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op3_embedding_near_dedup, op6_pii_spans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_warc_round_trip, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op3_embedding_near_dedup, op4_toxicity, op5_token_counts, op6_pii_spans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_warc_round_trip, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
