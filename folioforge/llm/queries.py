@@ -50,6 +50,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrdup import remove_repeats
 
@@ -86,5 +92,5 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op3_embedding_near_dedup, op4_toxicity, op5_token_counts, op6_pii_spans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_warc_round_trip, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe_encode_decode, op3_embedding_near_dedup, op4_toxicity, op5_token_counts, op6_pii_spans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_warc_round_trip, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
