@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def held_out():
+    """Rows whose labels no model may learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame) -> dict | None:
+    from .toxicity import fit_on
+
+    return fit_on(docs, labels.where(~held_out()), "doc_id", "text", "toxic")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import fit_on, scored
+    from .toxicity import scored
 
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    model = fit_on(docs, labels.where(~held_out), "doc_id", "text", "toxic")
-    out = scored(docs, model, keep=("doc_id",))
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    docs = table(spark, sf_dir, "documents")
+    out = scored(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), keep=("doc_id",))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def byte_vocabulary() -> str:

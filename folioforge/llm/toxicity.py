@@ -163,9 +163,11 @@ def scored(df: DataFrame, model: dict | None, text_col: str = "text", keep: tupl
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    own = df.select(F.col(text_col).alias("_text"), *keep)
+    kept = text_col in keep
+    own = df.select(*keep) if kept else df.select(*keep, text_col)
     if model is None:
-        return own.select(*keep, F.lit(0.0).alias("score"))
+        return own.select(*keep).withColumn("score", F.lit(0.0))
+    at = own.columns.index(text_col)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -177,11 +179,11 @@ def scored(df: DataFrame, model: dict | None, text_col: str = "text", keep: tupl
         m = shared.value
         a, b = _compressor(m["ordinary"]), _compressor(m["toxic"])
         for batch in batches:
-            x = [_features(margins(a, b, t), m["thresholds"]) for t in text_bytes(batch.column(0))]
+            x = [_features(margins(a, b, t), m["thresholds"]) for t in text_bytes(batch.column(at))]
             if not x:
                 continue
             z = np.c_[(np.array(x) - m["mean"]) / m["scale"], np.ones(len(x))] @ m["weights"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*keep, "score"])
 
-    schema = own.drop("_text").withColumn("score", F.lit(0.0)).schema
+    schema = own.select(*keep).withColumn("score", F.lit(0.0)).schema
     return own.mapInArrow(run, schema)
