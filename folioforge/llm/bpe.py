@@ -8,11 +8,15 @@ Decoding joins ids to their pieces: the piece table has one row per vocabulary e
 is bounded by the vocabulary file and it is broadcast.
 
 Words and numbers travel as packed columns (one row for a block and bucket), which keeps the
-shuffle well below the size of the texts.
+shuffle well below the size of the texts. The texts are read twice, for the words and for the
+numbers; a block is named by a hash of its rows, so that both readings agree on it and a task that
+is run again gives the same rows. Input that a shuffle, sort or limit makes is written first.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ from .common import bounded_batches, written
 
 #: Words held in one block; a number then fits three bytes.
 BLOCK = 4_000_000
+#: Words whose numbers are packed into one row.
+PACK = 400_000
 _SEEN: dict = {}
 
 
@@ -39,11 +45,12 @@ def _tokenizer(text: str):
     return _SEEN[key]
 
 
-def _packed(numbers, squeeze) -> bytes:
+def _planes(numbers) -> bytes:
+    """Numbers below 2**24 as all their low bytes, then the middle and the high ones."""
     import numpy as np
 
     x = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return squeeze(np.ascontiguousarray(x[:, :3].T).tobytes())
+    return np.ascontiguousarray(x[:, :3].T).tobytes()
 
 
 def _unpacked(blob: bytes):
@@ -77,9 +84,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def numbered(batches):
-        import uuid
-
+    def numbered(batches, words_only):
         import numpy as np
         import pyarrow as pa
         import xxhash
@@ -87,27 +92,38 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
         from .wordhash import text_bytes
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=6).compress
 
         def block(ids, codes, numbers):
-            words = list(numbers)
+            words, flat = list(numbers), np.concatenate(codes)
+            h = xxhash.xxh3_64(flat.tobytes())
+            h.update(b"\n".join(words))
+            h.update(repr(ids).encode())
+            blk = h.intdigest() >> 1
             bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
-            flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
             order = np.lexsort((-np.bincount(flat, minlength=len(words)), bucket))
             start = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            if words_only:
+                for b in range(buckets):
+                    own = order[start[b] : start[b + 1]]
+                    if len(own):
+                        yield blk, b, None, squeeze(b"\n".join([words[i] for i in own]))
+                return
             code = np.empty(len(words), np.uint32)
             code[order] = (np.arange(len(words)) - start[bucket[order]]) * buckets + bucket[order]
-            blk = uuid.uuid4().int >> 65
-            for b in range(buckets):
-                own = order[start[b] : start[b + 1]]
-                if len(own):
-                    yield blk, b, None, squeeze(b"\n".join([words[i] for i in own]))
-            for i, c in zip(ids, codes, strict=True):
-                yield blk, None, i, _packed(code[c], squeeze)
+            first, held = 0, 0
+            for k, c in enumerate(codes):
+                held += len(c)
+                if held >= PACK or k + 1 == len(codes):
+                    own = codes[first : k + 1]
+                    yield blk, None, (ids[first : k + 1], [len(x) for x in own]), squeeze(_planes(code[np.concatenate(own)]))
+                    first, held = k + 1, 0
 
         def batch_of(rows):
-            blk, b, i, blob = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(blk, pa.int64()), pa.array(b, pa.int32()), pa.array(i, pa.int64()), pa.array(blob, pa.binary())], names=["blk", "bucket", "id", "blob"])
+            blk, b, own, blob = zip(*rows, strict=True)
+            ids, sizes = zip(*(x or (None, None) for x in own), strict=True)
+            cols = [pa.array(blk, pa.int64()), pa.array(b, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(blob, pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["blk", "bucket", "ids", "sizes", "blob"])
 
         def out(ids, codes, numbers):
             held, size = [], 0
@@ -139,7 +155,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         import zstandard
 
         tokenizer = _tokenizer(spec.value)
-        squeeze, open_ = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        squeeze, open_ = zstandard.ZstdCompressor(level=6).compress, zstandard.ZstdDecompressor().decompress
         many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         known, now = {}, None
         for batch in batches:
@@ -153,7 +169,8 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                     known[w] = np.array(e.ids, "<u4").tobytes()
                 found = [known[w] for w in words]
                 sizes = np.fromiter((len(x) // 4 for x in found), np.uint32, len(found))
-                blobs.append(squeeze(np.uint32(len(found)).tobytes() + sizes.tobytes() + b"".join(found)))
+                ids = np.frombuffer(b"".join(found), "<u4")
+                blobs.append(squeeze(np.uint32(len(found)).tobytes() + _planes(sizes) + _planes(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["blk", "bucket", "blob"])
 
     def restored(batches):
@@ -182,28 +199,31 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             rows, held = [], 0
-            for blk, b, i, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for blk, b, own, sizes_, blob in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if blk != now:
                     now, parts, table = blk, [], None
                 raw = open_(blob)
                 if b is not None:
                     n = int(np.frombuffer(raw, "<u4", 1)[0])
-                    parts.append((b, np.frombuffer(raw, "<u4", n, 4).astype(np.int64), np.frombuffer(raw, "<u4", -1, 4 + 4 * n)))
+                    parts.append((b, _unpacked(raw[4 : 4 + 3 * n]).astype(np.int64), _unpacked(raw[4 + 3 * n :])))
                     continue
                 table = table or joined()
                 start, size, text, flat = table
-                codes = _unpacked(raw)
-                sizes = size[codes]
-                total = int(sizes.sum())
-                ids = flat[np.repeat(start[codes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
-                words = [text[c] for c in codes.tolist()]
-                if total and not sizes.all():
-                    words = [w for w in words if w]
-                rows.append((i, total, ids.astype("<u4").tobytes(), " ".join(words) if total else ""))
-                held += total
-                if held > 2_000_000:
-                    yield _result(rows)
-                    rows, held = [], 0
+                flat_codes, at = _unpacked(raw), 0
+                for i, n in zip(own, sizes_, strict=True):
+                    codes = flat_codes[at : at + n]
+                    at += n
+                    sizes = size[codes]
+                    total = int(sizes.sum())
+                    ids = flat[np.repeat(start[codes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
+                    words = [text[c] for c in codes.tolist()]
+                    if total and not sizes.all():
+                        words = [w for w in words if w]
+                    rows.append((i, total, ids.astype("<u4").tobytes(), " ".join(words) if total else ""))
+                    held += total
+                    if held > 500_000:
+                        yield _result(rows)
+                        rows, held = [], 0
             if rows:
                 yield _result(rows)
 
@@ -213,10 +233,13 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "n_tokens", "ids", "decoded"])
 
-    table = written(docs.mapInArrow(numbered, "blk long, bucket int, id long, blob binary"), "bpe")
-    words = table.where("bucket is not null").select("blk", "bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
-    words = words.mapInArrow(encoded, "blk long, bucket int, blob binary").select("blk", "bucket", F.lit(None).cast("long").alias("id"), "blob")
-    both = words.union(table.where("bucket is null")).repartition("blk").sortWithinPartitions("blk", F.col("bucket").asc_nulls_last())
+    if re.search(r"Join|Aggregate|Sort|Limit|Repartition|Window|Sample|Distinct|Union|MapIn", df._jdf.queryExecution().optimizedPlan().toString()):
+        docs = written(docs, "texts")
+    packed = "blk long, bucket int, ids array<long>, sizes array<int>, blob binary"
+    words = docs.mapInArrow(lambda batches: numbered(batches, True), packed).select("blk", "bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
+    words = words.mapInArrow(encoded, "blk long, bucket int, blob binary").select("blk", "bucket", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("sizes"), "blob")
+    texts = docs.mapInArrow(lambda batches: numbered(batches, False), packed)
+    both = words.union(texts).repartition("blk").sortWithinPartitions("blk", F.col("bucket").asc_nulls_last())
     return both.mapInArrow(restored, "id long, n_tokens long, ids binary, decoded string").withColumnRenamed("id", id_col)
 
 
