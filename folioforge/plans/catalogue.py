@@ -1,6 +1,8 @@
-"""Named queries over the sample tables and the DuckDB SQL that has the same rows."""
+"""Named queries over the sample tables, each with DuckDB SQL for the same rows where SQL can say it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import evaluation, names, structure, text
+
+QUERIES = text.QUERIES | structure.QUERIES | evaluation.QUERIES | names.QUERIES
+ORACLES = text.ORACLES | structure.ORACLES | evaluation.ORACLES | names.ORACLES
