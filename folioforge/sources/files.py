@@ -25,6 +25,11 @@ def listed(spark: SparkSession, path: str, recursive: bool = False, with_content
     return rows
 
 
+def first_files(files: DataFrame, most: int = 100) -> DataFrame:
+    """The first ``most`` files by path: the limit of one run is the feature."""
+    return files.orderBy("path").limit(most)
+
+
 def docx_markdown(content: bytes) -> str:
     """Paragraphs and tables of a Word file in order, headings as Markdown."""
     import io
@@ -102,3 +107,14 @@ def library_json(spark: SparkSession, items_path: str, children_path: str) -> tu
     kid = spark.read.schema("ord long, parent string, key string, url string, data struct<itemType:string,contentType:string,note:string>").json(children_path)
     items = item.select("ord", F.col("key").alias("item_key"), F.coalesce("data.title", F.lit("")).alias("title"), F.coalesce("data.date", F.lit("")).alias("date"), F.coalesce("data.creators.lastName", F.array().cast("array<string>")).alias("creators"))
     return items, kid.select(F.col("parent").alias("item_key"), "ord", F.col("data.itemType").alias("item_type"), F.col("data.contentType").alias("content_type"), F.coalesce("data.note", F.lit("")).alias("note"), F.coalesce("url", F.lit("")).alias("file_url"))
+
+
+def library_collections(spark: SparkSession, path: str) -> DataFrame:
+    """(key, name) of the collections in JSON pages of a reference manager, by name without case."""
+    c = spark.read.schema("key string, data struct<name:string>").json(path)
+    return c.select("key", F.coalesce("data.name", F.lit("")).alias("name")).orderBy(F.lower("name"), "key")
+
+
+def find_collection(collections: DataFrame, name: str) -> DataFrame:
+    """The collection of a name, compared without case; no row if there is none."""
+    return collections.where(F.lower("name") == name.strip().lower()).orderBy("key").limit(1)

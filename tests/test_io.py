@@ -87,6 +87,16 @@ def test_library_json(spark, tmp_path):
     assert (r.item_key, r.pdf_path, r.authors, r.year, r.already_parsed) == ("K", "/x/a.pdf", "Ann", 1999, True)
 
 
+def test_collections(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"key":"2","data":{"name":"beta"}}\n{"key":"1","data":{"name":"Alpha"}}\n{"key":"3"}')
+    c = files.library_collections(spark, str(tmp_path / "c.json"))
+    assert [r.name for r in c.collect()] == ["", "Alpha", "beta"]
+    assert files.find_collection(c, " ALPHA ").first().key == "1" and files.find_collection(c, "x").count() == 0
+    for n in ("b.md", "a.md", "c.md"):
+        (tmp_path / n).write_text(n)
+    assert [r.filename for r in files.first_files(files.listed(spark, str(tmp_path)), 2).collect()] == ["a.md", "b.md"]
+
+
 def test_stream(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     one = spark.createDataFrame([(1, "a b c", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
