@@ -78,7 +78,7 @@ def with_cost(runs: DataFrame, model: str = "model", prompt: str = "prompt_text"
     rows = runs.join(F.broadcast(price_table(runs.sparkSession).withColumnRenamed("model", "_m")), F.col(model) == F.col("_m"), "left").drop("_m")
     million = lambda c: n_words(c) * F.lit(1.3) / F.lit(1e6)
     cost = million(prompt) * F.coalesce("price_in", F.lit(OTHER_PRICE[0])) + million(output) * F.coalesce("price_out", F.lit(OTHER_PRICE[1])) + F.col(pages) * F.lit(PAGE_PRICE)
-    return rows.withColumn("cost_usd", F.round(cost, 6)).drop("price_in", "price_out")
+    return rows.withColumn("cost_usd", F.floor(cost * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).drop("price_in", "price_out")
 
 
 def run_matrix(cases: DataFrame, providers: list, models: list, variants: list) -> DataFrame:

@@ -68,7 +68,7 @@ def duck_nwords(c: str) -> str:
 
 
 DUCK_COSTS = f"""{DUCK_MATRIX}, w AS (SELECT doc_id AS case_id, {duck_nwords('text')} AS n, {duck_nwords('substr(text, 1, 2000)')} AS m FROM documents),
-costs AS (SELECT case_id, ord, round(CAST((m + n) * 1.3e0 / 1e6 * CASE model WHEN 'mistral-large-latest' THEN 2.0e0 WHEN 'qwen-plus' THEN 0.39e0 ELSE 1.0e0 END + n * 1.3e0 / 1e6 * CASE model WHEN 'mistral-large-latest' THEN 6.0e0 WHEN 'qwen-plus' THEN 1.57e0 ELSE 3.0e0 END + 0.001e0 AS DOUBLE), 6) AS cost_usd FROM matrix JOIN w USING (case_id))"""
+costs AS (SELECT case_id, ord, floor(CAST((m + n) * 1.3e0 / 1e6 * CASE model WHEN 'mistral-large-latest' THEN 2.0e0 WHEN 'qwen-plus' THEN 0.39e0 ELSE 1.0e0 END + n * 1.3e0 / 1e6 * CASE model WHEN 'mistral-large-latest' THEN 6.0e0 WHEN 'qwen-plus' THEN 1.57e0 ELSE 3.0e0 END + 0.001e0 AS DOUBLE) * 1e6 + 0.5e0) / 1e6 AS cost_usd FROM matrix JOIN w USING (case_id))"""
 
 
 @query(f"WITH {DUCK_COSTS} SELECT * FROM costs")
