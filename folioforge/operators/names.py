@@ -11,29 +11,33 @@ from ..functions.strings import file_url_path
 def unique_names(df: DataFrame, stem: str, order: str, group: str) -> DataFrame:
     """Adds name: the stem, or the first free of stem_2, stem_3, ... among all names of the group.
 
-    Rows are named in ``order`` within ``group`` (a target folder). The rule depends on every name
-    given before, so a group is folded by one task over Arrow batches; only its used names are held.
+    Rows are named in ``order`` within ``group`` (a target folder). A name only meets names of the
+    same root (the stem without trailing _numbers), so rows are dealt by group and root, and each
+    root is folded in order over Arrow batches; only its used names are held.
     """
     schema = df.withColumn("name", F.lit("")).schema
+    root = "_root_of_name"
 
     def named(batches):
         import pyarrow as pa
 
         used, now, following = set(), object(), {}
         for batch in batches:
-            groups, stems, out = batch.column(group).to_pylist(), batch.column(stem).to_pylist(), []
-            for g, s in zip(groups, stems, strict=True):
-                if g != now:
-                    used, now, following = set(), g, {}
+            keys = zip(batch.column(group).to_pylist(), batch.column(root).to_pylist(), strict=True)
+            out = []
+            for key, s in zip(keys, batch.column(stem).to_pylist(), strict=True):
+                if key != now:
+                    used, now, following = set(), key, {}
                 name, k = s, following.get(s, 2)
                 while name in used:
                     name, k = f"{s}_{k}", k + 1
                 following[s] = k
                 used.add(name)
                 out.append(name)
-            yield batch.append_column("name", pa.array(out, pa.string()))
+            yield batch.drop_columns([root]).append_column("name", pa.array(out, pa.string()))
 
-    return df.repartition(group).sortWithinPartitions(group, order).mapInArrow(named, schema)
+    rows = df.withColumn(root, F.regexp_replace(stem, r"(_[0-9]+)+$", ""))
+    return rows.repartition(group, root).sortWithinPartitions(group, root, order).mapInArrow(named, schema)
 
 
 def first_of(df: DataFrame, keys: list, order) -> DataFrame:
