@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import file_url_path
+from ..session import reachable
 
 
 def unique_names(df: DataFrame, stem: str, order: str, group: str) -> DataFrame:
@@ -15,6 +16,7 @@ def unique_names(df: DataFrame, stem: str, order: str, group: str) -> DataFrame:
     same root (the stem without trailing _numbers), so rows are dealt by group and root, and each
     root is folded in order over Arrow batches; only its used names are held.
     """
+    reachable(df.sparkSession)
     schema = df.withColumn("name", F.lit("")).schema
     root = "_root_of_name"
 

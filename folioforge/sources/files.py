@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.pytext import sub
 from ..functions.strings import document_format
 from ..operators.lines import PAGE_BREAK, gathered
+from ..session import reachable
 from .providers import OcrProvider, ocr_pages
 
 #: Suffixes that are taken.
@@ -86,6 +87,7 @@ def documents(files: DataFrame, ocr: OcrProvider | None = None) -> DataFrame:
                     errors.append(str(e) or repr(e))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "filename", "format", "text", "error"])
 
+    reachable(files.sparkSession)
     no_error = F.lit(None).cast("string").alias("error")
     plain = files.where("format = 'md'").select("path", "filename", "format", sub(F.decode("content", "UTF-8"), r"^\x{feff}").alias("text"), no_error)
     docx = files.where("format = 'docx'").select("path", "filename", "format", "content").mapInArrow(word, "path string, filename string, format string, text string, error string")

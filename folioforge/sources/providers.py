@@ -16,6 +16,8 @@ from functools import wraps
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 
 class ProviderError(RuntimeError):
     """A provider that gave up."""
@@ -129,6 +131,7 @@ def ocr_pages(files: DataFrame, provider: OcrProvider, key: str = "path", attemp
                 kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[key, "page_no", "text", "error"])
 
+    reachable(files.sparkSession)
     return files.select(F.col(key).cast("string").alias(key), "filename", "content").mapInArrow(run, f"{key} string, page_no int, text string, error string")
 
 
@@ -151,6 +154,7 @@ def chat_json(prompts: DataFrame, provider: ChatProvider, schema: str, key: str
                     errors.append(str(e))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(errors, pa.string())], names=[key, "reply", "error"])
 
+    reachable(prompts.sparkSession)
     done = prompts.select(key, "system", "user").mapInArrow(run, f"{key} {kind}, reply string, error string")
     return done.withColumn("reply", F.from_json("reply", schema))
 

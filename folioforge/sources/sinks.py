@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 
 def collisions(files: DataFrame) -> DataFrame:
     """(rel_path, n): paths that more than one row would write."""
@@ -47,6 +49,7 @@ def write_vault(files: DataFrame, root: str, folders: tuple = ("notes",)) -> Non
                 out.write((r["content"] or "").encode())
             store.move(part, path)
 
+    reachable(files.sparkSession)
     files.select("rel_path", "content").foreachPartition(put)
 
 
@@ -70,6 +73,7 @@ def zipped(files: DataFrame, folders: tuple = ("notes",)) -> DataFrame:
                 z.writestr(zipfile.ZipInfo(_safe(path)), content or "", zipfile.ZIP_DEFLATED)
         return pa.table({"folder": [top], "archive": [buf.getvalue()]})
 
+    reachable(files.sparkSession)
     own = files.select(F.substring_index("rel_path", "/", 1).alias("folder"), "rel_path", "content")
     return own.groupBy("folder").applyInArrow(pack, "folder string, archive binary")
 
