@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..session import reachable
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,12 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Small Arrow batches: rows hold whole texts, so the default of 10,000 rows is no bound on memory."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/folioforge/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/folioforge-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,19 +45,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing reads any more."""
-    path = getattr(df, "_folioforge_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        p.getFileSystem(conf).delete(p, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._folioforge_path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def clear_written(spark: SparkSession) -> None:
+    """Delete all that ``written`` has made for this application; results not yet read are lost."""
+    _delete(spark, f"{shared_dir(spark)}/folioforge-{spark.sparkContext.applicationId}")
+
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-def text_or_empty(col):
-    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
