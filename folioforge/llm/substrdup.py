@@ -7,47 +7,95 @@ and shuffled (|D| of P positions); a window is hashed and compared only where it
 that occurs elsewhere, and the removal rule is decided on whole windows.
 
 Each Python block settles what repeats within itself, so one very common passage reaches the
-shuffle once a block and not once a document.
+shuffle once a block and not once a document. Starts travel packed: one row holds the sorted hashes
+of a block that fall into one bucket, with ids and positions, compressed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import bounded_batches
 
 #: Perfect difference sets by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
-#: Anchors or windows held by one Python block.
-BLOCK_ROWS = 1_000_000
+#: Anchors or windows held by one Python block, and meant for one bucket.
+BLOCK_ROWS = 600_000
+BUCKET_ROWS = 500_000
+PACKED = "bucket int, known boolean, blob binary"
 
 
-def _settled(batches, pick):
-    """(h, id, p, w) of a block: w 1 for the first start of a hash, 0 for a start known to repeat."""
+def _planes(x) -> bytes:
+    import numpy as np
+
+    x = np.ascontiguousarray(x)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplaned(raw: bytes, at: int, n: int, kind: str):
+    import numpy as np
+
+    width = np.dtype(kind).itemsize
+    x = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return np.ascontiguousarray(x).view(kind).ravel(), at + n * width
+
+
+def _pack(h, ids, p, w, squeeze) -> bytes:
+    """Rows sorted by h: hash steps, ids above their least, positions and weights as byte planes."""
+    import numpy as np
+
+    least = ids.min()
+    head = np.array([len(h), least], "<i8").tobytes()
+    steps = np.diff(h, prepend=np.uint64(0))
+    return squeeze(head + _planes(steps) + _planes((ids - least).astype("<i8")) + _planes(p.astype("<i4")) + w.astype(np.uint8).tobytes())
+
+
+def _unpack(raw: bytes):
+    import numpy as np
+
+    n, least = np.frombuffer(raw, "<i8", 2)
+    steps, at = _unplaned(raw, 16, n, "<u8")
+    ids, at = _unplaned(raw, at, n, "<i8")
+    p, at = _unplaned(raw, at, n, "<i4")
+    return np.cumsum(steps, dtype=np.uint64), ids + least, p, np.frombuffer(raw, np.uint8, n, at)
+
+
+def _settled(batches, pick, buckets: int, drop_bits: int):
+    """Packed rows of a block: the first start of each hash by bucket, and known repeats apart.
+
+    Weight 1: the only start of its hash in the block; 2: the first of several.
+    """
     import numpy as np
     import pyarrow as pa
+    import zstandard
 
     from .wordhash import WordHashes, blocks, text_bytes
 
-    cache = WordHashes()
+    cache, squeeze = WordHashes(), zstandard.ZstdCompressor(level=3).compress
 
-    def rows(held):
+    def out(held):
         h, ids, p = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((p, ids, h))
-        h, ids, p = h[order], ids[order], p[order]
-        head = np.concatenate([[True], h[1:] != h[:-1]])
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        h = h >> np.uint64(drop_bits)
+        order = np.lexsort((p, ids, h, bucket))
+        h, ids, p, bucket = h[order], ids[order], p[order], bucket[order]
+        head = np.concatenate([[True], (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])])
         first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-        repeat = (ids != ids[first]) | (p != p[first])
-        size = np.diff(np.concatenate([np.flatnonzero(head), [len(h)]]))
-        group = np.cumsum(head) - 1
-        return h, ids, p, repeat, size[group]
-
-    def out(held):
-        h, ids, p, repeat, size = rows(held)
-        w = np.where(repeat, 0, np.where(size > 1, 2, 1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(p), pa.array(w)], names=["h", "id", "p", "w"])
+        again = (ids != ids[first]) | (p != p[first])
+        several = np.diff(np.concatenate([np.flatnonzero(head), [len(h)]]))[np.cumsum(head) - 1] > 1
+        kept = np.flatnonzero(~again)
+        rows = []
+        edge = np.searchsorted(bucket[kept], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(edge)):
+            own = kept[edge[b] : edge[b + 1]]
+            rows.append((int(b), False, _pack(h[own], ids[own], p[own], 1 + several[own], squeeze)))
+        known = np.flatnonzero(again)
+        if len(known):
+            own = known[np.lexsort((p[known], ids[known]))]
+            rows.append((int(bucket[0]), True, _pack(np.zeros(len(own), np.uint64), ids[own], p[own], np.zeros(len(own)), squeeze)))
+        b, k, blob = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k), pa.array(blob, pa.binary())], names=["bucket", "known", "blob"])
 
     held, n = [], 0
     for batch in batches:
@@ -55,11 +103,8 @@ def _settled(batches, pick):
         extra = batch.column(2) if batch.num_columns > 2 else None
         for first, docs_words in blocks(text_bytes(batch.column(1)), lower=False):
             flat = cache.array([w for ws in docs_words for w in ws])
-            at = 0
-            ends = []
-            for ws in docs_words:
-                ends.append((at, at + len(ws)))
-                at += len(ws)
+            stops = np.cumsum([len(ws) for ws in docs_words])
+            ends = list(zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True))
             got = pick(flat, ends, first, extra)
             if got is not None and len(got[0]):
                 h, row, p = got
@@ -72,6 +117,88 @@ def _settled(batches, pick):
         yield out(held)
 
 
+def _buckets(batches):
+    """(bucket, its rows, its known rows) of packed rows sorted by bucket."""
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor().decompress
+    parts, known, now = [], [], None
+    for batch in batches:
+        for b, k, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != now and now is not None:
+                yield parts, known
+                parts, known = [], []
+            now = b
+            (known if k else parts).append(_unpack(open_(blob)))
+    if now is not None:
+        yield parts, known
+
+
+def _resolved(by_anchor: bool, buckets: int):
+    """Packed (id, p) of repeated starts, dealt by id, from the packed rows of whole buckets.
+
+    Anchors: every start whose hash has several. Windows: every start with an earlier one.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+
+        def hits(parts):
+            h, ids, p, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((p, ids, h))
+            h, ids, p, w = h[order], ids[order], p[order], w[order]
+            head = np.concatenate([[True], h[1:] != h[:-1]])
+            if by_anchor:
+                hit = np.add.reduceat(w.astype(np.int64), np.flatnonzero(head))[np.cumsum(head) - 1] > 1
+            else:
+                first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
+                hit = (ids != ids[first]) | (p != p[first])
+            return ids[hit], p[hit]
+
+        def out(held):
+            ids, p = (np.concatenate(x) for x in zip(*held, strict=True))
+            with np.errstate(over="ignore"):
+                own = ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+            order = np.lexsort((p, ids, own))
+            ids, p, own = ids[order], p[order], own[order].astype(np.int64)
+            cut = np.append(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), len(own))
+            zero = np.zeros(len(own), np.uint64)
+            rows = [_pack(zero[a:b], ids[a:b], p[a:b], zero[a:b], squeeze) for a, b in zip(cut, cut[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(own[cut[:-1]], pa.int32()), pa.array([True] * len(rows)), pa.array(rows, pa.binary())], names=["bucket", "known", "blob"])
+
+        held, n = [], 0
+        for parts, known in _buckets(batches):
+            for found in [hits(parts)] * bool(parts) + [x[1:3] for x in known]:
+                if len(found[0]):
+                    held.append(found)
+                    n += len(found[0])
+            if n >= BLOCK_ROWS:
+                yield out(held)
+                held, n = [], 0
+        if held:
+            yield out(held)
+
+    return run
+
+
+def _gathered(batches):
+    """(id, ps): the starts of each id, from packed rows dealt by id."""
+    import numpy as np
+    import pyarrow as pa
+
+    for _, known in _buckets(batches):
+        ids, p = (np.concatenate(x) for x in zip(*(k[1:3] for k in known), strict=True))
+        order = np.lexsort((p, ids))
+        ids, p = ids[order], p[order]
+        cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        lists = pa.ListArray.from_arrays(np.append(cut, len(ids)).astype(np.int32), pa.array(p.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[cut]), lists], names=["id", "ps"])
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, period: int = 13) -> DataFrame:
     """One row per input row: (id, n_words, n_removed, kept).
 
@@ -84,9 +211,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     cover, anchor = COVERS[period], window - period + 1
     bounded_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # both joins below read one shuffle of the texts; the coalesce keeps their plans alike
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = docs.where("id is not null")
-    schema = "h long, id long, p int, w int"
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size / 6 / BUCKET_ROWS))
 
     def anchors(batches):
         import numpy as np
@@ -108,7 +237,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             starts = np.array([a for a, _ in ends])
             return grams[starts[row] + p], row, p
 
-        return _settled(batches, pick)
+        # anchors only choose candidates, so 40 bits of their hash will do
+        return _settled(batches, pick, buckets, 24)
 
     def windows(batches):
         import numpy as np
@@ -135,7 +265,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             starts = np.array([a for a, _ in ends])
             return grams[starts[row] + p], row, p
 
-        return _settled(batches, pick)
+        return _settled(batches, pick, buckets, 0)
 
     def kept(batches):
         import numpy as np
@@ -161,16 +291,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    # A block's first start and a repeat that no block has seen both need the count of all blocks.
-    h = Window.partitionBy("h")
-    alone = F.when(F.col("w") == 0, F.xxhash64("id", "p", "h")).otherwise(F.col("h"))
-    seen = named.mapInArrow(anchors, schema).withColumn("h", alone)
-    flagged = seen.withColumn("total", F.sum("w").over(h)).where("w <> 1 or total > 1")
-    flags = flagged.groupBy("id").agg(F.collect_list("p").alias("ps"))
-    candidates = named.join(flags, "id").select("id", "text", "ps").mapInArrow(windows, schema).withColumn("h", alone)
-    repeated = candidates.withColumn("lowest", F.min(F.struct("id", "p")).over(h)).where("w = 0 or struct(id, p) > lowest")
-    starts = repeated.groupBy("id").agg(F.collect_set("p").alias("ps"))
-    done = named.join(starts, "id", "left").select("id", "text", "ps")
+    def spread(packed, by_anchor):
+        dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+        found = dealt.mapInArrow(_resolved(by_anchor, buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
+        return found.mapInArrow(_gathered, "id long, ps array<int>")
+
+    by_id = named.repartition("id")
+    flags = spread(named.mapInArrow(anchors, PACKED), True)
+    flagged = by_id.join(flags, "id", "left").select("id", "text", "ps")
+    starts = spread(flagged.mapInArrow(windows, PACKED), False)
+    done = by_id.join(starts, "id", "left").select("id", "text", "ps")
     nameless = docs.where("id is null").withColumn("ps", F.lit(None).cast("array<int>"))
     out = done.union(nameless).mapInArrow(kept, "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
