@@ -92,8 +92,8 @@ def _segments(own: list, counts, other, n: int, m: int) -> bytes:
                 if k + 1 == len(hit) or hit[k + 1] > i + 1:
                     found[w[hit[start] : i + PIECE]] += 1
                     start = k + 1
-    best, out = [x for x, n_ in found.most_common() if n_ >= 3], b""
-    for x in best:
+    out = b""
+    for x in sorted((x for x, k in found.items() if k >= 3), key=lambda x: (-found[x], x)):
         if len(out) + len(x) > OWN_BYTES:
             break
         out = x + out  # the most common nearest to the text
