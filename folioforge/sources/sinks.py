@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ..session import reachable
 
 
+def vault_folder(root: str, case: str, override: str | None = None) -> str:
+    """Where a case is written: under the root, a named vault of it, or an absolute folder or URI."""
+    if not override:
+        return f"{root.rstrip('/')}/{case}"
+    if override.startswith("/") or "://" in override:
+        path = override.rstrip("/")
+        return path if path.rsplit("/", 1)[-1] == case else f"{path}/{case}"
+    return f"{root.rstrip('/')}/{override}/{case}"
+
+
 def collisions(files: DataFrame) -> DataFrame:
     """(rel_path, n): paths that more than one row would write."""
     return files.groupBy("rel_path").agg(F.count("*").alias("n")).where("n > 1")

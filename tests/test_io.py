@@ -70,6 +70,7 @@ def test_sinks(spark, tmp_path):
         sinks.write_vault(f.union(f), f"file://{tmp_path}")
     with pytest.raises(Exception, match="leaves the vault"):
         sinks.write_vault(spark.createDataFrame([("../x", "")], "rel_path string, content string"), f"file://{tmp_path}")
+    assert [sinks.vault_folder("/r", "c", o) for o in (None, "named", "/abs", "/abs/c")] == ["/r/c", "/r/named/c", "/abs/c", "/abs/c"]
     z = sinks.zipped(f).first()
     assert zipfile.ZipFile(io.BytesIO(z.archive)).namelist() == ["S/", "S/notes/", "S/a.md", "S/b/c.md"]
     done = f"file://{tmp_path}/done"

@@ -135,6 +135,17 @@ def test_voice_script(spark):
     assert "# My Title\n## 1 Start\nA sentence.\n" in got and "gone" not in got and "dropped" not in got and "John" not in got
 
 
+def test_script_files(spark):
+    main = '---\ntitle: "T"\nslug: "S_1"\n---\n# T\nwords here and there, all small.'
+    rows = [("v/A", "A.md", main), ("v/A", "abstract.md", "## Abstract\n\nshort text."), ("v/A", "body.md", "# Start\nthe body says so."), ("v/A", "references.md", "r"), ("v/B", "x.md", main), ("v/C", "references.md", "r")]
+    got = {r.folder: r for r in speech.case_scripts(spark.createDataFrame(rows, "folder string, name string, content string")).collect()}
+    assert set(got) == {"v/A", "v/B"} and got["v/A"].rel_path == "v/A/S_1_for_voice.md"
+    assert "<!-- source: abstract.md + body.md -->" in got["v/A"].script and "# Abstract\n\nshort text.\n\n# Start\nthe body says so." in got["v/A"].script
+    assert "<!-- source: x.md -->" in got["v/B"].script and got["v/B"].script.startswith("# T — for voice")
+    files = spark.createDataFrame([("d/a.md", main), ("d/notes_x.md", "n"), ("d/a_for_voice.md", "n"), ("d/body.md", "n"), ("d/a.txt", "n")], "path string, content string")
+    assert [(r.path, r.rel_path) for r in speech.file_scripts(files).collect()] == [("d/a.md", "d/a_for_voice.md")]
+
+
 def test_evaluation(spark):
     d = spark.createDataFrame([("# A\nalpha beta", [("A", "alpha gamma")])], "gold string, sections array<struct<label:string,content:string>>")
     r = evaluate.scored_runs(d).first()
