@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, drop_written, written
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -117,7 +117,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         hits = grams.join(seeds.select("seed").distinct(), "seed", "left_semi").select("id", F.col("p").cast("long").alias("p"), "seed")
         all_words = words.select(F.explode("ws").alias("seed")).groupBy("seed").agg(F.count("*").alias("p"))
         hits = hits.union(all_words.select(F.lit(None).cast("long"), "p", "seed"))
-    hits = written(hits, "seedhits")
+    hits = found_hits = written(hits, "seedhits")
     counted = hits.where("id is null").groupBy(F.col("seed").alias("w")).agg(F.sum("p").alias("n"))
     total = counted.agg(F.sum("n")).first()[0] or 1
     hits = hits.where("id is not null")
@@ -128,6 +128,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     pairs = hits.join(rare, "seed").groupBy("id", "item").agg(F.sort_array(F.collect_set("p")).alias("ps")).join(items, "item")
     per_doc = pairs.groupBy("id").agg(F.collect_list(F.struct("item", "ps", "words")).alias("cs"))
     per_doc = written(per_doc, "candidates")
+    drop_written(items, seeds, found_hits)
 
     def aligned(batches):
         import numpy as np

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, drop_written, written
 from .components import components
 
 #: Hashes kept for each document.
@@ -109,16 +109,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = flat.join(flat.groupBy("v").agg(F.count("*").alias("df")), "v")
     per = rows.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.avg("df").alias("mean_df"))
     prefix = (F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1).cast("int")
-    hot_lists = per.select("id", "n", "mean_df", F.posexplode(F.slice("vs", F.lit(1), prefix)).alias("rank", "x"))
-    hot_lists = written(hot_lists.select("id", "n", "mean_df", "rank", "x.v"), "hotlists")
-    length = hot_lists.groupBy("v").agg(F.count("*").alias("m"), F.max_by("id", F.struct("mean_df", -F.col("id"))).alias("hub")).where("m > 1")
-    hot_lists = hot_lists.join(length, "v")
+    prefixes = per.select("id", "n", "mean_df", F.posexplode(F.slice("vs", F.lit(1), prefix)).alias("rank", "x"))
+    prefixes = written(prefixes.select("id", "n", "mean_df", "rank", "x.v"), "hotlists")
+    length = prefixes.groupBy("v").agg(F.count("*").alias("m"), F.max_by("id", F.struct("mean_df", -F.col("id"))).alias("hub")).where("m > 1")
+    hot_lists = prefixes.join(length, "v")
     short = hot_lists.where(F.col("m") <= LIST)
     long_ = hot_lists.where(F.col("m") > LIST)
     spokes = long_.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     pairs = written(pairs.union(_list_pairs(short, t, ranked=True)).union(spokes).distinct(), "pairs")
 
-    links = written(_verified(pairs, reps, docs, size, num, den, t), "links")
+    spent = [listed, hot_sets, prefixes, pairs]
+    links = written(_verified(pairs, reps, docs, size, num, den, t, spent), "links")
     comp = components(links)
     left = long_.select("v", "id", "n", "rank").join(comp.withColumnRenamed("node", "id"), "id", "left")
     left = written(left.select("v", "id", "n", "rank", F.coalesce("component", "id").alias("c")), "left")
@@ -130,9 +131,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     if not rest.isEmpty():
-        more = _verified(rest, reps, docs, size, num, den, t)
+        more = _verified(rest, reps, docs, size, num, den, t, spent)
         comp = components(links.union(more))
     comp = written(comp, "components")
+    drop_written(*spent, links, left, rest)
 
     per_class = classes.join(comp, F.col("cls") == F.col("node"), "left").select("fp", F.coalesce("component", "cls").alias("component_id"))
     per_class = per_class.groupBy("fp").agg(F.min("component_id").alias("component_id"))
@@ -158,8 +160,8 @@ def _list_pairs(lists: DataFrame, t: float, ranked: bool = False) -> DataFrame:
     return l.join(r, "v").where((F.col("a") < F.col("b")) & _reach(t)).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, num: int, den: int, t: float) -> DataFrame:
-    """Pairs whose sketches may, and whose full sets do, reach the threshold."""
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, num: int, den: int, t: float, spent: list) -> DataFrame:
+    """Pairs whose sketches may, and whose full sets do, reach the threshold; ``spent`` gets the tables used."""
     one = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sk").alias("ska"))
     two = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sk").alias("skb"))
     p = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
@@ -169,6 +171,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, num
     p = written(p.select("a", "b"), "estimated")
     wanted = p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = written(shingle_rows(docs.join(wanted, "id", "left_semi"), size, K, full=True), "sets")
+    spent += [p, sets]
     sa = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa"))
     sb = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
     both = p.join(sa, "a").join(sb, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
