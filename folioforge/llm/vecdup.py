@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, written
 from .components import components
 
-TILE = 2000
+TILE = 8000
 #: Shares of the axes after which pairs are dropped.
 STEPS = (0.125, 0.25, 0.5, 1.0)
 
