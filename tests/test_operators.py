@@ -203,3 +203,23 @@ def test_workflows(spark):
     secs, chks = workflow.parse_standard(docs, heads)
     assert secs.count() > 0 and chks.where("doc_id = 2").count() == 1
     assert re.match(r"1_0000$", chks.where("doc_id = 1 and position = 0").first().chunk_id)
+
+
+def test_null_empty_and_repeated_rows(spark):
+    """Null and empty texts, a long one, repeated rows, empty tables and columns with other uses."""
+    long_ = "# Chapter 1\n" + "word (Smith 1990) here.\n" * 5000
+    rows = [(1, None, "x"), (2, "", "x"), (3, "plain", "x"), (3, "plain", "x"), (4, long_, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, line string")
+    for df, n in ((d, 5), (d.limit(0), 0)):
+        assert article.split_article(df).count() == n
+        assert chunks.chunked(df).where("kind = 'full_doc'").count() == n
+        assert speech.voice_scripts(df.dropDuplicates(["doc_id"])).count() == min(n, 4)
+        book.book_chapters(book.book_lines(df)).count()
+        assert df.select(L.without_noise(F.coalesce("text", F.lit(""))).alias("x"), L.without_leaks("text").alias("y"), genres.routed("line", "text").alias("g")).count() == n
+        assert names.first_of(df, ["doc_id"], F.col("line")).count() == min(n, 4)
+        totals = df.select("doc_id", F.size(P.lines(F.coalesce("text", F.lit("")))).alias("n_lines")).distinct()
+        none = spark.createDataFrame([], "doc_id long, ord int, label string, section_id string, language string, level int, start_line int, end_line int")
+        full = plan.gaps_filled(none, totals)
+        assert full.count() == min(n, 4)
+        assert plan.cut_sections(df.dropDuplicates(["doc_id"]), full).count() == (2 if n else 0)
+    assert evaluate.best_runs(spark.createDataFrame([], "case_id long, ord int, error string, num_hallucinated int, num_unlabeled int, gold_token_f1 double")).count() == 0
