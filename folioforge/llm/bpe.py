@@ -20,13 +20,12 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, tidy, written
 
 #: Words held in one block; a number then fits three bytes.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: Words whose numbers are packed into one row.
 PACK = 400_000
-_SEEN: dict = {}
 
 
 def _tokenizer(text: str):
@@ -35,14 +34,18 @@ def _tokenizer(text: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    key = hash(text)
-    if key not in _SEEN:
-        _SEEN.clear()
-        t = Tokenizer.from_str(text)
-        t.no_truncation()
-        t.no_padding()
-        _SEEN[key] = t
-    return _SEEN[key]
+    t = Tokenizer.from_str(text)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def _pieces(text: str) -> dict:
+    """id -> piece of a vocabulary file."""
+    import json
+
+    spec = json.loads(text)
+    return {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
 
 
 def _planes(numbers) -> bytes:
@@ -178,8 +181,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         import pyarrow as pa
         import zstandard
 
-        tokenizer, open_ = _tokenizer(spec.value), zstandard.ZstdDecompressor().decompress
-        pieces = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
+        pieces, open_ = _pieces(spec.value), zstandard.ZstdDecompressor().decompress
         now, parts, table = None, [], None
 
         def joined():
@@ -236,11 +238,11 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     if re.search(r"Join|Aggregate|Sort|Limit|Repartition|Window|Sample|Distinct|Union|MapIn", df._jdf.queryExecution().optimizedPlan().toString()):
         docs = written(docs, "texts")
     packed = "blk long, bucket int, ids array<long>, sizes array<int>, blob binary"
-    words = docs.mapInArrow(lambda batches: numbered(batches, True), packed).select("blk", "bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
-    words = words.mapInArrow(encoded, "blk long, bucket int, blob binary").select("blk", "bucket", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("sizes"), "blob")
-    texts = docs.mapInArrow(lambda batches: numbered(batches, False), packed)
+    words = docs.mapInArrow(tidy(lambda batches: numbered(batches, True)), packed).select("blk", "bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
+    words = words.mapInArrow(tidy(encoded), "blk long, bucket int, blob binary").select("blk", "bucket", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("sizes"), "blob")
+    texts = docs.mapInArrow(tidy(lambda batches: numbered(batches, False)), packed)
     both = words.union(texts).repartition("blk").sortWithinPartitions("blk", F.col("bucket").asc_nulls_last())
-    return both.mapInArrow(restored, "id long, n_tokens long, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return both.mapInArrow(tidy(restored), "id long, n_tokens long, ids binary, decoded string").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -249,12 +251,8 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     Ids outside the vocabulary have no piece and are passed over, as the library does; null or
     empty arrays decode to an empty text. Rows are told apart by position, so ids may repeat.
     """
-    import json
-
     with open(vocabulary, encoding="utf-8") as f:
-        spec = json.load(f)
-    rows = [(i, p) for p, i in spec["model"]["vocab"].items()] + [(t["id"], t["content"]) for t in spec["added_tokens"]]
-    pieces = df.sparkSession.createDataFrame(list(dict(rows).items()), "t int, piece string")
+        pieces = df.sparkSession.createDataFrame(list(_pieces(f.read()).items()), "t int, piece string")
     own = df.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     own = written(own, "ids")
     named = own.select("r", F.posexplode("ids").alias("p", "t")).join(F.broadcast(pieces), "t")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_written, written
+from .common import bounded_batches, drop_written, tidy, written
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -110,7 +110,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             names = ["", *(w.decode() for w in number)]
             yield pa.RecordBatch.from_arrays([pa.array([None] * len(seen), pa.int64()), pa.array(counts[seen]), pa.array([names[k] for k in seen], pa.string())], names=["id", "p", "seed"])
 
-        hits = docs.mapInArrow(found, "id long, p long, seed string")
+        hits = docs.mapInArrow(tidy(found), "id long, p long, seed string")
     else:
         words = docs.withColumn("ws", _lower_words("coalesce(text, '')")).where(F.size("ws") >= GRAM)
         grams = words.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ws") - GRAM + 1), lambda i: F.array_join(F.slice("ws", i, F.lit(GRAM)), " "))).alias("p", "seed"))
@@ -154,6 +154,6 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["id", "item", "score", "at_word", "n_seeds"])
 
-    scored = docs.join(per_doc, "id").select("id", "text", "cs").mapInArrow(aligned, "id long, item long, score double, at_word long, n_seeds long")
+    scored = docs.join(per_doc, "id").select("id", "text", "cs").mapInArrow(tidy(aligned), "id long, item long, score double, at_word long, n_seeds long")
     best = scored.where(F.col("score") >= threshold).groupBy("id", "item").agg(F.max(F.struct("score", "at_word", "n_seeds")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "b.score", "b.at_word", "b.n_seeds")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: Pages used for fitting, those of the lowest hashes.
 FIT_PAGES = 500
@@ -254,7 +254,7 @@ def fit_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fi
             if ys:
                 yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32())], names=["x", "y"])
 
-    rows = sample.mapInArrow(nodes, "x array<double>, y int").cache()
+    rows = sample.mapInArrow(tidy(nodes), "x array<double>, y int").cache()
     try:
         return boost.fit(rows)
     finally:
@@ -296,4 +296,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*names, "text", "n_chars"])
 
     schema = own.drop("_html").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_written, written
+from .common import bounded_batches, drop_written, tidy, written
 from .components import components
 
 #: Hashes kept for each document.
@@ -70,7 +70,7 @@ def shingle_rows(docs: DataFrame, size: int, k: int, full: bool) -> DataFrame:
                 cols = [ids.slice(first, len(out)), pa.array(n, pa.int64())] + ([] if full else [pa.array(fps, pa.binary())]) + [lists]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "sh"] if full else ["id", "n", "fp", "sk"])
 
-    return docs.mapInArrow(sets, schema)
+    return docs.mapInArrow(tidy(sets), schema)
 
 
 def shared_at_least(s, t: float):

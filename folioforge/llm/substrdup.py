@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: Perfect difference sets by period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
@@ -293,14 +293,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def spread(packed, by_anchor):
         dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-        found = dealt.mapInArrow(_resolved(by_anchor, buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
-        return found.mapInArrow(_gathered, "id long, ps array<int>")
+        found = dealt.mapInArrow(tidy(_resolved(by_anchor, buckets)), PACKED).repartition("bucket").sortWithinPartitions("bucket")
+        return found.mapInArrow(tidy(_gathered), "id long, ps array<int>")
 
     by_id = named.repartition("id")
-    flags = spread(named.mapInArrow(anchors, PACKED), True)
+    flags = spread(named.mapInArrow(tidy(anchors), PACKED), True)
     flagged = by_id.join(flags, "id", "left").select("id", "text", "ps")
-    starts = spread(flagged.mapInArrow(windows, PACKED), False)
+    starts = spread(flagged.mapInArrow(tidy(windows), PACKED), False)
     done = by_id.join(starts, "id", "left").select("id", "text", "ps")
     nameless = docs.where("id is null").withColumn("ps", F.lit(None).cast("array<int>"))
-    out = done.union(nameless).mapInArrow(kept, "id long, n_words long, n_removed long, kept string")
+    out = done.union(nameless).mapInArrow(tidy(kept), "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)

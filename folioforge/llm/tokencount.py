@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: Fixed value: the split pattern of the byte-level vocabulary of 50,257 entries.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -107,5 +107,5 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             if rows:
                 yield out(rows)
 
-    done = own.mapInArrow(run, "id long, section long, field long, char_start long, char_end long, n_tokens long, n_crossing long")
+    done = own.mapInArrow(tidy(run), "id long, section long, field long, char_start long, char_end long, n_tokens long, n_crossing long")
     return done.withColumnRenamed("id", id_col)

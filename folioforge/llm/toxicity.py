@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: Labelled documents used for fitting, those of the lowest hashes; bounds the driver's work.
 FIT_DOCS = 8000
@@ -186,4 +186,4 @@ def scored(df: DataFrame, model: dict | None, text_col: str = "text", keep: tupl
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*keep, "score"])
 
     schema = own.select(*keep).withColumn("score", F.lit(0.0)).schema
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
