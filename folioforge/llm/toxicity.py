@@ -16,10 +16,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tidy
+from .common import bounded_batches, released, tidy
 
 #: Labelled documents used for fitting, those of the lowest hashes; bounds the driver's work.
-FIT_DOCS = 8000
+FIT_DOCS = 6000
 WINDOW, STEP = 6, 3
 PIECE = 6
 COMMON_BYTES = 32 << 10
@@ -152,7 +152,15 @@ def fit_on(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
     y = y.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_docs)
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = docs.join(F.broadcast(y), "id").orderBy("id", "text").collect()
-    return fit([r["text"].encode() for r in rows], [int(r["y"]) for r in rows])
+    texts, toxic = [], []
+    while rows:
+        r = rows.pop()
+        texts.append(r["text"].encode())
+        toxic.append(int(r["y"]))
+    model = fit(texts[::-1], toxic[::-1])
+    del texts
+    released()
+    return model
 
 
 def scored(df: DataFrame, model: dict | None, text_col: str = "text", keep: tuple = ()) -> DataFrame:
