@@ -188,6 +188,29 @@ def test_pii_candidates(spark):
     assert all(len(r[i].base) == 1 for i in range(200)) and not r[1005].spans
 
 
+def test_pii_added(spark):
+    """What no base pattern finds enters the spans, by rule from a few documents and by trees from many."""
+    added = [
+        ("pay 4111 1111 1111 1111 5500 0000 0000 0004 now", [("card", 4, 23), ("card", 24, 43)]),
+        ("pay 4111111111111111 5500000000000004 now", [("card", 4, 20), ("card", 21, 37)]),
+        ("card 4111.1111.1111.1111 ok", [("card", 5, 24)]),
+        ("write to ann (at) site (dot) org soon", [("email", 9, 32)]),
+        ("host 10[.]20[.]30[.]40 up", [("ip", 5, 22)]),
+        ("phone +1/343/555/1234 ok", [("phone", 6, 21)]),
+        ("at 343-555-1234 daily", [("phone", 3, 15)]),
+        ("pay 4111.1111.1111.1112, look @ this. Then 300[.]1[.]1[.]1, order 12 345-0005", []),
+    ]
+    few = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(added)], "doc_id long, text string")
+    plain = [f"card 4111-1111-1111-{i:04d}, mail u{i} (at) site{i}.org, see @ that. Yes, host 10[.]1[.]{i % 400}[.]7, phone +1/343/555/{i:04d}, order 12 345-{i:04d}" for i in range(400)]
+    many = few.union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(plain)], "doc_id long, text string"))
+    models = pii.fitted(many.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")))
+    assert all(trees for trees, _ in models.values()), models
+    for df, m in ((few, None), (many, models)):
+        got = {r.doc_id: r for r in pii.find_pii(df, models=m).collect()}
+        for i, (t, want) in enumerate(added):
+            assert not got[i].base and [tuple(x) for x in got[i].spans] == want, (t, got[i], m)
+
+
 def test_boost(spark):
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(600, 3))
