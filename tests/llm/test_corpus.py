@@ -340,6 +340,16 @@ def test_toxicity(spark, texts):
     assert s[2] > s[1] and s[3] == s[4]
 
 
+def test_toxicity_counts():
+    """All 8000 documents are fitted on; packed counts are those of a Counter, over several merges."""
+    assert toxicity.FIT_DOCS == 8000
+    texts = [" ".join(f"w{i * j % 9973}xyz" for j in range(600)).encode() for i in range(500)] + [b"", "日本語 text".encode()]
+    want = collections.Counter(p for t in texts for p in toxicity._pieces(t))
+    keys, n = toxicity._counts(texts)
+    assert {k.tobytes()[:6]: int(c) for k, c in zip(keys, n, strict=True)} == want and sum(want.values()) > 1 << 20
+    assert toxicity._of((keys, n), toxicity._packed([b"nowhere"[:6]])).tolist() == [0]
+
+
 def test_pipeline(spark):
     """Every stage against the operator it calls, on its predecessor's rows."""
     d = docs(spark)
