@@ -24,6 +24,8 @@ WINDOW, STEP = 6, 3
 PIECE = 6
 COMMON_BYTES = 32 << 10
 OWN_BYTES = 16 << 10
+#: Windows that train the common part: about this many bytes, from anywhere in the ordinary texts.
+TRAIN_BYTES = 2 << 20
 LIKELIHOOD = 30.0
 LEVEL = 3
 
@@ -141,6 +143,15 @@ def _segments(own: list, counts, other, n: int, m: int) -> bytes:
     return out
 
 
+def _training(texts: list) -> list[bytes]:
+    """Windows without overlap, all of them or those of the lowest hashes up to about ``TRAIN_BYTES``."""
+    import zlib
+
+    total = sum(len(w) for t in texts for w in windows(t)[::2])
+    least = (1 << 32) * min(1.0, TRAIN_BYTES / max(total, 1))
+    return [w for i, t in enumerate(texts) for j, w in enumerate(windows(t)[::2]) if zlib.crc32(b"%d %d " % (i, j) + w) < least]
+
+
 def fit(texts: list, toxic: list) -> dict | None:
     """Dictionaries, thresholds and weights from texts (bytes) and labels 0/1; None without both."""
     import numpy as np
@@ -154,8 +165,7 @@ def fit(texts: list, toxic: list) -> dict | None:
     in_bad, in_good = _counts(each_bad), _counts(each_good)
     own = _segments(each_bad, in_bad, in_good, len(each_bad), len(each_good))
     plain = _segments(each_good, in_good, in_bad, len(each_good), len(each_bad))
-    share = max(4, 40_000 // len(good))
-    samples = [w for t in good for w in windows(t)[::2][:share]]
+    samples = _training(good)
     try:
         common = zstandard.train_dictionary(COMMON_BYTES, samples, k=24, d=6, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text to train on

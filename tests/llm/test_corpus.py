@@ -350,6 +350,16 @@ def test_toxicity_counts():
     assert toxicity._of((keys, n), toxicity._packed([b"nowhere"[:6]])).tolist() == [0]
 
 
+def test_toxicity_training():
+    """The common part learns from all of a text, its end too, within the bound on bytes."""
+    texts = [b" ".join(b"d%dw%d" % (i, j) for j in range(9000)) for i in range(60)]
+    got = toxicity._training(texts)
+    at = [int(w.split()[0].split(b"w")[1]) for w in got]
+    assert 0.9 < sum(map(len, got)) / toxicity.TRAIN_BYTES < 1.1
+    assert np.all(np.histogram(at, 10, (0, 9000))[0] > 0.07 * len(at))
+    assert toxicity._training(texts[:1]) == toxicity.windows(texts[0])[::2]
+
+
 def test_pipeline(spark):
     """Every stage against the operator it calls, on its predecessor's rows."""
     d = docs(spark)
