@@ -288,11 +288,48 @@ def test_decontamination(spark, texts):
                 assert got[(r.doc_id, x.item_id)] == 1.0
     assert decontam.smith_waterman(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 7, 3, 4, 9]))[0] == 2 * 4 - 1
     assert decontam.contaminated(texts.limit(0), b).count() == 0 and decontam.contaminated(texts, b.limit(0)).count() == 0
-    old, decontam.BROADCAST_SEEDS = decontam.BROADCAST_SEEDS, 0  # the way without a broadcast
+    old, decontam.BLOCK_SEEDS = decontam.BLOCK_SEEDS, 300  # items in several blocks
     try:
         assert {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs(spark).select("doc_id", "text").union(extra), b).collect()} == got
     finally:
-        decontam.BROADCAST_SEEDS = old
+        decontam.BLOCK_SEEDS = old
+
+
+def test_decontamination_brute(spark):
+    """Every document against every item, aligned without seeds: recall at least 0.9, and nothing else is found."""
+    b = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    rnd = np.random.default_rng(5)
+    rows = [(r.doc_id, r.text) for r in docs(spark).collect()]
+    for k, (_, t) in enumerate(b):  # edited copies: words changed, dropped and added
+        w = t.split()
+        for share in (0.05, 0.1, 0.2, 0.3):
+            x = [y for v in w for y in ([v], [f"new{k}"], [], [v, "more"])[0 if rnd.random() >= share else int(rnd.integers(1, 4))]]
+            rows.append((10_000 + len(rows), "lead in text here " + " ".join(x) + " and some end"))
+    number: dict = {}
+    code = lambda t: np.array([number.setdefault(x, len(number)) for x in (t or "").lower().split()], np.int32)
+    items = {i: code(t) for i, t in b}
+    want = {}
+    for d, t in rows:
+        own = code(t)
+        for i, x in items.items():
+            if len(x) >= 3 and np.isin(x, own).sum() >= 0.5 * len(x):  # else the score cannot reach a half
+                score = decontam.smith_waterman(x, own)[0] / (2 * len(x))
+                if score >= 0.5:
+                    want[d, i] = score
+    out = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(b, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.score for r in out}
+    assert len(want) > 100 and set(got) <= set(want) and all(got[k] <= want[k] for k in got)
+    assert len(got) >= 0.9 * len(want), (len(got), len(want))
+    assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got)
+
+
+def test_decontamination_templates(spark):
+    """Items and documents of one template: a seed that all of them share costs no join."""
+    head = "consider the following question and choose the best of the answers below for the case of"
+    items = spark.createDataFrame([(i, f"{head} item{i} alpha{i} beta{i} gamma{i}") for i in range(300)], "item_id long, text string")
+    df = spark.createDataFrame([(i, f"{head} item{i} alpha{i} beta{i} gamma{i}") for i in range(0, 300, 10)] + [(1000 + i, "nothing of the kind here") for i in range(50)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(df, items).collect()}
+    assert all(got[i, i] == 1.0 for i in range(0, 300, 10)) and not any(d >= 1000 for d, _ in got)
 
 
 def test_token_counts(spark, texts):
