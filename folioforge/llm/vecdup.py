@@ -1,23 +1,27 @@
-"""Near-duplicate vectors: tiles along the first principal axis, compared leading axes first.
+"""Near-duplicate vectors: tiles along the leading principal axes, compared leading axes first.
 
 Vectors are scaled to length one and turned into the axes of their principal components, which
-changes no cosine. Linked vectors differ by at most sqrt(2 - 2 t) on every axis, so cells of that
-width on the first axis only meet themselves and their neighbours. Cells are cut into tiles of at
-most about ``TILE`` vectors by a hash; every pair of tiles is one group. In a group the products of
-leading axes are summed first; what the other axes can add is bounded by the product of suffix
-norms, and pairs that cannot reach the threshold go no further. Pairs left are decided on the
-original components in double precision.
+changes no cosine. Linked vectors differ by at most w = sqrt(2 - 2 t) in all, so cells of that width
+only meet cells next to them on every axis. A cell on the first axis that holds more than ``TILE``
+vectors is cut along the second, and so on up to ``AXES``; what is still larger is dealt to tiles of
+about ``TILE`` by a hash. Every pair of tiles that may hold links is one group, and a vector goes to
+a pair only if it is within w of the other tile's cell. In a group the products of leading axes are
+summed first; what the other axes can add is bounded by the product of suffix norms, and pairs that
+cannot reach the threshold go no further. Pairs left are decided on the original components in
+double precision.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
 from .components import components
 
 TILE = 8000
+#: Leading axes along which cells are cut.
+AXES = 4
 #: Shares of the axes after which pairs are dropped.
 STEPS = (0.125, 0.25, 0.5, 1.0)
 
@@ -62,6 +66,41 @@ def principal_axes(vectors: DataFrame) -> dict:
     return {d: np.ascontiguousarray(np.linalg.eigh(m.reshape(d, d))[1][:, ::-1]) for d, m in out.items()}
 
 
+def _leaves(placed: DataFrame) -> DataFrame:
+    """(label, d, cell, leaf, tiles): of every cell, its leading coordinates that bring it down to a tile.
+
+    As many coordinates as are needed for at most ``TILE`` vectors that share them, else all; tiles
+    is the number of tiles of the vectors that share them.
+    """
+    count = placed.groupBy("label", "d", "cell").agg(F.count("*").alias("n"))
+    first = [F.slice("cell", 1, j).alias(f"c{j}") for j in range(1, AXES)]
+    count = count.select("*", *first)
+    for j in range(1, AXES):
+        count = count.withColumn(f"n{j}", F.sum("n").over(Window.partitionBy("label", "d", f"c{j}")))
+    leaf, most = F.col("cell"), F.col("n")
+    for j in range(AXES - 1, 0, -1):
+        few = F.col(f"n{j}") <= TILE
+        leaf, most = F.when(few, F.col(f"c{j}")).otherwise(leaf), F.when(few, F.col(f"n{j}")).otherwise(most)
+    return count.select("label", "d", "cell", leaf.alias("leaf"), F.ceil(most / TILE).cast("int").alias("tiles"))
+
+
+def _tile_pairs(leaves: DataFrame) -> DataFrame:
+    """(label, d, leaf, tile, pair, side, other) of the tiles of each pair of tiles that may hold links.
+
+    side is 0 for a tile paired with itself, else 1 and 2; other is the other tile's leaf.
+    """
+    tiles = leaves.select("label", "d", "leaf", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    a = tiles.select("label", "d", F.col("leaf").alias("leaf1"), F.col("tile").alias("tile1"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda x: F.get("leaf", F.lit(0)) + x)).alias("at"))
+    b = tiles.select("label", "d", F.get("leaf", F.lit(0)).alias("at"), F.col("leaf").alias("leaf2"), F.col("tile").alias("tile2"))
+    pairs = a.join(b, ["label", "d", "at"]).where(F.struct("leaf1", "tile1") <= F.struct(F.col("leaf2").alias("leaf1"), F.col("tile2").alias("tile1")))
+    pairs = pairs.where(F.forall(F.sequence(F.lit(0), F.least(F.size("leaf1"), F.size("leaf2")) - 1), lambda j: F.abs(F.get("leaf1", j) - F.get("leaf2", j)) <= 1))
+    pairs = pairs.select("*", F.struct("label", "d", "leaf1", "tile1", "leaf2", "tile2").alias("pair"))
+    same = (F.col("leaf1") == F.col("leaf2")) & (F.col("tile1") == F.col("tile2"))
+    one = pairs.select("label", "d", F.col("leaf1").alias("leaf"), F.col("tile1").alias("tile"), "pair", F.when(same, 0).otherwise(1).alias("side"), F.col("leaf2").alias("other"))
+    two = pairs.where(~same).select("label", "d", F.col("leaf2").alias("leaf"), F.col("tile2").alias("tile"), "pair", F.lit(2).alias("side"), F.col("leaf1").alias("other"))
+    return one.union(two)
+
+
 def similar_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
     """One row per input row: (id, n_links, component_id, kept).
 
@@ -86,25 +125,27 @@ def similar_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
         for batch in batches:
             vs = batch.column(2).to_numpy(zero_copy_only=False)
-            first = [float(_unit(np.asarray(v, np.float64)[None, :])[0] @ axes.value[len(v)][:, 0]) for v in vs]
-            cell = np.floor(np.array(first) / width).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(v) for v in vs], pa.int32()), pa.array(cell)], names=["cls", "m", "emb", "label", "d", "cell"])
+            size = np.array([len(v) for v in vs], np.int32)
+            lead = np.zeros((len(vs), AXES))
+            for k in np.unique(size):
+                own = np.flatnonzero(size == k)
+                lead[own, : min(k, AXES)] = _unit(np.stack([np.asarray(vs[i], np.float64) for i in own])) @ axes.value[k][:, :AXES]
+            cell = np.floor(lead / width).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(list(cell), pa.list_(pa.int32())), pa.array(list(lead), pa.list_(pa.float64()))], names=["cls", "m", "emb", "label", "d", "cell", "lead"])
 
     kind = classes.schema["emb"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
-    placed = classes.select("cls", "m", "emb", "label").mapInArrow(cells, f"cls long, m long, emb {kind}, label {label}, d int, cell int")
-    count = placed.groupBy("label", "d", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    count = written(count, "tiles")
-    placed = placed.join(count, ["label", "d", "cell"]).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    a = count.select("label", "d", F.col("cell").alias("c1"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t1"))
-    b = count.select(F.col("label").alias("l2"), F.col("d").alias("d2"), F.col("cell").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t2"))
-    a = a.withColumn("c2", F.explode(F.array("c1", F.col("c1") + 1)))
-    pairs = a.join(b.withColumnRenamed("c2", "cell2"), (F.col("label") == F.col("l2")) & (F.col("d") == F.col("d2")) & (F.col("c2") == F.col("cell2")))
-    pairs = pairs.where("c1 < c2 or t1 <= t2").select("label", "d", "c1", "t1", "c2", "t2")
-    pairs = pairs.withColumn("pair", F.struct("label", "d", "c1", "t1", "c2", "t2"))
-    side = pairs.select("label", "d", F.col("c1").alias("cell"), F.col("t1").alias("tile"), "pair", F.lit(0).alias("side"))
-    side = side.union(pairs.where("c1 <> c2 or t1 <> t2").select("label", "d", "c2", "t2", "pair", F.lit(1)))
-    grouped = placed.join(side, ["label", "d", "cell", "tile"]).select("pair", "side", "cls", "m", "emb").groupBy("pair")
+    placed = classes.select("cls", "m", "emb", "label").mapInArrow(cells, f"cls long, m long, emb {kind}, label {label}, d int, cell array<int>, lead array<double>")
+    placed = written(placed, "placed")
+    leaves = written(_leaves(placed), "tiles")
+    placed = placed.join(leaves, ["label", "d", "cell"]).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    sides = _tile_pairs(leaves.drop("cell").distinct())
+    near = F.aggregate(
+        F.sequence(F.lit(1), F.size("other")),
+        F.lit(0.0),
+        lambda acc, j: acc + F.pow(F.greatest(F.get("other", j - 1) * width - F.get("lead", j - 1), F.get("lead", j - 1) - (F.get("other", j - 1) + 1) * width, F.lit(0.0)), 2),
+    )
+    grouped = placed.join(sides, ["label", "d", "leaf", "tile"]).where(near <= width * width + 1e-9).select("pair", "side", "cls", "m", "emb").groupBy("pair")
 
     def compared(table):
         import numpy as np
@@ -114,13 +155,13 @@ def similar_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         x = _matrix(table.column("emb").combine_chunks())
         turned = _unit(x) @ axes.value[x.shape[1]]
         own = not s.any()
-        ia = np.flatnonzero(s == 0)
-        ib = ia if own else np.flatnonzero(s == 1)
+        ia = np.flatnonzero(s <= 1)
+        ib = ia if own else np.flatnonzero(s == 2)
         d = x.shape[1]
         left = np.sqrt(np.maximum(0, np.cumsum((turned * turned)[:, ::-1], axis=1)[:, ::-1]))
         left = np.concatenate([left, np.zeros((len(x), 1))], axis=1)
         stops = sorted({max(1, round(d * f)) for f in STEPS})
-        links, edges_a, edges_b = np.zeros(len(x), np.int64), [], []
+        links, edges_a, edges_b = np.zeros(len(x), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(ia), 256):
             ra = ia[at : at + 256]
             done = stops[0]
