@@ -4,7 +4,9 @@ For a period P a difference cover D has, for any two offsets, a shift below P th
 D. So if the same ``window`` words start at i in one document and at j in another, some shift puts
 equal words of length ``window - P + 1`` at cover positions of both. Only those anchors are hashed
 and shuffled (|D| of P positions); a window is hashed and compared only where it holds an anchor
-that occurs elsewhere, and the removal rule is decided on whole windows.
+that occurs elsewhere, and the removal rule is decided on whole windows. Anchors only choose
+candidates, so 40 bits of their hash will do. Windows are equal when two independent hashes of
+64 bits are: among 1e13 windows two different ones agree with a chance of about 1e-13.
 
 Each Python block settles what repeats within itself, so one very common passage reaches the
 shuffle once a block and not once a document. Starts travel packed: one row holds the sorted hashes
@@ -41,14 +43,14 @@ def _unplaned(raw: bytes, at: int, n: int, kind: str):
     return np.ascontiguousarray(x).view(kind).ravel(), at + n * width
 
 
-def _pack(h, ids, p, w, squeeze) -> bytes:
-    """Rows sorted by h: hash steps, ids above their least, positions and weights as byte planes."""
+def _pack(h, ids, p, w, second, squeeze) -> bytes:
+    """Rows sorted by h: hash steps, ids above their least, positions, weights and second hashes (or none) as byte planes."""
     import numpy as np
 
     least = ids.min()
     head = np.array([len(h), least], "<i8").tobytes()
     steps = np.diff(h, prepend=np.uint64(0))
-    return squeeze(head + _planes(steps) + _planes((ids - least).astype("<i8")) + _planes(p.astype("<i4")) + w.astype(np.uint8).tobytes())
+    return squeeze(head + _planes(steps) + _planes((ids - least).astype("<i8")) + _planes(p.astype("<i4")) + w.astype(np.uint8).tobytes() + (second.tobytes() if len(second) else b""))
 
 
 def _unpack(raw: bytes):
@@ -58,10 +60,22 @@ def _unpack(raw: bytes):
     steps, at = _unplaned(raw, 16, n, "<u8")
     ids, at = _unplaned(raw, at, n, "<i8")
     p, at = _unplaned(raw, at, n, "<i4")
-    return np.cumsum(steps, dtype=np.uint64), ids + least, p, np.frombuffer(raw, np.uint8, n, at)
+    w = np.frombuffer(raw, np.uint8, n, at)
+    return np.cumsum(steps, dtype=np.uint64), ids + least, p, w, np.frombuffer(raw[at + n :], "<u8")
 
 
-def _settled(batches, pick, buckets: int, drop_bits: int):
+def _heads(*sorted_keys):
+    """Whether each row is the first with its keys."""
+    import numpy as np
+
+    new = np.zeros(len(sorted_keys[0]) - 1, bool)
+    for k in sorted_keys:
+        if len(k):
+            new |= k[1:] != k[:-1]
+    return np.concatenate([[True], new])
+
+
+def _settled(batches, pick, buckets: int, by_anchor: bool):
     """Packed rows of a block: the first start of each hash by bucket, and known repeats apart.
 
     Weight 1: the only start of its hash in the block; 2: the first of several.
@@ -70,17 +84,18 @@ def _settled(batches, pick, buckets: int, drop_bits: int):
     import pyarrow as pa
     import zstandard
 
-    from .wordhash import WordHashes, blocks, text_bytes
+    from .wordhash import WordHashes, WordPairs, blocks, text_bytes
 
-    cache, squeeze = WordHashes(), zstandard.ZstdCompressor(level=3).compress
+    cache, squeeze = WordHashes() if by_anchor else WordPairs(), zstandard.ZstdCompressor(level=3).compress
 
     def out(held):
-        h, ids, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, second, ids, p = (np.concatenate(x) for x in zip(*held, strict=True))
         bucket = (h % np.uint64(buckets)).astype(np.int64)
-        h = h >> np.uint64(drop_bits)
-        order = np.lexsort((p, ids, h, bucket))
+        h = h >> np.uint64(24 if by_anchor else 0)
+        order = np.lexsort((p, ids, *([second] if len(second) else []), h, bucket))
         h, ids, p, bucket = h[order], ids[order], p[order], bucket[order]
-        head = np.concatenate([[True], (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])])
+        second = second[order] if len(second) else second
+        head = _heads(h, second, bucket)
         first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
         again = (ids != ids[first]) | (p != p[first])
         several = np.diff(np.concatenate([np.flatnonzero(head), [len(h)]]))[np.cumsum(head) - 1] > 1
@@ -89,11 +104,11 @@ def _settled(batches, pick, buckets: int, drop_bits: int):
         edge = np.searchsorted(bucket[kept], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edge)):
             own = kept[edge[b] : edge[b + 1]]
-            rows.append((int(b), False, _pack(h[own], ids[own], p[own], 1 + several[own], squeeze)))
+            rows.append((int(b), False, _pack(h[own], ids[own], p[own], 1 + several[own], second[own] if len(second) else second, squeeze)))
         known = np.flatnonzero(again)
         if len(known):
             own = known[np.lexsort((p[known], ids[known]))]
-            rows.append((int(bucket[0]), True, _pack(np.zeros(len(own), np.uint64), ids[own], p[own], np.zeros(len(own)), squeeze)))
+            rows.append((int(bucket[0]), True, _pack(np.zeros(len(own), np.uint64), ids[own], p[own], np.zeros(len(own)), second[:0], squeeze)))
         b, k, blob = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k), pa.array(blob, pa.binary())], names=["bucket", "known", "blob"])
 
@@ -102,13 +117,14 @@ def _settled(batches, pick, buckets: int, drop_bits: int):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         extra = batch.column(2) if batch.num_columns > 2 else None
         for first, docs_words in blocks(text_bytes(batch.column(1)), lower=False):
-            flat = cache.array([w for ws in docs_words for w in ws])
+            words = [w for ws in docs_words for w in ws]
+            flat = cache.array(words) if by_anchor else cache.arrays(words)
             stops = np.cumsum([len(ws) for ws in docs_words])
             ends = list(zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True))
             got = pick(flat, ends, first, extra)
             if got is not None and len(got[0]):
-                h, row, p = got
-                held.append((h, ids[first + row].astype(np.int64), p.astype(np.int32)))
+                h, second, row, p = got
+                held.append((h, second, ids[first + row].astype(np.int64), p.astype(np.int32)))
                 n += len(h)
             if n >= BLOCK_ROWS:
                 yield out(held)
@@ -148,10 +164,10 @@ def _resolved(by_anchor: bool, buckets: int):
         squeeze = zstandard.ZstdCompressor(level=3).compress
 
         def hits(parts):
-            h, ids, p, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((p, ids, h))
+            h, ids, p, w, second = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((p, ids, *([second] if len(second) else []), h))
             h, ids, p, w = h[order], ids[order], p[order], w[order]
-            head = np.concatenate([[True], h[1:] != h[:-1]])
+            head = _heads(h, second[order] if len(second) else second)
             if by_anchor:
                 hit = np.add.reduceat(w.astype(np.int64), np.flatnonzero(head))[np.cumsum(head) - 1] > 1
             else:
@@ -167,7 +183,7 @@ def _resolved(by_anchor: bool, buckets: int):
             ids, p, own = ids[order], p[order], own[order].astype(np.int64)
             cut = np.append(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), len(own))
             zero = np.zeros(len(own), np.uint64)
-            rows = [_pack(zero[a:b], ids[a:b], p[a:b], zero[a:b], squeeze) for a, b in zip(cut, cut[1:], strict=False)]
+            rows = [_pack(zero[a:b], ids[a:b], p[a:b], zero[a:b], zero[:0], squeeze) for a, b in zip(cut, cut[1:], strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(own[cut[:-1]], pa.int32()), pa.array([True] * len(rows)), pa.array(rows, pa.binary())], names=["bucket", "known", "blob"])
 
         held, n = [], 0
@@ -235,18 +251,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 return None
             p, row = np.concatenate(at), np.concatenate(row)
             starts = np.array([a for a, _ in ends])
-            return grams[starts[row] + p], row, p
+            h = grams[starts[row] + p]
+            return h, h[:0], row, p
 
-        # anchors only choose candidates, so 40 bits of their hash will do
-        return _settled(batches, pick, buckets, 24)
+        return _settled(batches, pick, buckets, True)
 
     def windows(batches):
         import numpy as np
 
-        from .wordhash import window_hashes
+        from .wordhash import window_pairs
 
         def pick(flat, ends, first, flags):
-            grams = window_hashes(flat, window)
+            grams, seconds = window_pairs(flat, window)
             at, row = [], []
             for i, (a, b) in enumerate(ends):
                 hit = flags[first + i].as_py()
@@ -263,9 +279,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 return None
             p, row = np.concatenate(at), np.concatenate(row)
             starts = np.array([a for a, _ in ends])
-            return grams[starts[row] + p], row, p
+            return grams[starts[row] + p], seconds[starts[row] + p], row, p
 
-        return _settled(batches, pick, buckets, 0)
+        return _settled(batches, pick, buckets, False)
 
     def kept(batches):
         import numpy as np
