@@ -3,9 +3,11 @@
 A page is cut into tags and text once; block elements become nodes, inline elements only mark text
 (links, line breaks). Each node has features of its subtree (text, link and tag density), its
 attribute tokens, depth and siblings. Trees are fitted on a bounded sample of pages that mark their
-article themselves (article, main, role=main): nodes in it, and above it, are positive. Decoding
-maximises the summed log odds over the tree under one rule: a node is kept only if its parent is,
-so no decision of a node contradicts that of an ancestor or descendant.
+article themselves (article, main, role=main): nodes in it, and above it, are positive. Every
+sample page is learned from twice, once with the marks that gave the labels hidden from the
+features, so the trees also part pages that mark nothing. Decoding maximises the summed log odds
+over the tree under one rule: a node is kept only if its parent is, so no decision of a node
+contradicts that of an ancestor or descendant.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from .common import bounded_batches, tidy
 #: Pages used for fitting, those of the lowest hashes.
 FIT_PAGES = 500
 
-#: Element groups of HTML.
-HIDDEN = "script style noscript template svg math iframe object canvas head title textarea select datalist audio video"
+#: Element groups of HTML. RAW elements hold no markup and end at their end tag or the
+#: page's end; HIDDEN ones hide what they hold if an end tag follows. The tags of a head are passed
+#: over, as its end tag may be left out; what it may hold is raw or has no text.
+RAW = "script style noscript iframe title textarea"
+HIDDEN = frozenset("template svg math object canvas select datalist audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br area map embed link meta base source track param picture".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PARAGRAPHS = frozenset("p blockquote pre figure figcaption".split())
@@ -41,10 +46,12 @@ CONTENT_WORDS = "article articlebody body content entry main mainbody post story
 _WORDS = re.compile(r"[a-z]+")
 _NOISE, _CONTENT = frozenset(NOISE_WORDS.split()), frozenset(CONTENT_WORDS.split())
 _NAMES = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDE = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_MAY_HIDE = re.compile("hidden|display|role", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<hidden>{HIDDEN.replace(' ', '|')})(?=[\s/>])[^>]*(?:>.*?(?:</(?P=hidden)\s*>|\Z)|\Z)"
+    rf"|<(?P<raw>{RAW.replace(' ', '|')})(?=[\s/>])[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|</(?P<end>[a-z][^\s/>]*)[^>]*(?:>|\Z)"
     r"""|<(?P<tag>[a-z][^\s/>]*)(?P<attrs>[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+)(?:>|\Z)"""
     r"|<[a-z!?/][^>]*(?:>|\Z)",
@@ -56,17 +63,28 @@ class Page:
     """Block nodes of a page in document order, and its text runs."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.depth, self.attr = ["#root"], [-1], [0], [(False, False, False)]
+        self.tag, self.parent, self.depth, self.attr, self.marks = ["#root"], [-1], [0], [(False, False, False)], [False]
         self.runs: list = []  # (node, [text, ...])
         self.chars, self.links, self.tags, self.stops, self.inputs = [0], [0], [0], [0], [0]
-        stack, run, at, linked = [0], None, 0, False
+        stack, run, at, linked, unseen, endless = [0], None, 0, False, 0, set()
         for m in _TOKEN.finditer(html):
+            if m.start() < unseen:  # inside a hidden element
+                at = max(unseen, m.end())
+                continue
             if m.start() > at:
                 run = self._text(html[at : m.start()], stack[-1], run, linked)
             at = m.end()
             if m["tag"]:
                 tag = m["tag"].lower()
                 node = stack[-1]
+                if tag == "head":
+                    continue
+                if tag in HIDDEN and tag not in endless and not m["attrs"].endswith("/"):
+                    end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                    if end:
+                        unseen = at = end.end()
+                        continue
+                    endless.add(tag)
                 if tag in INLINE:
                     self.tags[node] += 1
                     if tag == "a":
@@ -81,7 +99,9 @@ class Page:
                 self.parent.append(stack[-1])
                 self.depth.append(len(stack))
                 self.tag.append(tag)
-                self.attr.append(self._named(m["attrs"]))
+                *attr, main = self._named(m["attrs"])
+                self.attr.append(tuple(attr))
+                self.marks.append(main or tag in ARTICLES)
                 for x in (self.chars, self.links, self.stops, self.inputs):
                     x.append(0)
                 self.tags.append(1)
@@ -114,10 +134,16 @@ class Page:
 
     @staticmethod
     def _named(attrs: str) -> tuple:
+        """Whether the attributes name noise or content, hide the element, or make it the main part."""
         if not attrs:
-            return False, False, False
+            return False, False, False, False
         words = {w for v in _NAMES.findall(attrs) for w in _WORDS.findall(v.lower())}
-        return not words.isdisjoint(_NOISE), not words.isdisjoint(_CONTENT), bool(_HIDE.search(attrs))
+        hide = main = False
+        if _MAY_HIDE.search(attrs):
+            own = {k.lower(): v.strip("\"'") for k, v in reversed(_ATTRIBUTE.findall(attrs))}  # the first of a name counts
+            hide = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(own.get("style", "")))
+            main = own.get("role", "").lower() == "main"
+        return not words.isdisjoint(_NOISE), not words.isdisjoint(_CONTENT), hide, main
 
     def _text(self, text: str, node: int, run, linked: bool):
         if run is None:
@@ -133,8 +159,10 @@ class Page:
         self.stops[node] += text.count(".") + text.count(",")
         return run
 
-    def features(self) -> list:
+    def features(self, marks: list | None = None) -> list:
+        """Features of every node; ``marks`` may replace what is known of the page's own marks."""
         n = len(self.tag)
+        marks = self.marks if marks is None else marks
         chars, links, tags, stops, inputs = list(self.chars), list(self.links), list(self.tags), list(self.stops), list(self.inputs)
         kids: list = [[] for _ in range(n)]
         for k in range(n - 1, 0, -1):
@@ -162,7 +190,7 @@ class Page:
             apart = noise or hide or tag in APART
             if p >= 0:
                 below[k] = below[p] or self.tag[p] in APART or self.attr[p][0] or self.attr[p][2]
-                within[k] = within[p] or self.tag[p] in ARTICLES
+                within[k] = within[p] or marks[p]
             c, sibs = chars[k], len(kids[p]) if p >= 0 else 1
             out.append(
                 (
@@ -182,12 +210,12 @@ class Page:
                     tag in HEADINGS,
                     tag in LISTS or tag in TABLES,
                     tag in APART,
-                    tag in ARTICLES,
+                    marks[k],
                     noise,
                     content,
                     hide,
                     apart or below[k],
-                    within[k] or tag in ARTICLES,
+                    within[k] or marks[k],
                     inputs[k],
                     len(kids[k]),
                 )
@@ -201,7 +229,7 @@ class Page:
         for k in range(n):
             p, (noise, _, hide) = self.parent[k], self.attr[k]
             apart[k] = noise or hide or self.tag[k] in APART or p >= 0 and apart[p]
-            inside[k] = (self.tag[k] in ARTICLES or p >= 0 and inside[p]) and not apart[k]
+            inside[k] = (self.marks[k] or p >= 0 and inside[p]) and not apart[k]
         if not any(inside):
             return None
         for k in range(n - 1, -1, -1):
@@ -210,12 +238,12 @@ class Page:
         return [int(i or a) for i, a in zip(inside, above, strict=True)]
 
     def decoded(self, p: list) -> list:
-        """Kept nodes: the most likely set in which every kept node has a kept parent."""
+        """Kept nodes: the most likely set in which every kept node has a kept parent and none is hidden."""
         n = len(self.tag)
         keep, drop = [0.0] * n, [0.0] * n
         for k in range(n - 1, -1, -1):
             q = min(max(p[k], 1e-6), 1 - 1e-6)
-            keep[k] += math.log(q)
+            keep[k] = -math.inf if self.attr[k][2] else keep[k] + math.log(q)
             drop[k] += math.log(1 - q)
             if k:
                 keep[self.parent[k]] += max(keep[k], drop[k])
@@ -237,7 +265,8 @@ def _plain_odds(x) -> float:
 
 def fit_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES) -> list | None:
     """Trees from at most ``fit_pages`` pages that mark their article; None if there are none."""
-    ids = pages.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(fit_pages)
+    marked = F.col(html_col).rlike(r"(?i)<(?:article|main)[\s/>]|\brole\s*=\s*[\"']?main\b")
+    ids = pages.where(marked).select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(fit_pages)
     sample = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(F.broadcast(ids), "id").select("html")
 
     def nodes(batches):
@@ -249,8 +278,9 @@ def fit_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fi
                 page = Page(html or "")
                 y = page.marked()
                 if y:
-                    xs += [[float(v) for v in x] for x in page.features()]
-                    ys += y
+                    for marks in (None, [False] * len(y)):
+                        xs += [[float(v) for v in x] for x in page.features(marks)]
+                        ys += y
             if ys:
                 yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32())], names=["x", "y"])
 
