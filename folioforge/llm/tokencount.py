@@ -9,6 +9,8 @@ earlier one in a tie; every token is counted once, so the sections' counts add u
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ from .common import bounded_batches, tidy
 
 #: Fixed value: the split pattern of the byte-level vocabulary of 50,257 entries.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: what that pattern takes as white space (the Unicode property).
+SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space from this length on are cut out before the pattern sees the text.
+RUN = 1000
+_RUN = re.compile(rf"[{SPACES}]{{{RUN},}}")
 _ENCODERS: dict = {}
 
 
@@ -36,6 +43,22 @@ def encoder(ranks: bytes):
     return _ENCODERS[key]
 
 
+def token_ids(encoding, text: str) -> list:
+    """Ids of a whole text, equal to the library's.
+
+    The pattern engine recurses over long runs of white space until its stack ends. The pattern
+    makes one piece of such a run without its last character, or of all of it at the text's end,
+    and no piece before it reaches into it; so the run is encoded as that piece, apart.
+    """
+    at, out = 0, []
+    for m in _RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def attributed(ends, section_ends, rule: str):
     """Section of each token: ends are the tokens' end offsets, section_ends the sections'."""
     import numpy as np
@@ -62,7 +85,8 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     of a field with its line feed, so the sections cover the document. A document without text has
     no sections. char_start and char_end are code points of the document, end exclusive; n_crossing
     counts the section's tokens that reach into another one. Null and repeated ids are kept as rows
-    of their own; an empty table gives an empty result; texts of any length are encoded whole.
+    of their own; an empty table gives an empty result; texts of any length, runs of one character
+    and white space among them, are encoded whole; other columns are ignored.
     """
     if rule not in ("first", "most"):
         raise ValueError("rule is 'first' or 'most'")
@@ -76,8 +100,7 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         import numpy as np
         import pyarrow as pa
 
-        encode, size = encoder(ranks.value)
-        encode = encode.encode_ordinary
+        encoding, size = encoder(ranks.value)
 
         def out(rows):
             ids, counts, parts = zip(*rows, strict=True)
@@ -96,7 +119,7 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 line_ends = np.flatnonzero(raw == 10) + 1
                 field_ends = np.cumsum([len(t.encode()) for t in texts])
                 bounds = np.union1d(line_ends, field_ends[field_ends > 0])
-                ends = np.cumsum(size[np.array(encode(whole), np.int64)])
+                ends = np.cumsum(size[np.array(token_ids(encoding, whole), np.int64)])
                 section = attributed(ends, bounds, rule)
                 starts = np.concatenate([[0], ends[:-1]])
                 first = np.searchsorted(bounds, starts, side="right")
