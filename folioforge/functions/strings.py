@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+from unicodedata import normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,20 +39,20 @@ def book_slug(c) -> Column:
     return F.when(s == "", "chapter").otherwise(s)
 
 
-#: Letters that decompose into an ASCII letter and marks, row by row.
-ACCENTED = {
-    "A": "ÀÁÂÃÄÅĀĂĄǍ", "C": "ÇĆĈĊČ", "D": "Ď", "E": "ÈÉÊËĒĔĖĘĚ", "G": "ĜĞĠĢ", "H": "Ĥ", "I": "ÌÍÎÏĨĪĬĮİ", "J": "Ĵ", "K": "Ķ", "L": "ĹĻĽ", "N": "ÑŃŅŇ", "O": "ÒÓÔÕÖŌŎŐ",
-    "R": "ŔŖŘ", "S": "ŚŜŞŠ", "T": "ŢŤ", "U": "ÙÚÛÜŨŪŬŮŰŲ", "W": "Ŵ", "Y": "ÝŶŸ", "Z": "ŹŻŽ",
-    "a": "àáâãäåāăąǎ", "c": "çćĉċč", "d": "ď", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ", "i": "ìíîïĩīĭį", "j": "ĵ", "k": "ķ", "l": "ĺļľ", "n": "ñńņň", "o": "òóôõöōŏő",
-    "r": "ŕŗř", "s": "śŝşš", "t": "ţť", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
-}
+@cache
+def accented() -> tuple[str, str]:
+    """(signs, letters): every sign whose canonical decomposition holds one ASCII letter or digit, and that one."""
+    pairs = []
+    for k in range(0x80, 0x110000):
+        plain = [x for x in normalize("NFD", chr(k)) if x.isascii() and x.isalnum()] if not 0xD800 <= k < 0xE000 else []
+        if len(plain) == 1:
+            pairs.append((chr(k), plain[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def ascii_title(c) -> Column:
     """ASCII letters and digits only, accents dropped, each run of letters in title case."""
-    marks = "".join(ACCENTED.values())
-    plain = "".join(k * len(v) for k, v in ACCENTED.items())
-    s = sub(F.translate(col(c), marks, plain), "[^a-zA-Z0-9]")
+    s = sub(F.translate(col(c), *accented()), "[^a-zA-Z0-9]")
     runs = F.regexp_extract_all(s, F.lit("[a-zA-Z]+|[0-9]+"), F.lit(0))
     return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, 2, 1 << 30)))), "")
 

@@ -93,16 +93,20 @@ CASE WHEN f = '' THEN 'doc' ELSE f END AS file_slug, CASE WHEN s = '' THEN 'sect
 FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[^\p{L}\p{N}_\-]', '_', 'g'), '_+', '_', 'g'), '_') AS f,
   trim(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{N}_\s\-]', '', 'g'), '[\s\-]+', '_', 'g'), '_') AS s,
   substr(trim(regexp_replace(lower(t), '[^a-zA-Z0-9]+', '_', 'g'), '_'), 1, 60) AS b
-  FROM (SELECT doc_id, substr(text, 1, 80) AS t FROM documents))"""
+  FROM (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents))"""
 )
 def slugs(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 80).alias("t"))
+    """The first line stands for a title."""
+    d = _docs(spark, sf_dir).select("doc_id", F.substring_index("text", "\n", 1).alias("t"))
     return d.select("doc_id", S.file_slug("t").alias("file_slug"), S.section_slug("t").alias("section_slug"), S.book_slug("t").alias("book_slug"))
 
 
-#: Metadata made from a document's first words; the same SQL in both engines but for list syntax.
-STUB_DUCK = r"""meta AS (SELECT doc_id, substr(text, 1, 60) AS title, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE CAST(1990 + doc_id % 30 AS INT) END AS year,
-  list_transform(range(0, doc_id % 4), lambda j: concat(ws[CAST(2 * j + 1 AS INT)], CASE WHEN j % 2 = 0 THEN ' ' ELSE ', ' END, ws[CAST(2 * j + 2 AS INT)])) AS authors, source AS journal, CASE WHEN doc_id % 3 = 0 THEN concat('10.1/', doc_id) ELSE '' END AS doi
+#: Metadata made from a document's first line and words, and names with marks of many scripts; the same
+#: SQL in both engines but for list syntax.
+NAMES = {1: "Abū Al-Ḥasan", 6: "Trần Nguyễn", 11: "Đặng, Hữu", 13: "İbrahim Ǧamīl", 19: "Åsa Łukasz"}
+NAME = "CASE doc_id % 20 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in NAMES.items()) + " END"
+STUB_DUCK = rf"""meta AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE CAST(1990 + doc_id % 30 AS INT) END AS year,
+  list_transform(range(0, doc_id % 4), lambda j: CASE WHEN j = 0 AND {NAME} IS NOT NULL THEN {NAME} ELSE concat(ws[CAST(2 * j + 1 AS INT)], CASE WHEN j % 2 = 0 THEN ' ' ELSE ', ' END, ws[CAST(2 * j + 2 AS INT)]) END) AS authors, source AS journal, CASE WHEN doc_id % 3 = 0 THEN concat('10.1/', doc_id) ELSE '' END AS doi
   FROM (SELECT doc_id, text, source, list_concat(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'), ['Ann', 'Lee', 'Bo', 'Ray', 'Cy', 'Fox']) AS ws FROM documents))"""
 
 
@@ -110,13 +114,13 @@ def stub_metadata(spark, sf_dir):
     """(doc_id, title, year, authors, journal, doi, source)."""
     return _docs(spark, sf_dir).selectExpr(
         "doc_id",
-        "substr(text, 1, 60) AS title",
+        "substring_index(text, chr(10), 1) AS title",
         "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE cast(1990 + doc_id % 30 AS int) END AS year",
         r"concat(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+', 0), array('Ann', 'Lee', 'Bo', 'Ray', 'Cy', 'Fox')) AS ws",
         "source AS journal",
         "CASE WHEN doc_id % 3 = 0 THEN concat('10.1/', doc_id) ELSE '' END AS doi",
         "source",
-    ).selectExpr("doc_id", "title", "year", "CASE WHEN doc_id % 4 = 0 THEN array() ELSE transform(sequence(0, int(doc_id % 4) - 1), j -> concat(ws[2 * j], CASE WHEN j % 2 = 0 THEN ' ' ELSE ', ' END, ws[2 * j + 1])) END AS authors", "journal", "doi", "source")
+    ).selectExpr("doc_id", "title", "year", f"CASE WHEN doc_id % 4 = 0 THEN array() ELSE transform(sequence(0, int(doc_id % 4) - 1), j -> CASE WHEN j = 0 AND {NAME} IS NOT NULL THEN {NAME} ELSE concat(ws[2 * j], CASE WHEN j % 2 = 0 THEN ' ' ELSE ', ' END, ws[2 * j + 1]) END) END AS authors", "journal", "doi", "source")
 
 
 def duck_title(c: str) -> str:
