@@ -10,19 +10,26 @@ from ..functions.pytext import SPACE, col, n_words, strip, sub, words
 
 def plain_text(markdown) -> Column:
     """Markdown without code, heading marks, images, links and emphasis, white space as one space."""
+    spaced = lambda t: strip(sub(t, f"[{SPACE}]+", " "))
     t = sub(markdown, r"```[\s\S]*?```", " ")
     t = sub(t, "`[^`]+`", " ")
     t = sub(t, rf"(?m)(?d)^#{{1,6}}[{SPACE}]+")
     t = sub(t, r"!\[[^\n]*?\]\([^\n]*?\)", " ")
     t = sub(t, r"\[([^\]]+)\]\([^\n]*?\)", "$1")
     t = sub(t, r"[*_]{1,3}([^*_]+)[*_]{1,3}", "$1")
-    return strip(sub(t, f"[{SPACE}]+", " "))
+    # most texts hold no mark at all, and one look is cheaper than six replacements
+    return F.when(col(markdown).rlike(r"[`#*_]|\]\("), spaced(t)).otherwise(spaced(markdown))
 
 
 def token_estimate(c) -> Column:
     return F.floor(n_words(c) * F.lit(13) / F.lit(10)).cast("int")
 
 
+def named(value: Column, f) -> Column:
+    """f(value) where f gives an array: the value is made once, however often f uses it."""
+    return F.flatten(F.transform(F.array(value), f))
+
+
 def passages(text, window: int, overlap: int) -> Column:
     """array<struct<passage, char_offset>>: windows of words that advance by window - overlap.
 
@@ -37,17 +44,18 @@ def passages(text, window: int, overlap: int) -> Column:
     def built(ws):
         n = F.size(ws)
         k = F.when(n <= window, 1).otherwise(F.ceil((n - window) / F.lit(step)) + 1).cast("int")
-        lengths = F.transform(ws, F.length)
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+        # lengths of the words between two starts, so that an offset adds up one number a window
+        between = F.transform(F.sequence(F.lit(0), k - 1), lambda j: total(F.transform(F.slice(ws, j * step + 1, F.lit(step)), F.length)))
 
-        def one(j):
-            i = j * step
-            before = F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x) + F.greatest(i - 1, F.lit(0))
-            return F.struct(F.array_join(F.slice(ws, i + 1, F.lit(window)), " ").alias("passage"), before.cast("int").alias("char_offset"))
+        def one(j, lengths):
+            before = total(F.slice(lengths, F.lit(1), j)) + F.greatest(j * step - 1, F.lit(0))
+            return F.struct(F.array_join(F.slice(ws, j * step + 1, F.lit(window)), " ").alias("passage"), before.cast("int").alias("char_offset"))
 
-        return F.when(n == 0, F.array().cast("array<struct<passage:string,char_offset:int>>")).otherwise(F.transform(F.sequence(F.lit(0), k - 1), one))
+        rows = named(between, lambda lengths: F.transform(F.sequence(F.lit(0), k - 1), lambda j: one(j, lengths)))
+        return F.when(n == 0, F.array().cast("array<struct<passage:string,char_offset:int>>")).otherwise(rows)
 
-    # a one-element transform names the word array, so it is made once
-    return F.flatten(F.transform(F.array(ws), built))
+    return named(words(text), built)
 
 
 def chunked(docs: DataFrame, sections: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 300, overlap: int = 50) -> DataFrame:
