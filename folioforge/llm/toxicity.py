@@ -1,30 +1,37 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-Both dictionaries end in the same part, trained by zstandard on ordinary windows, so ordinary text
-compresses alike under both. In front of it each holds its own part: the segments that recur in
-documents of its class far beyond their share in the other (6-byte pieces by likelihood ratio,
-merged where they overlap in a word), the choice that zstandard's trainer makes by frequency alone.
-A text is cut into overlapping windows of a few words; how many bytes fewer a window takes under
-the toxic dictionary than under the ordinary one is its margin. Counts of margins at calibrated
-thresholds give the score by a logistic fit on training documents.
+zstandard trains both dictionaries: the ordinary one on windows of ordinary documents, chosen by
+hash; the toxic one on windows of toxic documents, set in front of the ordinary dictionary, so that
+ordinary text compresses alike under both. Of a toxic document only few windows are toxic, and the
+trainer ranks by frequency alone, so its toxic windows are the words that hold a segment which
+recurs in toxic documents far beyond its share in ordinary ones. A text is cut into overlapping
+windows of a few words; how many bytes fewer a window takes under the toxic dictionary than under
+the ordinary one is its margin. Counts of margins at calibrated thresholds give the score by a
+logistic fit on training documents.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, released, tidy
+from .common import bounded_batches, column, released, tidy
 
-#: Labelled documents used for fitting, those of the lowest hashes; bounds the driver's work.
+#: Labelled documents used for fitting, those of the lowest hashes, as many as stay within the bytes;
+#: bounds the driver's work.
 FIT_DOCS = 8000
+FIT_BYTES = 64 << 20
 WINDOW, STEP = 6, 3
 PIECE = 6
-COMMON_BYTES = 32 << 10
-OWN_BYTES = 16 << 10
-#: Windows that train the common part: about this many bytes, from anywhere in the ordinary texts.
+ORDINARY_BYTES = 32 << 10
+TOXIC_BYTES = 16 << 10
+#: Times that a word must occur in the toxic documents to be one of their windows.
+RECURS = 2
+#: Windows that train the ordinary dictionary: about this many bytes, from anywhere in the texts.
 TRAIN_BYTES = 2 << 20
 LIKELIHOOD = 30.0
 LEVEL = 3
@@ -119,34 +126,31 @@ def _likelihood(a: int, n: int, b: int, m: int) -> float:
     return t
 
 
-def _segments(own: list, counts, other, n: int, m: int) -> bytes:
-    from collections import Counter
-
+def _typical(own: list, counts, other, n: int, m: int) -> list[bytes]:
+    """Recurring words of the texts ``own`` that hold a piece found in them beyond its share in the others."""
     often = counts[0][counts[1] >= 4]
     pairs = zip(often, _of(counts, often).tolist(), _of(other, often).tolist(), strict=True)
     marked = {x.tobytes()[:PIECE] for x, a, b in pairs if a * m > 3 * b * n and _likelihood(a, n, b, m) >= LIKELIHOOD}
-    found: Counter = Counter()
-    for text in own:
-        for w in set(text.lower().split()):
-            w = b" " + w + b" "
-            hit = [i for i in range(len(w) - PIECE + 1) if w[i : i + PIECE] in marked]
-            start = 0
-            for k, i in enumerate(hit):
-                if k + 1 == len(hit) or hit[k + 1] > i + 1:
-                    found[w[hit[start] : i + PIECE]] += 1
-                    start = k + 1
-    out = b""
-    for x in sorted((x for x, k in found.items() if k >= 3), key=lambda x: (-found[x], x)):
-        if len(out) + len(x) > OWN_BYTES:
-            break
-        out = x + out  # the most common nearest to the text
-    return out
+    words = (b" " + w + b" " for text in own for w in text.lower().split())
+    words = [w for w in words if any(w[i : i + PIECE] in marked for i in range(len(w) - PIECE + 1))]
+    times = Counter(words)
+    words = [w for w in words if times[w] >= RECURS]
+    # in an order of their hashes: the trainer takes from each stretch of its input
+    return [words[i] for i in sorted(range(len(words)), key=lambda i: zlib.crc32(b"%d" % i + words[i]))]
+
+
+def _trained(size: int, samples: list, k: int) -> bytes:
+    """A dictionary that zstandard trains on the samples; their end where they are too few for that."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=6, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 def _training(texts: list) -> list[bytes]:
     """Windows without overlap, all of them or those of the lowest hashes up to about ``TRAIN_BYTES``."""
-    import zlib
-
     total = sum(len(w) for t in texts for w in windows(t)[::2])
     least = (1 << 32) * min(1.0, TRAIN_BYTES / max(total, 1))
     return [w for i, t in enumerate(texts) for j, w in enumerate(windows(t)[::2]) if zlib.crc32(b"%d %d " % (i, j) + w) < least]
@@ -155,7 +159,6 @@ def _training(texts: list) -> list[bytes]:
 def fit(texts: list, toxic: list) -> dict | None:
     """Dictionaries, thresholds and weights from texts (bytes) and labels 0/1; None without both."""
     import numpy as np
-    import zstandard
 
     bad = [t for t, y in zip(texts, toxic, strict=True) if y]
     good = [t for t, y in zip(texts, toxic, strict=True) if not y]
@@ -163,15 +166,10 @@ def fit(texts: list, toxic: list) -> dict | None:
         return None
     each_bad, each_good = list(dict.fromkeys(bad)), list(dict.fromkeys(good))  # copies count once
     in_bad, in_good = _counts(each_bad), _counts(each_good)
-    own = _segments(each_bad, in_bad, in_good, len(each_bad), len(each_good))
-    plain = _segments(each_good, in_good, in_bad, len(each_good), len(each_bad))
-    samples = _training(good)
-    try:
-        common = zstandard.train_dictionary(COMMON_BYTES, samples, k=24, d=6, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        common = b"".join(samples)[-COMMON_BYTES:]
-    size = max(len(own), len(plain))
-    model = {"toxic": own.rjust(size, b"\0") + common, "ordinary": plain.rjust(size, b"\0") + common}
+    toxic_windows = _typical(each_bad, in_bad, in_good, len(each_bad), len(each_good))
+    del in_bad, in_good
+    ordinary, own = _trained(ORDINARY_BYTES, _training(good), 24), _trained(TOXIC_BYTES, toxic_windows, 24)
+    model = {"toxic": own + ordinary, "ordinary": bytes(len(own)) + ordinary}
     a, b = _compressor(model["ordinary"]), _compressor(model["toxic"])
     ds = [margins(a, b, t) for t in texts]
     y = np.array(toxic, float)
@@ -192,11 +190,19 @@ def fit(texts: list, toxic: list) -> dict | None:
 
 
 def fit_on(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, fit_docs: int = FIT_DOCS) -> dict | None:
-    """``fit`` on the labelled documents of the ``fit_docs`` lowest hashes of their ids."""
+    """``fit`` on the labelled documents of the ``fit_docs`` lowest hashes of their ids.
+
+    Of an id with several labels the highest counts; rows that share an id are documents of their
+    own. Null ids and labels are passed over, null texts are empty. Ties of the hash go by id.
+    """
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     y = y.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_docs)
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = docs.join(F.broadcast(y), "id").orderBy("id", "text").select("text", F.col("y").cast("int").alias("y")).toArrow()
+    rows = docs.join(F.broadcast(y), "id")
+    before = Window.orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    few = rows.select("id", "text", "y", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "id", "text").limit(fit_docs)
+    few = few.withColumn("n", F.sum("n").over(before)).where(F.col("n") <= FIT_BYTES)
+    rows = few.orderBy("id", "text").select("text", F.col("y").cast("int").alias("y")).toArrow()
     texts, toxic = rows["text"].cast("binary").to_pylist(), rows["y"].to_pylist()
     del rows
     model = fit(texts, toxic)
@@ -205,8 +211,8 @@ def fit_on(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
     return model
 
 
-def scored(df: DataFrame, model: dict | None, text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """Columns ``keep`` and score (0 to 1) of every row; nulls score as empty texts.
+def scored(df: DataFrame, model: dict | None, text_col: str = "text", keep: tuple = (), score_col: str = "score") -> DataFrame:
+    """Columns ``keep`` and ``score_col`` (0 to 1) of every row; nulls score as empty texts.
 
     Without a model (a class had no labelled rows) every score is 0. The whole text is scored,
     whatever its length; an empty table gives an empty result.
@@ -214,9 +220,11 @@ def scored(df: DataFrame, model: dict | None, text_col: str = "text", keep: tupl
     spark = df.sparkSession
     bounded_batches(spark)
     kept = text_col in keep
-    own = df.select(*keep) if kept else df.select(*keep, text_col)
+    if score_col in keep:
+        raise ValueError(f"{score_col} is a column that is kept")
+    own = df.select(*map(column, keep)) if kept else df.select(*map(column, keep), column(text_col))
     if model is None:
-        return own.select(*keep).withColumn("score", F.lit(0.0))
+        return own.select(*map(column, keep), F.lit(0.0).alias(score_col))
     at = own.columns.index(text_col)
     shared = spark.sparkContext.broadcast(model)
 
@@ -233,7 +241,7 @@ def scored(df: DataFrame, model: dict | None, text_col: str = "text", keep: tupl
             if not x:
                 continue
             z = np.c_[(np.array(x) - m["mean"]) / m["scale"], np.ones(len(x))] @ m["weights"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[*keep, score_col])
 
-    schema = own.select(*keep).withColumn("score", F.lit(0.0)).schema
+    schema = own.select(*map(column, keep), F.lit(0.0).alias(score_col)).schema
     return own.mapInArrow(tidy(run), schema)

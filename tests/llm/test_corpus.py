@@ -90,6 +90,19 @@ def test_near_duplicates(spark, texts):
     assert neardup.near_duplicates(texts.limit(0)).count() == 0
 
 
+def test_near_templates(spark):
+    """Long lists whose members fall just short of the threshold, and some that reach it."""
+    rnd = np.random.default_rng(6)
+    head = [f"t{i}" for i in range(54)]
+    rows = [(i, " ".join([*head, *(f"own{i}x{k}" for k in range(5))])) for i in range(120)]  # 50 of 55 shingles shared
+    rows += [(200 + i, " ".join([*head, *(f"some{i}x{k}" for k in range(int(rnd.integers(1, 8))))])) for i in range(60)]
+    rows += [(300 + i, " ".join([*(f"pre{rnd.integers(0, 9)}" for _ in range(3)), *head, f"p{rnd.integers(0, 6)}", f"q{rnd.integers(0, 6)}"])) for i in range(80)]
+    rows += [(400 + i, rows[130][1]) for i in range(50)]  # exact copies
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()}
+    assert got == near_brute(rows, 85, 100)
+
+
 def repeats_brute(rows, n=20):
     seen, out = {}, {}
     for i, t in sorted(rows):
@@ -117,6 +130,20 @@ def test_substrings(spark, texts):
     assert substrdup.remove_repeats(texts.limit(0)).count() == 0
 
 
+def test_substring_hashes():
+    """Windows that agree in one of their hashes only are not equal; those that agree in both are."""
+    import pyarrow as pa
+
+    def starts(second):
+        texts = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a", "b", "c"])], names=["id", "text"])
+        pick = lambda flat, ends, first, _: (np.full(3, 7, np.uint64), np.array(second, np.uint64), np.arange(3), np.zeros(3, int))
+        packed = list(substrdup._settled(iter([texts]), pick, 1, False))
+        found = list(substrdup._gathered(substrdup._resolved(False, 1)(iter(packed))))
+        return sorted(i for b in found for i in b.column(0).to_pylist())
+
+    assert starts([1, 2, 3]) == [] and starts([1, 2, 1]) == [3] and starts([5, 5, 5]) == [2, 3]
+
+
 def test_bpe(spark, texts):
     from tokenizers import Tokenizer
 
@@ -155,6 +182,21 @@ def test_vectors(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in vecdup.similar_vectors(df).collect()}
     assert got == {r[0]: (n[r[0]], g.find(r[0])) if r[0] is not None else (0, None) for r in rows}
     assert vecdup.similar_vectors(df.limit(0)).count() == 0
+    old = vecdup.TILE
+    try:
+        for tile in (20, 3):  # cells cut along several axes, and tiles of one cell
+            vecdup.TILE = tile
+            assert {r.vec_id: (r.n_links, r.component_id) for r in vecdup.similar_vectors(df).collect()} == got
+    finally:
+        vecdup.TILE = old
+
+
+def test_vector_leaves(spark):
+    """A cell is cut no further than to the size of a tile, and what is larger gets more tiles."""
+    rows = [(1, 0, c, [0.0]) for c, n in (([0, 0, 0, 0], 2), ([1, 0, 0, 0], vecdup.TILE // 2), ([1, 1, 0, 0], vecdup.TILE), ([2, 0, 0, 0], 2 * vecdup.TILE + 1)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "label int, d int, cell array<int>, lead array<double>")
+    got = {tuple(r.cell): (r.leaf, r.tiles) for r in vecdup._leaves(df).collect()}
+    assert got == {(0, 0, 0, 0): ([0], 1), (1, 0, 0, 0): ([1, 0], 1), (1, 1, 0, 0): ([1, 1], 1), (2, 0, 0, 0): ([2, 0, 0, 0], 3)}
 
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -244,6 +286,37 @@ def test_html(spark):
         assert all(kept[p.parent[k]] for k in range(1, len(kept)) if kept[k])
 
 
+def test_html_marks(spark):
+    """Attributes are read as attributes, and a head or an element without end tag loses no page."""
+    body = "<article><h1>A title of it</h1><p>One long sentence here, with words, and more of them.</p>%s<p>Another long sentence, with words again, and an end.</p></article>"
+    want = "A title of it\nOne long sentence here, with words, and more of them.\n%sAnother long sentence, with words again, and an end."
+    kept = "<p%s>Some text that is seen by all readers, as it should be.</p>"
+    cases = [
+        ("<html><head><title>t</title><meta charset=utf-8><body>" + body % "", want % ""),
+        ("<head><style>p {}</style><script>x</script></head>" + body % "", want % ""),
+        *((body % (kept % a), want % "Some text that is seen by all readers, as it should be.\n") for a in (' aria-hidden="false"', ' class="overflow-hidden"', ' data-title="hidden gems"', " style='color: red; x: hidden'", " title='display: none'")),
+        *((body % (kept % a), want % "") for a in (" hidden", ' HIDDEN=""', " aria-hidden=TRUE", " style='color: red; display : none'", " hidden=until-found")),
+        (body % "<svg/><svg><text>drawn</text></svg><object>" + "<select>", want % ""),
+        (body % "<!-- a comment <p>no</p> --><template><p>no</p></template><SVG><p>no</svg >", want % ""),
+    ]
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html")
+    trees = htmltext.fit_on(pages)
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.main_text(df, trees=trees).collect()}
+    for i, (h, t) in enumerate(cases):
+        assert got[i] == t, h
+    # pages that mark nothing: the article's tags renamed, as trees alone tell it apart
+    plain = pages.withColumn("html", F.regexp_replace("html", r"(?i)(</?)(?:article|main)\b", "$1div"))
+    assert not plain.where(F.col("html").rlike("(?i)<(article|main)")).count()
+    a = {r.page_id: r.text for r in htmltext.main_text(pages, trees=trees).collect()}
+    b = {r.page_id: r.text for r in htmltext.main_text(plain, trees=trees).collect()}
+    assert sum(a[i] == b[i] for i in a) >= 0.95 * len(a)
+    # a page of many megabytes, and many elements without end
+    long = "<article>" + "<p>One long sentence here, with words, and more of them.</p>" * 60_000 + "<select><object>" * 20_000
+    r = htmltext.main_text(spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string"), trees=trees).first()
+    assert r.text.count("\n") == 59_999
+
+
 def test_warc(spark):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
     rows += [(700, "u\r\nX: y", rows[3][2]), (701, None, None), (702, "u", ""), (703, "u", "x" * (1 << 24)), (704, "u", "x" * (1 << 24)), (None, "u", "alone"), (705, "é", "ü")]
@@ -266,6 +339,16 @@ def test_warc(spark):
     assert whole.decompress(files[0]).startswith(b"WARC/1.1\r\n") and whole.eof
     with pytest.raises(ValueError):
         list(warc.records(files[0][:-30]))
+    many = new_path(spark, "warc")  # files are bounded by bytes, large pages in files of their own
+    old, warc.FILE_BYTES = warc.FILE_BYTES, 100_000
+    try:
+        sizes = [10] * 50 + [30_000] * 7 + [200_000]
+        warc.write_warc(spark.createDataFrame([(i, "u", str(i) + "x" * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1), many, suffix=True, level=0)
+    finally:
+        warc.FILE_BYTES = old
+    files = [(r.path, [int(h["content-length"]) for h, _ in warc.records(bytes(r.content))]) for r in spark.read.format("binaryFile").load(many).collect()]
+    assert all(p.endswith(".warc.gz") and (sum(n) < 110_000 or len(n) == 1) for p, n in files) and sum(len(n) for _, n in files) == len(sizes)
+    assert sorted(r.row_id for r in warc.read_warc(spark, many).collect()) == list(range(len(sizes)))
     empty = new_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert warc.read_warc(spark, empty).count() == 0
@@ -339,7 +422,7 @@ def test_token_counts(spark, texts):
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    df = docs(spark).select("doc_id", "text").union(texts.select(F.col("doc_id") + 5000, "text")).union(spark.createDataFrame([(6000, "\n\nü é\n日本 <|endoftext|>\n"), (6001, "no end")], "doc_id long, text string"))
+    df = docs(spark).select("doc_id", "text").union(texts.select(F.col("doc_id") + 5000, "text")).union(spark.createDataFrame([(6000, "\n\nü é\n日本 <|endoftext|>\n"), (6001, "no end"), (6002, "a\n" + "\n" * 3000 + "b" + " " * 3000)], "doc_id long, text string"))
     got = collections.defaultdict(list)
     for r in tokencount.count_tokens(df, queries.byte_vocabulary()).collect():
         got[r.doc_id].append((r.section, r.char_start, r.char_end, r.n_tokens))
@@ -361,6 +444,22 @@ def test_token_counts(spark, texts):
     assert tokencount.count_tokens(texts.limit(0), queries.byte_vocabulary()).count() == 0
 
 
+def test_token_ids():
+    """Long runs of one character: the library's ids, and no stack overflow."""
+    with open(queries.byte_vocabulary(), "rb") as f:
+        encoding, size = tokencount.encoder(f.read())
+    rnd = np.random.default_rng(3)
+    spaces = [" ", "\n", "\t", "\r", "\x85", "\xa0", "\u2003", "\u3000"]
+    for k in range(200):  # short runs through the same cut
+        run = "".join(rnd.choice(spaces, int(rnd.integers(tokencount.RUN, tokencount.RUN + 40))))
+        text = str(rnd.choice(["", "ab", "1", ".", "ab\x1c", "'s"])) + run + str(rnd.choice(["", "cd", "2 3", "..", "\x1cx", "'s", "é"])) + str(rnd.choice(["", run, " x"]))
+        assert tokencount.token_ids(encoding, text) == encoding.encode_ordinary(text)
+    for c, n in ((" ", 1), ("\n", 2), ("a", 4), ("é", 1), ("!", 8)):
+        for text in (c * 10**6, "x" + c * 10**6 + "y"):
+            ids = np.array(tokencount.token_ids(encoding, text))
+            assert size[ids].sum() == len(text.encode()) and len(ids) <= 10**6 // n + 3
+
+
 def test_toxicity(spark, texts):
     path = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
@@ -373,6 +472,7 @@ def test_toxicity(spark, texts):
     assert model is None and toxicity.scored(texts, None, keep=("doc_id",)).count() == len(TEXTS)
     good, bad = [f"the day was fine and number {i} came".encode() for i in range(60)], [f"you horrible nitwit number {i} came".encode() for i in range(60)]
     model = toxicity.fit(good + bad, [0] * 60 + [1] * 60)
+    assert b"horrible" in model["toxic"] and b"horrible" not in model["ordinary"] and model["toxic"].endswith(model["ordinary"].lstrip(b"\0"))
     s = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame([(1, "the day was fine"), (2, "a horrible nitwit came"), (3, None), (4, "")], "doc_id long, text string"), model, keep=("doc_id",)).collect()}
     assert s[2] > s[1] and s[3] == s[4]
 
@@ -425,6 +525,28 @@ def test_pipeline(spark):
     assert empty.count() == 0
 
 
+def test_pipeline_columns(spark):
+    """Columns that stages use inside are kept as they are; null and repeated rows pass."""
+    names = ["score", "_score", "spans", "base", "n_email", "text_", "id", "_id", "_text", "pii_spans", "_k0", "v", "kept", "item", "t.x"]
+    d = docs(spark).limit(60).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names[:-1]}).withColumn("t.x", F.lit("t.x"))
+    odd = spark.createDataFrame([(9000, None), (9001, ""), (9002, "mail a@b.co now"), (9002, "mail a@b.co now"), (None, "no id")], "doc_id long, text string")
+    d = d.unionByName(odd, allowMissingColumns=True)
+    d.write.parquet(path := new_path(spark, "docs"))
+    d = spark.read.parquet(path)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, d, DATA).write.parquet(path := new_path(spark, "stage"))
+        out = spark.read.parquet(path)
+        if name == "bpe":
+            assert out.count() == d.count()
+            break
+        assert out.dtypes == d.dtypes
+        for r in out.where("doc_id < 9000").collect():
+            assert all(r[c] == (c if c == "t.x" else f"{c}{r.doc_id}") for c in names)
+        assert out.where("doc_id is null").count() == 1
+        d = out
+    assert {r.text for r in d.where("doc_id >= 9000").collect()} == {None, "", "mail [EMAIL] now"}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows_as_sql(spark, name):
     from oracle import connection, same
