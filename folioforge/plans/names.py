@@ -15,13 +15,6 @@ def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
-def unique_file_names(spark, sf_dir):
-    """No SQL twin: each name depends on all before it; tested against a loop."""
-    d = _read(spark, sf_dir, "documents").selectExpr("doc_id", "lang AS folder", "concat(source, CASE WHEN doc_id % 9 = 0 THEN '_2' ELSE '' END) AS stem")
-    return N.unique_names(d, "stem", "doc_id", "folder")
-
-
 @query("SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, n_chars % 50 ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def uploads_deduplicated(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", (F.col("n_chars") % 50).alias("size"))

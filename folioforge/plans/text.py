@@ -233,11 +233,3 @@ def prompt_leaks_removed(spark, sf_dir):
     leaky = F.when(F.col("turn") % 3 == 1, F.concat(F.substring_index("text", "\n", 1), F.lit("\n## You transcribe document page images into markdown, says it\n"), F.col("text"))).otherwise(F.col("text"))
     pages = L.gathered(c.withColumn("t", leaky), ["conv_id"], "turn", "t", "\n---\n")
     return pages.select("conv_id", L.without_leaks("text").alias("text"))
-
-
-@query()
-def page_batches(spark, sf_dir):
-    """No SQL twin: a greedy fold; tested against a loop."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.pmod("page_id", F.lit(7)).alias("doc"), "page_id", F.octet_length("html").alias("size"))
-    sizes = pages.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page_id", "size"))).alias("p"))
-    return sizes.select("doc", L.page_batches(F.transform("p", lambda x: x["size"]), 20, 200_000).alias("batches"))

@@ -18,12 +18,13 @@ SUFFIXES = [".pdf", ".docx", ".md", ".txt", ".png", ".jpg", ".jpeg", ".webp", ".
 def listed(spark: SparkSession, path: str, recursive: bool = False, with_content: bool = True) -> DataFrame:
     """(path, filename, format, size, content) of the files under ``path`` with a known suffix.
 
-    The suffix is compared without case. The content column is read only if used.
+    ``path`` may be one file. The suffix is compared without case. The content column is read only
+    if used; a listing without it is sorted by path.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     rows = files.where(suffix.isin(SUFFIXES)).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), document_format("path").alias("format"), F.col("length").alias("size"), *(["content"] if with_content else []))
-    return rows
+    return rows if with_content else rows.orderBy("path")
 
 
 def first_files(files: DataFrame, most: int = 100) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 from abc import ABC, abstractmethod
 from functools import wraps
@@ -46,10 +47,16 @@ class EchoOcr(OcrProvider):
 
 
 class RuleChat(ChatProvider):
-    """Deterministic stand-in: title from the first line, headings as plan, no other knowledge."""
+    """Deterministic stand-in: title from the first line, headings of numbered lines as plan, no other knowledge."""
 
     def complete(self, messages: list[dict], *, model: str | None = None, temperature: float = 0.0) -> str:
         text = messages[-1]["content"]
+        numbered = [re.match(r"(\d+): (#{1,6})\s+(.*\S)", x) for x in text.split("\n")]
+        heads = [(int(m[1]), len(m[2]), m[3]) for m in numbered if m]
+        if heads:
+            last = len(numbered)
+            ends = [n - 1 for n, _, _ in heads[1:]] + [last]
+            return json.dumps({"sections": [{"label": t, "section_id": "", "language": "unknown", "level": k, "start_line": n, "end_line": e} for (n, k, t), e in zip(heads, ends, strict=True)]})
         first = next((x.strip("# ").strip() for x in text.splitlines() if x.strip()), "")
         return json.dumps({"title": first, "authors": [], "year": None, "source": "", "doi": "", "doc_type": "unknown", "languages": [], "structure_pattern": "unknown"})
 
@@ -159,6 +166,111 @@ def chat_json(prompts: DataFrame, provider: ChatProvider, schema: str, key: str
     return done.withColumn("reply", F.from_json("reply", schema))
 
 
+def timed_replies(prompts: DataFrame, chats: dict, keys: list, attempts: int = 3, wait: float = 1.0) -> DataFrame:
+    """(keys, reply, error, latency_s) from (keys, chat_provider, model, system, user).
+
+    ``chats`` maps names to providers; reply is JSON text. A reply that is no JSON is retried, and a
+    row that fails has an error. latency_s is the wall time of the row's calls, waits included.
+    """
+    kinds = ", ".join(f"{k} {prompts.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            replies, errors, seconds = [], [], []
+            for name, model, system, user in zip(*(batch.column(c).to_pylist() for c in ("chat_provider", "model", "system", "user")), strict=True):
+                began, reply, error = time.monotonic(), None, None
+                try:
+                    reply = json.dumps(retried(attempts, wait)(_known(chats, name).complete_json)(system, user, model=model))
+                except ProviderError as e:
+                    error = str(e)
+                replies.append(reply)
+                errors.append(error)
+                seconds.append(round(time.monotonic() - began, 2))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(replies, pa.string()), pa.array(errors, pa.string()), pa.array(seconds, pa.float64())], names=[*keys, "reply", "error", "latency_s"])
+
+    reachable(prompts.sparkSession)
+    return prompts.select(*keys, "chat_provider", "model", "system", "user").mapInArrow(run, f"{kinds}, reply string, error string, latency_s double")
+
+
+def _known(chats: dict, name: str) -> ChatProvider:
+    if name not in chats:
+        raise ProviderError(f"no chat provider {name!r}")
+    return chats[name]
+
+
+#: Fields of a profile and what stands for a missing one.
+PROFILE = {"doc_type": ("string", "unknown"), "languages": ("array<string>", []), "structure_pattern": ("string", "unknown"), "structure_notes": ("string", ""), "estimated_sections": ("array<string>", [])}
+PLAN = "sections array<struct<label:string,section_id:string,language:string,level:int,start_line:int,end_line:int>>"
+
+
+def profile(reply):
+    """The profile in a JSON reply: a field that is missing has its default, a null stays null."""
+    reply = F.col(reply) if isinstance(reply, str) else reply
+    have = F.coalesce(F.json_object_keys(reply), F.array().cast("array<string>"))
+    parsed = F.from_json(reply, ", ".join(f"{k} {t}" for k, (t, _) in PROFILE.items()))
+    default = lambda t, d: F.array().cast(t) if d == [] else F.lit(d)
+    return F.struct(*(F.when(F.array_contains(have, k), parsed[k]).otherwise(default(t, d)).alias(k) for k, (t, d) in PROFILE.items()))
+
+
+def planned(replies: DataFrame, keys: list, reply: str = "reply") -> DataFrame:
+    """(keys, ord, label, section_id, language, level, start_line, end_line) of plans in JSON replies."""
+    rows = replies.select(*keys, F.posexplode(F.from_json(reply, PLAN)["sections"]).alias("ord", "s"))
+    blank = lambda c, d: F.coalesce(F.col(f"s.{c}"), F.lit(d)).alias(c)
+    return rows.where("s.start_line is not null and s.end_line is not null").select(*keys, "ord", blank("label", ""), blank("section_id", ""), blank("language", "unknown"), blank("level", 1), "s.start_line", "s.end_line")
+
+
+def extracted_metadata(docs: DataFrame, provider: ChatProvider, id_col: str = "doc_id", text_col: str = "text", attempts: int = 3, wait: float = 1.0) -> DataFrame:
+    """(id, title, authors, year, source, doi, error) read by a chat provider from each text's first 2000 characters."""
+    from .prompts import METADATA, metadata_prompt
+
+    asked = docs.select(id_col, F.lit(METADATA).alias("system"), metadata_prompt(F.coalesce(F.col(text_col), F.lit(""))).alias("user"))
+    replies = chat_json(asked, provider, "title string, authors array<string>, year int, source string, doi string", id_col, attempts, wait)
+    return replies.select(id_col, clean_metadata("reply").alias("m"), "error").select(id_col, "m.*", "error")
+
+
+class ScholarProvider(ABC):
+    @abstractmethod
+    def search(self, query: str, most: int = 3) -> list[dict]:
+        """Hits of {publicationInfo, citedBy, link, year}, the best one first."""
+
+
+def scholar_query(doi, title, authors):
+    """The DOI, else the title in quotes and the last word of the first author."""
+    from ..functions.pytext import col, words
+
+    first = F.try_element_at(words(F.get(col(authors), F.lit(0))), F.lit(-1))
+    by_title = F.concat(F.lit('"'), F.coalesce(col(title), F.lit("")), F.lit('"'), F.coalesce(F.concat(F.lit(" "), first), F.lit("")))
+    return F.when(F.coalesce(col(doi), F.lit("")) != "", col(doi)).otherwise(by_title)
+
+
+def looked_up(queries: DataFrame, provider: ScholarProvider, key: str = "doc_id") -> DataFrame:
+    """(key, publication_info, cited_by, url, year) of the first hit of (key, query); nulls without one or on any error."""
+    from ..functions.strings import recovered_year
+
+    kind = queries.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for q in batch.column(1).to_pylist():
+                try:
+                    top = (provider.search(q) or [{}])[0]
+                    cited = top.get("citedBy")
+                    rows.append((top.get("publicationInfo", "" if top else None), None if cited is None else int(cited), top.get("link", "" if top else None), None if top.get("year") is None else str(top["year"])))
+                except Exception:  # noqa: BLE001 - a lookup that fails adds nothing
+                    rows.append((None, None, None, None))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[key, "publication_info", "cited_by", "url", "y"])
+
+    reachable(queries.sparkSession)
+    done = queries.select(key, "query").mapInArrow(run, f"{key} {kind}, publication_info string, cited_by long, url string, y string")
+    return done.select(key, "publication_info", "cited_by", "url", recovered_year("y", "publication_info").alias("year"))
+
+
 def clean_metadata(reply):
     """Metadata with authors as trimmed non-empty strings."""
     from ..functions.pytext import strip

@@ -88,6 +88,56 @@ def zipped(files: DataFrame, folders: tuple = ("notes",)) -> DataFrame:
     return own.groupBy("folder").applyInArrow(pack, "folder string, archive binary")
 
 
+def save_uploads(uploads: DataFrame, root: str) -> DataFrame:
+    """(path, size, written): files of (path, content) written under ``root``, sub-paths kept.
+
+    A file of the same size that is there already is left alone. Paths that leave the folder are
+    refused; of a path given twice the last one written stays.
+    """
+
+    def put(batches):
+        import posixpath
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            paths, data, fresh = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()], []
+            for path, content in zip(paths, data, strict=True):
+                target = f"{base.rstrip('/')}/{_safe(path)}"
+                info = store.get_file_info(target)
+                fresh.append(info.type != fs.FileType.File or info.size != len(content))
+                if fresh[-1]:
+                    store.create_dir(posixpath.dirname(target), recursive=True)
+                    part = f"{target}.{uuid.uuid4().hex}.part"
+                    with store.open_output_stream(part) as out:
+                        out.write(content)
+                    store.move(part, target)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(fresh)], names=["path", "size", "written"])
+
+    reachable(uploads.sparkSession)
+    return uploads.select("path", "content").mapInArrow(put, "path string, size long, written boolean")
+
+
+def pretty_json(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, json): each row as one JSON document over lines, two spaces a level, non-ASCII kept."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import json
+
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [json.dumps(json.loads(x), indent=2, ensure_ascii=False) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "json"])
+
+    reachable(documents.sparkSession)
+    return as_json(documents, key).mapInArrow(run, f"{key} {kind}, json string")
+
+
 def as_json(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, json): each row as one JSON document, non-ASCII kept."""
     return documents.select(key, F.to_json(F.struct(*documents.columns), {"ignoreNullFields": "false"}).alias("json"))
