@@ -11,7 +11,9 @@ Steps:
    are taken whole: their full sets are inverted with the exact prefix filter of set joins, short
    lists give pairs, and in a long list all members are paired with one hub (the member with the
    most common shingles). Members of a long list that verified links leave in another component
-   than most of that list are then paired with the whole list, so no link is lost;
+   than most of that list are then paired with those of the list that their sizes and ranks let
+   them reach, so no link is lost. Sizes and ranks are compared once for each that occurs, so
+   templates whose copies fall short of the threshold cost no pairs;
 4. a union-sketch estimate drops pairs far below the threshold, and the exact Jaccard of the full
    sets decides on the rest; links become components.
 """
@@ -30,6 +32,8 @@ from .components import components
 K = 64
 #: Longest inverted list of which all pairs are made.
 LIST = 40
+#: Classes of more than this part of all rows are broadcast when they meet their rows.
+HOT_SHARE = 1000
 #: Standard deviations that the number of shared sketch values may fall short of its mean.
 SIGMAS = 5.5
 
@@ -93,7 +97,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sk = written(shingle_rows(docs, size, K, full=False), "sketches")
-    classes = sk.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("cls"))
+    classes = sk.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("cls"), F.count("*").alias("m"))
     reps = sk.join(classes, (sk.fp == classes.fp) & (sk.id == classes.cls)).select("id", "n", "sk").dropDuplicates(["id"])
     values = sk.where("n > 0").join(classes.select(F.col("cls").alias("id")).distinct(), "id", "left_semi").select("id", "n", F.size("sk").alias("s"), F.explode("sk").alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
@@ -125,20 +129,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left = written(left.select("v", "id", "n", "rank", F.coalesce("component", "id").alias("c")), "left")
     sizes = left.groupBy("v", "c").agg(F.count("*").alias("w"))
     main = sizes.groupBy("v").agg(F.max_by("c", F.struct("w", "c")).alias("main"), F.count("*").alias("cs")).where("cs > 1")
-    minor = left.join(main, "v").where("c <> main").select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("c").alias("ca"))
+    minor = written(left.join(main, "v").where("c <> main").select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("c").alias("ca")), "minor")
     others = left.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("c").alias("cb"))
-    rest = minor.join(others, "v").where((F.col("ca") != F.col("cb")) & _reach(t))
+    shapes = minor.select("v", "na", "ra").distinct().join(others.select("v", "nb", "rb").distinct(), "v").where(_reach(t))
+    rest = minor.join(shapes, ["v", "na", "ra"]).join(others, ["v", "nb", "rb"]).where("ca <> cb")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     rest = written(rest, "rest")
     if not rest.isEmpty():
         more = _verified(rest, reps, docs, size, num, den, t, spent)
         comp = components(links.union(more))
     comp = written(comp, "components")
-    drop_written(*spent, links, left, rest)
-
-    per_class = classes.join(comp, F.col("cls") == F.col("node"), "left").select("fp", F.coalesce("component", "cls").alias("component_id"))
-    per_class = per_class.groupBy("fp").agg(F.min("component_id").alias("component_id"))
-    out = sk.select(F.col("id"), F.col("n").alias("n_shingles"), "fp").join(per_class, "fp", "left")
+    drop_written(*spent, links, left, minor, rest)
+
+    per_class = classes.join(comp, F.col("cls") == F.col("node"), "left").select("fp", "m", F.coalesce("component", "cls").alias("component_id"))
+    per_class = written(per_class, "classes")
+    # a class of many copies would be one task of the join: there are at most HOT_SHARE such classes, and they are broadcast
+    many = F.col("m") * HOT_SHARE > (sk.count() or 1)
+    rows = sk.select(F.col("id"), F.col("n").alias("n_shingles"), "fp")
+    rows = rows.join(F.broadcast(per_class.where(many).select("fp", F.col("component_id").alias("hot"))), "fp", "left")
+    out = rows.where("hot is null").join(per_class.where(~many).drop("m"), "fp", "left").select("id", "n_shingles", "component_id")
+    out = out.union(rows.where("hot is not null").select("id", "n_shingles", "hot"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
