@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pytext import SPACE, col, n_words, strip, sub, words
+from ..functions.pytext import SPACE, col, n_words, named, strip, sub, words
 
 
 def plain_text(markdown) -> Column:
@@ -25,19 +25,15 @@ def token_estimate(c) -> Column:
     return F.floor(n_words(c) * F.lit(13) / F.lit(10)).cast("int")
 
 
-def named(value: Column, f) -> Column:
-    """f(value) where f gives an array: the value is made once, however often f uses it."""
-    return F.flatten(F.transform(F.array(value), f))
-
-
-def passages(text, window: int, overlap: int) -> Column:
+def passages(text, window: int | Column, overlap: int | Column) -> Column:
     """array<struct<passage, char_offset>>: windows of words that advance by window - overlap.
 
     The last window is the first that reaches the end. char_offset is the length of the words
-    before it joined by spaces. An overlap that leaves no advance is refused.
+    before it joined by spaces. Numbers whose overlap leaves no advance are refused; columns give
+    each row windows of its own.
     """
     step = window - overlap
-    if step <= 0:
+    if not isinstance(step, Column) and step <= 0:
         raise ValueError("overlap must be smaller than window")
     ws = words(text)
 
@@ -58,7 +54,7 @@ def passages(text, window: int, overlap: int) -> Column:
     return named(words(text), built)
 
 
-def chunked(docs: DataFrame, sections: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 300, overlap: int = 50) -> DataFrame:
+def chunked(docs: DataFrame, sections: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", window: int | Column = 300, overlap: int | Column = 50) -> DataFrame:
     """(id, position, chunk_id, kind, heading_path, language, content, token_count, char_offset).
 
     Position 0 is the whole document, then its non-blank sections in order, then passages of its
@@ -66,7 +62,9 @@ def chunked(docs: DataFrame, sections: DataFrame | None = None, id_col: str = "d
     path and language of the last section whose offset (lengths of the plain section texts, plus
     one each) is not behind it, and none before the first.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(window).alias("_window"), F.lit(overlap).alias("_overlap"))
+    if isinstance(window, Column):
+        window, overlap = F.col("_window"), F.col("_overlap")
     empty = F.array().cast("array<string>")
     if sections is None:
         rows = base.withColumns({"marks": F.expr("cast(array() as array<struct<pos:int,heading_path:array<string>,language:string>>)"), "secs": F.expr("cast(array() as array<struct<section_ord:int,content:string,heading_path:array<string>,language:string>>)")})

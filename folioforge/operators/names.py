@@ -13,33 +13,39 @@ def unique_names(df: DataFrame, stem: str, order: str, group: str) -> DataFrame:
     """Adds name: the stem, or the first free of stem_2, stem_3, ... among all names of the group.
 
     Rows are named in ``order`` within ``group`` (a target folder). A name only meets names of the
-    same root (the stem without trailing _numbers), so rows are dealt by group and root, and each
-    root is folded in order over Arrow batches; only its used names are held.
+    same root (the stem without trailing _numbers). Where all stems of a root are the root itself,
+    the names are its ranks, a window that needs no memory of names; other roots are folded in order
+    over Arrow batches, and only their used names are held.
     """
     reachable(df.sparkSession)
     schema = df.withColumn("name", F.lit("")).schema
-    root = "_root_of_name"
+    root, mixed, rank = "_root_of_name", "_mixed_root", "_rank_of_name"
 
     def named(batches):
         import pyarrow as pa
 
         used, now, following = set(), object(), {}
         for batch in batches:
-            keys = zip(batch.column(group).to_pylist(), batch.column(root).to_pylist(), strict=True)
+            cols = (batch.column(c).to_pylist() for c in (group, root, stem, mixed, rank))
             out = []
-            for key, s in zip(keys, batch.column(stem).to_pylist(), strict=True):
-                if key != now:
-                    used, now, following = set(), key, {}
+            for folder, r, s, several, k in zip(*cols, strict=True):
+                if not several:
+                    out.append(s if k == 1 else f"{s}_{k}")
+                    continue
+                if (folder, r) != now:
+                    used, now, following = set(), (folder, r), {}
                 name, k = s, following.get(s, 2)
                 while name in used:
                     name, k = f"{s}_{k}", k + 1
                 following[s] = k
                 used.add(name)
                 out.append(name)
-            yield batch.drop_columns([root]).append_column("name", pa.array(out, pa.string()))
+            yield batch.drop_columns([root, mixed, rank]).append_column("name", pa.array(out, pa.string()))
 
     rows = df.withColumn(root, F.regexp_replace(stem, r"(_[0-9]+)+$", ""))
-    return rows.repartition(group, root).sortWithinPartitions(group, root, order).mapInArrow(named, schema)
+    own = Window.partitionBy(group, root)
+    rows = rows.withColumns({mixed: F.max(F.col(stem) != F.col(root)).over(own), rank: F.row_number().over(own.orderBy(order))})
+    return rows.repartition(group, root).sortWithinPartitions(group, root, rank).mapInArrow(named, schema)
 
 
 def first_of(df: DataFrame, keys: list, order) -> DataFrame:

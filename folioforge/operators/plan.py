@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pytext import lines, strip, sub
+from ..functions.pytext import lines, named, strip, sub
 from ..functions.strings import section_slug
 
 
@@ -52,15 +52,24 @@ def cut_sections(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_
     out whatever its text, and byte order marks at line starts are dropped. Levels are clamped to
     1..``deepest``; a missing section_id comes from the label.
     """
-    d = docs.select(F.col(id_col).alias(id_col), lines(F.coalesce(F.col(text_col), F.lit(""))).alias("_ls"))
-    rows = plan.join(d, id_col)
-    n = F.size("_ls")
-    start, end = F.greatest(F.lit(1), F.col("start_line")), F.least(n, F.col("end_line"))
-    rows = rows.where(start <= end)
-    part = F.transform(F.slice("_ls", start.cast("int"), (end - start + 1).cast("int")), lambda x: sub(x, r"^\x{feff}+"))
-    rows = rows.withColumn("_part", part)
-    headed = strip(F.get("_part", F.lit(0))).rlike(r"^#{1,6}\s+\S")
-    content = F.when(headed, F.slice("_part", F.lit(2), F.greatest(F.size("_part") - 1, F.lit(0)))).otherwise(F.col("_part"))
-    rows = rows.withColumn("content", strip(F.array_join(content, "\n"))).where("content <> ''")
+    fields = [c for c in plan.columns if c != id_col]
+    plans = plan.groupBy(id_col).agg(F.collect_list(F.struct(*fields)).alias("_ps"))
+    texts = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(plans, id_col)
+
+    def body(part):
+        headed = strip(F.get(part, F.lit(0))).rlike(r"^#{1,6}\s+\S")
+        rest = F.when(headed, F.slice(part, F.lit(2), F.greatest(F.size(part) - 1, F.lit(0)))).otherwise(part)
+        return F.array(strip(F.array_join(rest, "\n")))
+
+    def cut(ls):
+        def one(p):
+            start, end = F.greatest(F.lit(1), p["start_line"]), F.least(F.size(ls), p["end_line"])
+            part = F.transform(F.slice(ls, start.cast("int"), F.greatest(end - start + 1, F.lit(0)).cast("int")), lambda x: sub(x, r"^\x{feff}+"))
+            return F.struct(*(p[c].alias(c) for c in fields), F.get(named(part, body), F.lit(0)).alias("content"))
+
+        return F.transform("_ps", one)
+
+    # the lines are made once a document, and a section row carries its own text only
+    rows = texts.select(id_col, F.explode(named(lines("_text"), cut)).alias("_s")).select(id_col, "_s.*").where("content <> ''")
     rows = rows.withColumn("level", F.greatest(F.lit(1), F.least(F.lit(deepest), F.col("level"))))
-    return rows.withColumn("section_id", F.when(F.coalesce("section_id", F.lit("")) == "", section_slug("label")).otherwise(F.col("section_id"))).drop("_ls", "_part")
+    return rows.withColumn("section_id", F.when(F.coalesce("section_id", F.lit("")) == "", section_slug("label")).otherwise(F.col("section_id")))

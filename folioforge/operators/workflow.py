@@ -20,7 +20,7 @@ def parse_standard(docs: DataFrame, headings: DataFrame, id_col: str = "doc_id",
     return secs, chunks.chunked(clean, secs, id_col, text_col)
 
 
-def structured(docs: DataFrame, plans: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 300, overlap: int = 50) -> tuple[DataFrame, DataFrame]:
+def structured(docs: DataFrame, plans: DataFrame, id_col: str = "doc_id", text_col: str = "text", window=300, overlap=50) -> tuple[DataFrame, DataFrame]:
     """(sections, chunks) by a section plan, gaps filled; heading paths are section id and label."""
     totals = docs.select(id_col, F.size(lines(F.coalesce(text_col, F.lit("")))).alias("n_lines"))
     secs = plan.cut_sections(docs, plan.gaps_filled(plans, totals, id_col), id_col, text_col)
@@ -36,14 +36,10 @@ def genre_pipeline(docs: DataFrame, profiles: DataFrame, plans: DataFrame, id_co
     """
     routed = docs.join(profiles.select(id_col, "doc_type"), id_col, "left").withColumn("genre", genres.routed("doc_type", text_col))
     out = {"genres": routed.select(id_col, "genre"), "files": book.book_files(routed.where("genre = 'book'"), id_col, text_col)}
-    secs = chks = None
-    for name in genres.available_genres():
-        g = genres.genre(name)
-        if g.layout == "book":
-            continue
-        own = routed.where(F.col("genre") == name).select(id_col, text_col)
-        s, c = structured(own, plans.join(own.select(id_col), id_col, "left_semi"), id_col, text_col, g.window, g.overlap)
-        secs, chks = (s, c) if secs is None else (secs.unionByName(s), chks.unionByName(c))
+    per = lambda size: F.coalesce(*(F.when(F.col("genre") == g.id, size(g)) for g in map(genres.genre, genres.available_genres())))
+    laid = [g for g in genres.available_genres() if genres.genre(g).layout != "book"]
+    own = routed.where(F.col("genre").isin(laid))
+    secs, chks = structured(own, plans.join(own.select(id_col), id_col, "left_semi"), id_col, text_col, per(lambda g: g.window), per(lambda g: g.overlap))
     return out | {"sections": secs, "chunks": chks}
 
 

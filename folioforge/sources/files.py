@@ -19,7 +19,7 @@ def listed(spark: SparkSession, path: str, recursive: bool = False, with_content
     """(path, filename, format, size, content) of the files under ``path`` with a known suffix.
 
     ``path`` may be one file. The suffix is compared without case. The content column is read only
-    if used; a listing without it is sorted by path.
+    if used; a listing without it is sorted by path. Empty files give no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))

@@ -1,11 +1,12 @@
 """Files, providers, sinks and streaming on generated inputs."""
 
 import io
+import json
 import zipfile
 
 import pytest
-from folioforge.operators import names
-from folioforge.sources import files, prompts, providers, sinks
+from folioforge.operators import cases, names
+from folioforge.sources import files, prompts, providers, scans, sinks
 from folioforge.streaming import incremental
 from pyspark.sql import functions as F
 
@@ -81,6 +82,60 @@ def test_sinks(spark, tmp_path):
     assert '"é"' in sinks.as_json(spark.createDataFrame([(1, "é")], "doc_id long, t string")).first().json
 
 
+def test_uploads(spark, tmp_path):
+    rows = [("a/b/x.md", bytearray(b"one")), ("y.md", bytearray(b"two")), ("a/x.md", None)]
+    up = spark.createDataFrame(rows, "path string, content binary")
+    first = {r.path: r.written for r in sinks.save_uploads(up, f"file://{tmp_path}").collect()}
+    assert first == {"a/b/x.md": True, "y.md": True, "a/x.md": True} and (tmp_path / "a/b/x.md").read_bytes() == b"one"
+    more = spark.createDataFrame([("y.md", bytearray(b"TWO")), ("a/b/x.md", bytearray(b"longer"))], "path string, content binary")
+    assert {r.path: (r.size, r.written) for r in sinks.save_uploads(more, f"file://{tmp_path}").collect()} == {"y.md": (3, False), "a/b/x.md": (6, True)}
+    assert (tmp_path / "y.md").read_bytes() == b"two"
+    with pytest.raises(Exception, match="leaves the vault"):
+        sinks.save_uploads(spark.createDataFrame([("../x", bytearray(b""))], "path string, content binary"), f"file://{tmp_path}").collect()
+    assert [r.filename for r in files.listed(spark, str(tmp_path), recursive=True, with_content=False).collect()] == ["x.md", "y.md"]  # the empty one is left out
+    one = sinks.pretty_json(spark.createDataFrame([(1, "é", ["a"])], "doc_id long, t string, l array<string>")).first().json
+    assert one == json.dumps({"doc_id": 1, "t": "é", "l": ["a"]}, indent=2, ensure_ascii=False)
+
+
+def test_scans(spark):
+    class Short(scans.EchoVision):
+        def transcribe(self, images, prompt):
+            if b"bad" in images:
+                raise OSError("down")
+            assert len(images) <= 2
+            return super().transcribe(images, prompt)
+
+    rows = [("a", b"p1\fp2\f \fp4\n# System preamble: x\nrest\fp5"), ("b", b"x\fbad"), ("c", b""), ("d", None)]
+    f = spark.createDataFrame([(p, "n.pdf", None if c is None else bytearray(c)) for p, c in rows], "path string, filename string, content binary")
+    got = {r.path: r for r in scans.transcribed(f, scans.FormFeedPages(), Short(), pages_per_call=2, wait=0).collect()}
+    assert got["a"].text == "p1\n\n---\n\np2\n\n---\n\np4\n\n---\n\np5" and got["a"].error is None
+    assert (got["b"].text, got["b"].error) == (None, "down") and "no pages" in got["c"].error and "no pages" in got["d"].error
+    s = spark.createDataFrame([("a", "n", "u", None), ("b", "n", None, None), ("c", "n", None, bytearray(b"z"))], "path string, filename string, url string, content binary")
+    by = {r.path: r for r in scans.with_bytes(s, lambda url: url.encode() * 2).collect()}
+    assert bytes(by["a"].content) == b"uu" and by["b"].error and bytes(by["c"].content) == b"z"
+    assert "URL" in {r.path: r for r in scans.with_bytes(s).collect()}["a"].error
+    pages = spark.createDataFrame([("a", k, bytearray(n)) for k, n in enumerate([10, 10, 900, 10, 10], 1)], "path string, page_no int, image binary")
+    assert [(r.part, r.batch) for r in scans.batched(pages, 4, 20, 1000).orderBy("page_no").collect()] == [(0, 0), (0, 0), (0, 1), (0, 2), (1, 0)]
+
+
+def test_cases(spark, tmp_path):
+    class Broken(providers.RuleChat):
+        def complete(self, messages, **options):
+            raise OSError("down")
+
+    md = "# One\ntext of it\n## Two\nmore text"
+    c = spark.createDataFrame([(1, md, md, None), (2, None, "", "unreadable")], "case_id long, text string, gold string, error string")
+    chats = {"rules": providers.RuleChat(), "broken": Broken()}
+    results, sections = cases.run_cases(c, chats, ["other"], ["default"], attempts=2, wait=0, store=str(tmp_path / "replies"))
+    got = {(r.case_id, r.chat_provider): r for r in results.collect()}
+    ok = got[1, "rules"]
+    assert (ok.error, ok.num_pred_sections, ok.num_hallucinated, ok.genre, ok.section_labels) == (None, 2, 0, "academic_article", ["One", "Two"])
+    assert ok.cost_usd > 0 and ok.latency_s >= 0 and ok.run_at is not None
+    assert got[1, "broken"].error == "down" and got[1, "broken"].gold_token_f1 is None and got[2, "rules"].error == "unreadable"
+    dumps = {r.rel_path: r.content for r in cases.run_dumps(c, results, sections).collect()}
+    assert dumps == {"1/rules_other_default_raw.md": md, "1/rules_other_default_structured.md": "## One\n\ntext of it\n\n## Two\n\nmore text"}
+
+
 def test_library_json(spark, tmp_path):
     (tmp_path / "i.json").write_text('{"ord":1,"key":"K","data":{"title":"T","date":"1999-01","creators":[{"lastName":"Ann"},{}]}}')
     (tmp_path / "c.json").write_text('{"ord":1,"parent":"K","key":"c","url":"file:///x/a.pdf","data":{"contentType":"application/pdf"}}\n{"ord":2,"parent":"K","key":"n","data":{"itemType":"note","note":"parsed-md:"}}')
