@@ -82,15 +82,18 @@ def plan_sections(spark, sf_dir):
     return sections(spark, sf_dir).select("doc_id", "section_ord", "label", "section_id", "language", "level", "content")
 
 
-@query(
-    f"""{DUCK_SECTIONS}, {duck_windows(f"SELECT doc_id, {duck_plain('text')} AS t FROM doc", 60, 48)},
+def duck_chunks(window: int, step: int) -> str:
+    """Chunks of the decorated documents and their sections."""
+    return f"""{DUCK_SECTIONS}, {duck_windows(f"SELECT doc_id, {duck_plain('text')} AS t FROM doc", window, step)},
 pos AS (SELECT doc_id, section_ord, section_id, label, language, content, coalesce(sum(length({duck_plain('content')}) + 1) OVER (PARTITION BY doc_id ORDER BY section_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM sections),
 allc AS (SELECT doc_id, 0 AS k, 0 AS o, 'full_doc' AS kind, CAST([] AS VARCHAR[]) AS heading_path, '' AS language, text AS content, CAST(NULL AS INT) AS char_offset FROM doc
   UNION ALL SELECT doc_id, 1, section_ord, 'section', [section_id, label], language, content, NULL FROM sections
   UNION ALL SELECT p.doc_id, 2, j, 'passage', coalesce(arg_max([section_id, label], pos), CAST([] AS VARCHAR[])), coalesce(arg_max(s.language, pos), ''), passage, char_offset FROM passages p LEFT JOIN pos s ON s.doc_id = p.doc_id AND s.pos <= p.char_offset GROUP BY p.doc_id, j, passage, char_offset),
 numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, o) - 1 AS INT) AS position FROM allc)
 SELECT doc_id, position, concat(doc_id, '_', printf('%04d', position)) AS chunk_id, kind, heading_path, language, content, CAST(floor(len({duck_words('content')}) * 13 / 10) AS INT) AS token_count, char_offset FROM numbered"""
-)
+
+
+@query(duck_chunks(60, 48))
 def structured_chunks(spark, sf_dir):
     s = sections(spark, sf_dir).withColumn("heading_path", F.array("section_id", "label"))
     return chunks.chunked(decorated(spark, sf_dir), s, window=60, overlap=12)
@@ -208,9 +211,21 @@ def book_frame(spark, sf_dir):
     return book.book_frame(book.book_lines(book_texts(spark, sf_dir)))
 
 
-@query()
+DUCK_BOOK_FILES = f"""{DUCK_CHAPTERS}, l AS (SELECT *, coalesce(nullif(title, ''), nullif(number, ''), concat('chapter_', chapter_no)) AS label,
+ last_value(nullif(part, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chapter_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM chapters),
+idx AS (SELECT doc_id, string_agg(concat(CASE WHEN part <> '' AND part IS DISTINCT FROM before THEN concat(chr(10), '## ', part, chr(10)) ELSE '' END, chapter_no, '. ', label), chr(10) ORDER BY chapter_no) AS items FROM l GROUP BY doc_id),
+fr AS (SELECT doc_id, {DUCK_TRIM.format("coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE zone = 'front'), '')")} AS front, {DUCK_TRIM.format("coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE zone = 'back'), '')")} AS back FROM zones GROUP BY doc_id),
+bk AS (SELECT doc_id, concat('book_', doc_id) AS stem, string_agg(line, chr(10) ORDER BY line_no) AS text FROM bookdec GROUP BY doc_id)
+SELECT doc_id, 'bibliographic.md' AS rel_path, concat('---', chr(10), 'title: ', stem, chr(10), 'source_file: shelf/', stem, '.pdf', chr(10), '---', chr(10), '# ', stem, chr(10)) AS content FROM bk
+UNION ALL SELECT doc_id, '00_front_matter.md', front FROM fr WHERE front <> ''
+UNION ALL SELECT doc_id, concat(printf('%02d_', chapter_no), coalesce(nullif(substr(trim(regexp_replace(lower(label), '[^a-zA-Z0-9]+', '_', 'g'), '_'), 1, 60), ''), 'chapter'), '.md'), concat('# ', label, CASE WHEN part <> '' THEN concat(chr(10), chr(10), '> ', part) ELSE '' END, chr(10), chr(10), text, chr(10)) FROM l
+UNION ALL SELECT bk.doc_id, 'contents.md', concat('# Contents', chr(10), chr(10), coalesce(items || chr(10), '')) FROM bk LEFT JOIN idx ON idx.doc_id = bk.doc_id
+UNION ALL SELECT doc_id, 'zz_back_matter.md', back FROM fr WHERE back <> ''
+UNION ALL SELECT doc_id, 'raw.md', text FROM bk"""
+
+
+@query(DUCK_BOOK_FILES)
 def book_files(spark, sf_dir):
-    """No SQL twin of its own: a union of the queries above; its shape is tested."""
     return book.book_files(book_texts(spark, sf_dir).withColumn("filename", F.concat(F.lit("shelf/book_"), F.col("doc_id").cast("string"), F.lit(".pdf"))))
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cases, names, workflow
+from ..operators import cases, names, speech, workflow
 from ..operators import lines as L
-from ..sources import prompts, providers, scans, sinks
+from ..sources import files, prompts, providers, scans, sinks
 from .evaluation import duck_nwords
-from .fixture import DUCK, decorated
+from .fixture import DUCK, decorated, decorated_lines
 from .registry import registry
-from .structure import DUCK_SECTIONS, DUCK_TRIM, sections
-from .text import STUB_DUCK, duck_words, stub_metadata
+from .structure import DUCK_ARTICLE, DUCK_SECTIONS, DUCK_TRIM, duck_chunks, sections, stub_plan
+from .text import DUCK_NOISE, DUCK_SLUG, GOOD, STUB_DUCK, duck_words, stub_metadata
 
 QUERIES, ORACLES, query = registry()
 
@@ -146,3 +146,70 @@ def case_runs(spark, sf_dir):
 def prompt_texts(spark, sf_dir):
     d = decorated(spark, sf_dir)
     return d.select("doc_id", prompts.survey_prompt("text").alias("survey"), prompts.plan_prompt("text").alias("plan"), prompts.plan_system(prompts.PLAN, F.lit(None).cast("string"), F.array(F.lit("en"), F.lit("fr"))).alias("system"))
+
+
+@query(duck_chunks(300, 250))
+def structured_run(spark, sf_dir):
+    """The composite run by a section plan: gaps filled, sections cut, chunks of the standard size."""
+    return workflow.structured(decorated(spark, sf_dir), stub_plan(spark, sf_dir))[1]
+
+
+FAILED, DONE = "doc_id % 7 = 2", "doc_id % 5 = 1"
+
+
+@query(f"""{DUCK_ARTICLE}, {STUB_DUCK}, m AS (SELECT *, {DUCK_SLUG} AS s FROM (SELECT *, {GOOD} AS good FROM (SELECT * REPLACE (CASE WHEN doc_id % 4 = 0 THEN concat('in', doc_id) ELSE title END AS title) FROM meta)))
+SELECT concat('in', doc_id, '.pdf') AS source, CASE WHEN NOT ({FAILED}) THEN s END AS slug, CASE WHEN NOT ({FAILED}) THEN s END AS folder, title, authors, year,
+ CASE WHEN NOT ({FAILED}) THEN abstract <> '' END AS has_abstract, CASE WHEN NOT ({FAILED}) THEN "references" <> '' END AS has_references, CASE WHEN {FAILED} THEN 'failed' END AS error
+FROM m JOIN split USING (doc_id) WHERE NOT ({DONE})""")
+def article_results(spark, sf_dir):
+    """The composite run of articles: those done before are left out, failed ones give an error."""
+    docs = decorated(spark, sf_dir).selectExpr("doc_id", "concat('in', doc_id, '.pdf') AS source", "text", f"CASE WHEN {FAILED} THEN 'failed' END AS error")
+    meta = stub_metadata(spark, sf_dir).drop("source").withColumn("title", F.expr("CASE WHEN doc_id % 4 = 0 THEN '' ELSE title END"))
+    return workflow.article_vault(docs, meta, docs.where(DONE).select("source"))[1]
+
+
+@query(f"{DUCK} SELECT doc_id, line_no, trim(line) <> '' AND ({DUCK_NOISE} OR regexp_matches(trim(line), '(?i)^(?:extra material\\.|#+ section \\d+)$')) AS noise FROM dec")
+def noise_by_genre(spark, sf_dir):
+    """Furniture of a genre besides that of all."""
+    extra = (r"extra material\.", r"#+ section \d+")
+    return decorated_lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), L.is_noise("line", extra).alias("noise"))
+
+
+HEADING = "CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat('CHAPTER IV ', upper(p_name)) WHEN 2 THEN upper(concat(p_name, ' of the ', p_type)) WHEN 3 THEN upper(p_brand) WHEN 4 THEN concat('**', p_name, '**:') ELSE p_name END"
+_CAPS = "(upper({0}) = {0} AND lower({0}) <> {0})"
+_CAP = "concat(upper(substr({0}, 1, 1)), lower(substr({0}, 2)))"
+_SMALL = ", ".join(f"'{w}'" for w in speech.SHORT_WORDS)
+_BARE = "regexp_replace(w, '^[:;,.!?]+|[:;,.!?]+$', '', 'g')"
+
+
+@query(f"""WITH h AS (SELECT p_partkey, {HEADING} AS h FROM part), w AS (SELECT *, {duck_words('h')} AS ws FROM h)
+SELECT p_partkey, CASE WHEN NOT {_CAPS.format('h')} OR length(h) < 6 THEN h WHEN len(ws) = 1 THEN CASE WHEN length(ws[1]) <= 4 THEN h ELSE {_CAP.format('ws[1]')} END
+ ELSE array_to_string(list_transform(ws, lambda w, i: CASE WHEN i > 1 AND lower({_BARE}) IN ({_SMALL}) THEN lower({_BARE}) WHEN {_CAPS.format(_BARE)} AND (length({_BARE}) <= 3 OR regexp_matches({_BARE}, '^[IVXLCDM]+$')) THEN {_BARE} ELSE {_CAP.format(_BARE)} END), ' ') END AS title,
+ regexp_replace(lower(regexp_replace(trim(regexp_replace(h, '[*_`]+', '', 'g')), '^[:;]+|[:;]+$', '', 'g')), '\\s+', ' ', 'g') AS norm,
+ length(trim(h)) >= 6 AND NOT regexp_matches(trim(h), '(?i)^(?:part|chapter|section)\\s+[ivxlcdm\\d]+') AND {_CAPS.format('trim(h)')} AND len(ws) > 1 AS junk FROM w""")
+def spoken_headings(spark, sf_dir):
+    """Headings as they are said, the form in which they compare, and whether they are a series line."""
+    h = _read(spark, sf_dir, "part").selectExpr("p_partkey", f"{HEADING} AS h")
+    return h.select("p_partkey", speech.title_case("h").alias("title"), speech.heading_norm("h").alias("norm"), speech.series_junk("h").alias("junk"))
+
+
+def scanned(spark, sf_dir):
+    """(path, filename, format, content): turns of a conversation as pages of a file of some kind."""
+    c = L.gathered(_read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", "\f")
+    kind = F.expr("CASE conv_id % 4 WHEN 0 THEN 'md' WHEN 1 THEN 'pdf' WHEN 2 THEN 'image' ELSE 'unknown' END")
+    return c.select(F.concat(F.lit("/in/"), F.col("conv_id").cast("string")).alias("path"), F.lit("f").alias("filename"), kind.alias("format"), F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text")).cast("binary").alias("content"))
+
+
+@query("SELECT concat('/in/', conv_id) AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS page_no, text FROM conversations")
+def scanned_pages(spark, sf_dir):
+    c = L.gathered(_read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", "\f")
+    f = c.select(F.concat(F.lit("/in/"), F.col("conv_id").cast("string")).alias("path"), F.lit("f").alias("filename"), F.col("text").cast("binary").alias("content"))
+    return providers.ocr_pages(f, providers.get_ocr_provider("echo"), wait=0).where("error is null").select("path", "page_no", "text")
+
+
+@query("""SELECT concat('/in/', conv_id) AS path, CASE conv_id % 4 WHEN 0 THEN 'md' WHEN 1 THEN 'pdf' WHEN 2 THEN 'image' ELSE 'unknown' END AS format,
+ CASE conv_id % 4 WHEN 0 THEN string_agg(text, chr(12) ORDER BY turn) WHEN 3 THEN NULL ELSE coalesce(string_agg(text, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY turn) FILTER (WHERE trim(text) <> ''), '') END AS text,
+ CASE WHEN conv_id % 4 = 3 THEN 'unsupported file type' END AS error FROM conversations GROUP BY conv_id""")
+def files_read(spark, sf_dir):
+    """Files by their format: text as it is, scans through a provider, others with an error."""
+    return files.documents(scanned(spark, sf_dir), providers.get_ocr_provider("echo")).select("path", "format", "text", "error")

@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", str(base / "warehouse"))
+        .config("spark.checkpoint.dir", f"file://{base / 'checkpoints'}")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
