@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pytext import col, lines, n_words, strip, sub
+from ..functions.pytext import col, lines, n_words, named, strip, sub
 from ..functions.strings import heading_key, tokens
 
 #: List prices in USD per million tokens (input, output), per page, and defaults.
@@ -40,13 +40,13 @@ def token_f1(gold, predicted) -> Column:
 
 def invented(labels, headings) -> Column:
     """Labels whose key neither equals, holds nor is held by the key of any heading."""
-    keys = F.transform(col(headings), heading_key)
 
-    def real(label):
-        n = heading_key(label)
-        return F.exists(keys, lambda g: (g == n) | g.contains(n) | n.contains(g))
+    def bad(keys):
+        pairs = F.transform(col(labels), lambda x: F.struct(x.alias("label"), heading_key(x).alias("key")))
+        wrong = F.filter(pairs, lambda p: ~F.exists(keys, lambda g: (g == p["key"]) | g.contains(p["key"]) | p["key"].contains(g)))
+        return F.transform(wrong, lambda p: p["label"])
 
-    return F.filter(col(labels), lambda x: ~real(x))
+    return named(F.transform(col(headings), heading_key), bad)
 
 
 def scored_runs(runs: DataFrame, gold_col: str = "gold", sections_col: str = "sections") -> DataFrame:
