@@ -5,6 +5,9 @@ The text writer puts one row after another with a separator. A gzip member of a
 last byte and the separator is that byte; a longer record is followed by an empty member, which
 readers pass over. The files are therefore plain concatenated gzip members in any file system that
 Spark can write, and a task that is lost and run again leaves no trace.
+
+The reader takes a file whole, so files are bounded: large pages are written apart from the others,
+with as few records in a file as their size asks for.
 """
 
 from __future__ import annotations
@@ -12,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, drop_written, written
 
-#: Rows in one archive file; with the size of an input split this bounds a file.
-FILE_RECORDS = 10_000
+#: Records and bytes of payload in one archive file (one record at least).
+FILE_RECORDS, FILE_BYTES = 10_000, 1 << 30
 CHUNK = 1 << 16
 
 
@@ -26,8 +29,11 @@ def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> None:
-    """Archive one record a row under ``path`` (files end in .warc.gz).
+def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 3, suffix: bool = False) -> None:
+    """Archive one record a row under ``path``.
+
+    Files keep the names of Spark's writer; with ``suffix`` the driver renames each to end in
+    .warc.gz, which takes a moment a file (and a copy in an object store).
 
     The payload is the column in UTF-8 (null: empty). Of rows with equal payloads of at least
     ``least`` bytes the one with the smallest id becomes a response and the others revisit records
@@ -39,6 +45,7 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     keyed = rows.where("id is not null").select("id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size")).where(F.col("size") >= least)
     firsts = keyed.groupBy("sha", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = keyed.join(firsts, ["sha", "size"]).where("id <> first").select("id", "sha", "first").distinct()
+    revisits = written(revisits, "revisits")  # of known size, so that few are broadcast and no payload is shuffled
     rows = rows.withColumn("sha", F.sha1("payload")).join(revisits, ["id", "sha"], "left").select("id", "url", "payload", "first")
 
     def members(batches):
@@ -84,9 +91,18 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
                 out.append(packed("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    files = rows.mapInArrow(members, "value binary").select(F.col("value").cast("string"))
-    files.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-    _rename(df.sparkSession, path)
+    small = FILE_BYTES // FILE_RECORDS
+    size = F.octet_length("payload")
+    largest = df.select(F.octet_length(F.col(payload_col).cast("binary")).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = [(rows.where(size <= small), FILE_RECORDS)]
+    if largest > small:
+        parts.append((rows.where(size > small), max(1, FILE_BYTES // largest)))
+    for part, records in parts:
+        files = part.mapInArrow(members, "value binary").select(F.col("value").cast("string"))
+        files.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
+    drop_written(revisits)
+    if suffix:
+        _rename(df.sparkSession, path)
 
 
 def _rename(spark: SparkSession, path: str) -> None:
@@ -138,6 +154,9 @@ def records(data, chunk: int = CHUNK):
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """(row_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of every record.
 
+    All files under ``path`` are archives, of at most 2 GB each. An archive without records, or no
+    archive, gives no rows; null and repeated ids come back as they were written.
+
     Block digests, and the payload digests of responses, are checked; a mismatch or broken framing
     fails the read. A revisit gives the length and digest of the payload that it stands for and no
     payload. With ``with_payload`` false the payload column is null.
@@ -169,5 +188,5 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(parsed, "row_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
