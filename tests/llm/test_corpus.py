@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioforge.llm import boost, bpe, decontam, htmltext, neardup, pii, queries, substrdup, tokencount, toxicity, vecdup, warc
+from folioforge.llm import boost, bpe, common, decontam, htmltext, neardup, pii, queries, substrdup, tokencount, toxicity, vecdup, warc
 from folioforge.llm.common import new_path
 from folioforge.llm.components import components
 
@@ -54,6 +54,23 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_common(spark):
+    """Names that are free, settings of the session that stay, tables that go."""
+    assert common.fresh("a", ["A", "_a"]) == "__a" and common.fresh("b", ["a"]) == "b"
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "77")
+    common.bounded_batches(spark)
+    assert spark.conf.get(key) == "77"
+    spark.conf.unset(key)
+    common.bounded_batches(spark)
+    assert spark.conf.get(key) == "500"
+    t = common.written(spark.range(3), "three")
+    assert t.count() == 3 and t._folioforge_path.startswith(common.own_dir(spark))
+    common.drop_written(t)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        spark.read.parquet(t._folioforge_path)
+
+
 def shingles(t):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -228,6 +245,12 @@ def test_pii_candidates(spark):
     df = spark.createDataFrame([*rows, (5000, "phone +1/343/555/1234 ok")], "doc_id long, text string")
     r = {x.doc_id: x for x in pii.find_pii(df).collect()}
     assert all(len(r[i].base) == 1 for i in range(200)) and not r[1005].spans
+    assert not r[5000].base and [tuple(x) for x in r[5000].spans] == [("phone", 6, 21)]
+    # on sample tables the method adds spans, and keeps those of the base
+    out = pii.find_pii(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    n = out.agg(F.sum(F.size("base")).alias("base"), F.sum(F.size("spans")).alias("spans"), F.sum(F.size(F.array_except("base", "spans"))).alias("lost")).first()
+    assert n.spans > n.base > 0 and n.lost == 0
+    print("base", n.base, "added", n.spans - n.base)
 
 
 def test_pii_added(spark):
