@@ -64,7 +64,11 @@ def write_vault(files: DataFrame, root: str, folders: tuple = ("notes",)) -> Non
 
 
 def zipped(files: DataFrame, folders: tuple = ("notes",)) -> DataFrame:
-    """(folder, archive): one zip per top folder, members sorted, empty ``folders`` kept as entries."""
+    """(folder, archive): one zip per top folder, members sorted, empty ``folders`` kept as entries.
+
+    A folder's files are one Arrow group and its archive one value, so a folder must stay well below
+    2 GB; an article or a book does. Larger collections go to ``write_vault``.
+    """
 
     def pack(table):
         import io
