@@ -101,8 +101,17 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe_encode_decode, op3_embedding_near_dedup, op4_toxicity, op5_token_counts, op6_pii_spans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_warc_round_trip, op10_substring_dedup)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resampled
 
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe_encode_decode, op3_embedding_near_dedup, op4_toxicity, op5_token_counts, op6_pii_spans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_warc_round_trip, op10_substring_dedup, op11_importance_resampling)}
+
+#: Unsigned CRC-32 of the bytes of a text in DuckDB; `crc` is a relation of one row with the table of its polynomial, made from its rule.
+_CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(i)))"
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, strlen({0})), lambda k: CAST(concat('0x', substr(hex(encode({0})), CAST(2 * k + 1 AS INT), 2)) AS BIGINT))), lambda c, b: xor(c >> 8, crc.tab[1 + (xor(c, b) & 255)])), 4294967295)"
 #: Words of a text as DuckDB lists: runs without ASCII white space.
 _WORDS = "list_filter(string_split_regex(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _REACH = """
@@ -132,4 +141,16 @@ gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(0, 20) t(k)),
 each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
 kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS t, count(*) AS n FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i WHERE g.i IS NULL GROUP BY e.doc_id)
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op11_importance_resampling": f"""WITH {_CRC_TABLE},
+texts AS (SELECT 0 AS b, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT b, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM texts),
+f AS (SELECT b, doc_id, unnest(w) AS f FROM w UNION ALL SELECT b, doc_id, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) FROM w),
+n AS (SELECT b, doc_id, f, count(*) AS n FROM f GROUP BY ALL),
+k AS (SELECT f, {_CRC.format('f')} % 10000 AS k FROM (SELECT DISTINCT f FROM n), crc),
+tot AS (SELECT range AS k, coalesce(sum(n) FILTER (b = 0), 0) AS s, coalesce(sum(n) FILTER (b = 1), 0) AS t FROM range(10000) LEFT JOIN (SELECT b, k, sum(n) AS n FROM n JOIN k USING (f) GROUP BY b, k) x ON x.k = range GROUP BY range),
+gain AS (SELECT k, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS g FROM tot),
+doc AS (SELECT doc_id, sum(n) AS n_features, CAST(floor(CAST(sum(n * g) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight FROM n JOIN k USING (f) JOIN gain USING (k) WHERE b = 0 GROUP BY doc_id),
+scored AS (SELECT w.doc_id, len(w) AS words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('7:', w.doc_id)), 1, 8)) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN doc USING (doc_id) WHERE b = 0),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
 }
