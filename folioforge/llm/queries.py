@@ -107,7 +107,20 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe_encode_decode, op3_embedding_near_dedup, op4_toxicity, op5_token_counts, op6_pii_spans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_warc_round_trip, op10_substring_dedup, op11_importance_resampling)}
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .convtrie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdup import remove_repeated_bytes
+
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe_encode_decode, op3_embedding_near_dedup, op4_toxicity, op5_token_counts, op6_pii_spans, op7_benchmark_decontamination, op8_minhash_near_dedup, op9_warc_round_trip, op10_substring_dedup, op11_importance_resampling, op12_conversation_trie, op13_suffix_array_dedup)}
 
 #: Unsigned CRC-32 of the bytes of a text in DuckDB; `crc` is a relation of one row with the table of its polynomial, made from its rule.
 _CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) t(i)))"
@@ -153,4 +166,26 @@ doc AS (SELECT doc_id, sum(n) AS n_features, CAST(floor(CAST(sum(n * g) AS DOUBL
 scored AS (SELECT w.doc_id, len(w) AS words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(concat('0x', substr(sha256(concat('7:', w.doc_id)), 1, 8)) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN doc USING (doc_id) WHERE b = 0),
 ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""",
+    "op12_conversation_trie": f"""WITH {_CRC_TABLE},
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 5 AS base, {_CRC.format('CAST(c AS VARCHAR)')} % 9 AS h FROM (SELECT DISTINCT c FROM t), crc),
+own AS (SELECT convs.c, 0 AS part, t.p, role, text FROM convs JOIN t ON t.c = convs.base AND t.p <= h UNION ALL SELECT convs.c, 1, t.p, role, text FROM convs JOIN t ON t.c = convs.c AND t.p > h),
+d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, p) AS depth, role, text FROM own),
+paths AS (SELECT c, depth, strlen(text) AS bytes, sha256(string_agg(concat(strlen(role), ':', strlen(text), ':', role, text), '') OVER (PARTITION BY c ORDER BY depth)) AS key FROM d),
+len AS (SELECT convs.c, count(depth) AS n FROM convs LEFT JOIN d ON d.c = convs.c GROUP BY convs.c),
+every AS (SELECT paths.c, depth, bytes, key, lag(key, 1, '') OVER (PARTITION BY paths.c ORDER BY depth) AS up, depth = n AS last FROM paths JOIN len ON len.c = paths.c UNION ALL SELECT c, 0, 0, '', NULL, n = 0 FROM len),
+nodes AS (SELECT depth, key, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM every GROUP BY depth, key),
+kids AS (SELECT depth - 1 AS depth, up AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.depth = nodes.depth AND kids.key = nodes.key),
+under AS (SELECT e.depth, e.key, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved_tokens FROM full_ f JOIN every g ON g.c = f.conv_id AND g.depth = f.depth JOIN every e ON e.c = g.c AND e.depth <= g.depth GROUP BY e.depth, e.key)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256 FROM full_ f JOIN under u ON u.depth = f.depth AND u.key = f.key LEFT JOIN full_ p ON p.depth = f.depth - 1 AND p.key = f.up""",
+    "op13_suffix_array_dedup": """WITH b AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, n, s, substr(x, CAST(2 * s + 1 AS INT), 800) AS y FROM (SELECT doc_id, n, x, unnest(range(0, n, 200)) AS s FROM b)),
+win AS (SELECT doc_id, i, md5(substr(y, CAST(2 * (i - s) + 1 AS INT), 400)) AS w FROM (SELECT doc_id, s, y, unnest(range(s, least(s + 200, n - 199))) AS i FROM c)),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY w) AS k FROM win) WHERE k > 1),
+each AS (SELECT doc_id, i, substr(y, CAST(2 * (i - s) + 1 AS INT), 2) AS byte FROM (SELECT doc_id, s, y, unnest(range(s, least(s + 200, n))) AS i FROM c)),
+cover AS (SELECT e.doc_id, e.i, byte, coalesce(max(h.i) OVER (PARTITION BY e.doc_id ORDER BY e.i) >= e.i - 199, false) AS gone FROM each e LEFT JOIN hits h ON h.doc_id = e.doc_id AND h.i = e.i),
+runs AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS starts FROM cover),
+out_ AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM runs GROUP BY doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM b LEFT JOIN out_ USING (doc_id)""",
 }
