@@ -36,7 +36,10 @@ HOT = 1000
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 #: Bytes of documents meant for one bucket.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 8 << 20
+#: Places held before they are packed by bucket, and bytes of distinct passages.
+HELD_ROWS = 600_000
+HELD_BYTES = 16 << 20
 PACKED = "bucket int, kind int, blob binary"
 
 
@@ -272,8 +275,22 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
-def _note(held: dict, key, i: int, start: int, n: int, again: list, weight: int = 1) -> None:
-    """Count one more place of ``key``: the first is held as [id, start, windows, weight], repeats go to ``again``.
+def _held(parts):
+    """Lists of some of the (ids, columns) of ``parts``, each of about ``HELD_ROWS`` rows."""
+    held, n = [], 0
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            n += len(part[0])
+        if n >= HELD_ROWS:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _note(held: dict, key, i: int, start: int, n: int, again: list, weight: int = 1) -> bool:
+    """Count one more place of ``key``; whether it is the first, held as [id, start, windows, weight]. Repeats go to ``again``.
 
     Weight 1: one place so far; 2: several. A first place is told to ``again`` when a second comes.
     """
@@ -282,15 +299,17 @@ def _note(held: dict, key, i: int, start: int, n: int, again: list, weight: int
         held[key] = [i, start, n, weight]
         if weight > 1:
             again.append((i, start, n))
-    elif (old[0], old[1]) != (i, start):
+        return True
+    if (old[0], old[1]) != (i, start):
         again.append((i, start, n))
         if old[3] == 1:
             again.append(tuple(old[:3]))
             old[3] = 2
+    return False
 
 
-def _single(shard: list, window: int) -> list:
-    """[(ids, starts, counts)] of repeated windows in the passages (text, id, start, weight) that stand in one place."""
+def _single(shard: list, window: int) -> tuple:
+    """(ids, starts, counts) of repeated windows in the passages (text, id, start, weight) that stand in one place."""
     import numpy as np
 
     hit = repeated_starts([x[0] for x in shard], window)
@@ -301,7 +320,7 @@ def _single(shard: list, window: int) -> list:
     single = np.array([x[3] for x in shard])[which] == 1
     at, which = at[single], which[single]
     ids, starts = (np.array([x[c] for x in shard], np.int64) for c in (1, 2))
-    return [(ids[which], starts[which] + at - base[which], np.ones(len(at), np.int64))]
+    return ids[which], starts[which] + at - base[which], np.ones(len(at), np.int64)
 
 
 def _by_bucket(batches):
@@ -353,29 +372,33 @@ def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / BUCKET_BYTES))
 
     def sent(batches):
-        """Sorted anchors of a block by bucket: (hash, id, place)."""
+        """Sorted anchors by bucket: (hash, id, place)."""
         import numpy as np
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for ids, texts, _ in _blocks(batches):
-            got = _pieces(texts, window)
-            if got is None:
-                continue
-            row, place, h = got[0][:3]
-            doc = np.array(ids, np.int64)[row]
+
+        def packed(parts):
+            doc, place, h = (np.concatenate(c) for c in zip(*parts, strict=True))
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((place, doc, h, bucket))
             doc, place, h, bucket = doc[order], place[order], h[order], bucket[order]
             edge = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
-            yield _batch([(int(bucket[a]), 0, squeeze(_pack(np.diff(h[a:b], prepend=np.uint64(0)), doc[a:b], place[a:b]))) for a, b in zip(edge, edge[1:], strict=False)])
+            return _batch([(int(bucket[a]), 0, squeeze(_pack(np.diff(h[a:b], prepend=np.uint64(0)), doc[a:b], place[a:b]))) for a, b in zip(edge, edge[1:], strict=False)])
+
+        def found():
+            for ids, texts, _ in _blocks(batches):
+                got = _pieces(texts, window)
+                if got is not None:
+                    row, place, h = got[0][:3]
+                    yield np.array(ids, np.int64)[row], place, h
+
+        yield from map(packed, _held(found()))
 
     def shared(batches):
-        """(id, place and whether it is hot) of anchors that stand in several places, dealt by id."""
+        """(id, place and whether it is hot) of anchors that stand in several places."""
         import numpy as np
-        import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
         for held in _by_bucket(batches):
             runs, sums = [], []
             for _, raw in held:
@@ -385,71 +408,71 @@ def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 runs.append((h, doc, place))
                 sums.append(np.unique(h[new], return_counts=True))
             keys, n = merged(sums)
-            out = []
             for h, doc, place in runs:
                 k = n[np.searchsorted(keys, h)]
-                out.append((doc[k > 1], 2 * place[k > 1] + (k[k > 1] > HOT)))
-            doc, place = (np.concatenate(x) for x in zip(*out, strict=True))
-            if len(doc):
-                yield _batch(_dealt(doc, [place], buckets, squeeze))
+                yield doc[k > 1], 2 * place[k > 1] + (k[k > 1] > HOT)
 
     def passages(batches):
-        """Distinct passages of a block by bucket (kind 1), windows of hot anchors by bucket (2), repeats by id (0).
+        """Distinct passages by bucket (kind 1), windows of hot anchors by bucket (2), repeats by id (0).
 
-        What the block holds more than once is repeated; it goes out once, marked so.
+        What is held more than once is repeated; it goes out once, marked so.
         """
         import numpy as np
         import xxhash
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
+        wide = np.int64(1 << PLACE_BITS)
+
+        def out(held, again):
+            parts = {}
+            for (kind, key, text), (i, start, n, weight) in held.items():
+                parts.setdefault((int.from_bytes(key[:8], "little") % buckets, kind), []).append((key, i, start, n, weight, text))
+            rows = []
+            for (bucket, kind), found in parts.items():
+                key, *cols, text = zip(*found, strict=True)
+                keys = np.frombuffer(b"".join(key), "<u8").reshape(len(key), -1).T
+                rows.append((bucket, kind, squeeze(_pack(*keys, *(np.array(c, np.int64) for c in cols)) + b"".join(text))))
+            if again:
+                i, start, n = (np.array(c, np.int64) for c in zip(*again, strict=True))
+                rows += _dealt(i, [start, n], buckets, squeeze)
+            return _batch(rows)
+
+        held, again, size = {}, [], 0
         for ids, texts, hits in _blocks(batches):
             own = [k for k, x in enumerate(hits) if x.is_valid]
             got = _pieces([texts[k] for k in own], window) if own else None
             if got is None:
                 continue
             (row, place, h, first, last, base), buffer = got
-            wide = np.int64(1 << PLACE_BITS)
             marks = [np.asarray(hits[k].values) for k in own]
             known = np.concatenate([i * wide + (x >> 1) for i, x in enumerate(marks)])
             at = np.minimum(np.searchsorted(known, row * wide + place), len(known) - 1)
             ours = np.flatnonzero(known[at] == row * wide + place)
-            hot = (np.concatenate(marks)[at] & 1).astype(bool)
-            docs_ = np.array([ids[k] for k in own], np.int64)[row]
-            held, again = {}, []
-            for k in ours:
-                i, a, b, start = int(docs_[k]), int(first[k]), int(last[k]), int(first[k] - base[k])
-                if hot[k]:
+            hot = (np.concatenate(marks)[at] & 1).astype(bool)[ours].tolist()
+            doc = np.array([ids[k] for k in own], np.int64)[row[ours]].tolist()
+            keys, start = h[ours].astype("<u8").tobytes(), (first - base)[ours].tolist()
+            for k, (i, a, b, s, many) in enumerate(zip(doc, first[ours].tolist(), last[ours].tolist(), start, hot, strict=True)):
+                if many:
                     for w in range(a, b + 1):
-                        _note(held, (2, xxhash.xxh3_128_digest(buffer[w : w + window]), b""), i, start + w - a, 1, again)
+                        size += 16 * _note(held, (2, xxhash.xxh3_128_digest(buffer[w : w + window]), b""), i, s + w - a, 1, again)
                 else:
-                    _note(held, (1, int(h[k]).to_bytes(8, "little"), buffer[a : b + window]), i, start, b - a + 1, again)
-            parts = {}
-            for (kind, key, text), (i, start, n, weight) in held.items():
-                parts.setdefault((int.from_bytes(key[:8], "little") % buckets, kind), []).append((key, i, start, n, weight, text))
-            rows = []
-            for (bucket, kind), found in parts.items():
-                key, *cols, text = zip(*found, strict=True)
-                keys = np.frombuffer(b"".join(key), "<u8").reshape(len(key), -1).T
-                rows.append((bucket, kind, squeeze(_pack(*keys, *(np.array(c, np.int64) for c in cols)) + b"".join(text))))
-            if again:
-                i, start, n = (np.array(c, np.int64) for c in zip(*again, strict=True))
-                rows += _dealt(i, [start, n], buckets, squeeze)
-            if rows:
-                yield _batch(rows)
+                    size += (b - a + window) * _note(held, (1, keys[8 * k : 8 * k + 8], buffer[a : b + window]), i, s, b - a + 1, again)
+            if size >= HELD_BYTES or len(again) >= HELD_ROWS:
+                yield out(held, again)
+                held, again, size = {}, [], 0
+        if held:
+            yield out(held, again)
 
     def compared(batches):
-        """Repeats by id from the passages and windows of whole buckets."""
+        """(id, start, windows) of repeats, from the passages and windows of whole buckets."""
         import numpy as np
-        import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3).compress
         for held in _by_bucket(batches):
-            own, once, out = {}, {}, []
+            own, once = {}, {}
             for kind, raw in held:
                 if kind == 0:
-                    (i, start, n), _ = _unpack(raw, "iii")
-                    out.append((i, start, n))
+                    yield tuple(_unpack(raw, "iii")[0])
                     continue
                 cols, text = _unpack(raw, "u" * kind + "iiii")
                 keys, rest = list(zip(*(c.tolist() for c in cols[:kind]), strict=True)), [c.tolist() for c in cols[kind:]]
@@ -459,9 +482,9 @@ def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str =
                     _note(own if kind == 1 else once, (key, text[at : at + size]), i, start, n, again, weight)
                     at += size
                 if again:
-                    out.append(tuple(np.array(c, np.int64) for c in zip(*again, strict=True)))
+                    yield tuple(np.array(c, np.int64) for c in zip(*again, strict=True))
             by_key = {}
-            for (key, text), (i, start, n, weight) in own.items():
+            for (key, text), (i, start, _, weight) in own.items():
                 by_key.setdefault(key, []).append((text, i, start, weight))
             shard, size = [], 0
             for found in by_key.values():
@@ -469,14 +492,24 @@ def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str =
                     shard += found
                     size += sum(len(x[0]) for x in found)
                 if size >= SHARD_BYTES:
-                    out += _single(shard, window)
+                    yield _single(shard, window)
                     shard, size = [], 0
             if shard:
-                out += _single(shard, window)
-            if out:
-                i, start, n = (np.concatenate(c) for c in zip(*out, strict=True))
-                if len(i):
-                    yield _batch(_dealt(i, [start, n], buckets, squeeze))
+                yield _single(shard, window)
+
+    def by_document(found):
+        """The stage that packs what ``found`` yields, (ids, columns), by the bucket of the id."""
+
+        def run(batches):
+            import numpy as np
+            import zstandard
+
+            squeeze = zstandard.ZstdCompressor(level=3).compress
+            for parts in _held(found(batches)):
+                ids, *cols = (np.concatenate(c) for c in zip(*parts, strict=True))
+                yield _batch(_dealt(ids, cols, buckets, squeeze))
+
+        return run
 
     def gathered(names):
         def run(batches):
@@ -524,9 +557,9 @@ def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str =
         return packed.repartition("bucket").sortWithinPartitions("bucket")
 
     by_id = named.repartition("id")  # both joins read this one shuffle of the texts
-    hits = dealt(dealt(named.mapInArrow(tidy(sent), PACKED)).mapInArrow(tidy(shared), PACKED)).mapInArrow(tidy(gathered(["ps"])), "id long, ps array<long>")
+    hits = dealt(dealt(named.mapInArrow(tidy(sent), PACKED)).mapInArrow(tidy(by_document(shared)), PACKED)).mapInArrow(tidy(gathered(["ps"])), "id long, ps array<long>")
     flagged = by_id.join(hits, "id", "left").select("id", "text", "ps")
-    spans = dealt(dealt(flagged.mapInArrow(tidy(passages), PACKED)).mapInArrow(tidy(compared), PACKED)).mapInArrow(tidy(gathered(["ps", "ns"])), "id long, ps array<long>, ns array<long>")
+    spans = dealt(dealt(flagged.mapInArrow(tidy(passages), PACKED)).mapInArrow(tidy(by_document(compared)), PACKED)).mapInArrow(tidy(gathered(["ps", "ns"])), "id long, ps array<long>, ns array<long>")
     done = by_id.join(spans, "id", "left").select("id", "text", "ps", "ns")
     none = F.lit(None).cast("array<long>")
     nameless = docs.where("id is null").select("id", "text", none, none)
