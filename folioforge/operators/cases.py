@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.pytext import lines
 from ..functions.strings import file_slug
 from ..sources import prompts
+from ..sources.ledger import Ledger
 from ..sources.providers import planned, profile, timed_replies
 from . import evaluate, genres, plan
 from .lines import page_count
@@ -15,26 +16,27 @@ from .lines import page_count
 RUN = ["case_id", "ord"]
 
 
-def run_cases(cases: DataFrame, chats: dict, models: list, variants: list, attempts: int = 3, wait: float = 1.0, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+def run_cases(cases: DataFrame, chats: dict, models: list, variants: list, attempts: int = 3, wait: float = 1.0, ledger: Ledger | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, sections) of every case, provider, model and prompt variant.
 
     ``cases`` has case_id, text (raw Markdown), gold and error (of reading it, or null). results has
     RUN, chat_provider, model, prompt_variant, genre, error, doc_type, languages,
     structure_pattern, section_labels, the metrics, cost_usd, latency_s and run_at; a run that fails
     has an error and null metrics. sections has RUN, section_ord, label, section_id, content.
-    Replies are read several times: with ``store``, a folder that all executors reach, they are
-    written there first, so that no paid call is repeated.
+    Calls go through ``ledger`` (the application's, if none is given) and are made when this is
+    called: one survey and one plan for each distinct request, however often the results are read.
     """
+    ledger = ledger or Ledger(cases.sparkSession)
     runs = evaluate.run_matrix(cases, sorted(chats), models, variants)
     ok = runs.where("error is null")
     hint = {v: prompts.variant(v) for v in variants}
     pick = lambda k: F.coalesce(*(F.when(F.col("prompt_variant") == v, F.lit(hint[v][k])) for v in variants))
     asked = ok.select(*RUN, "chat_provider", "model", pick(0).alias("system"), prompts.survey_prompt("text").alias("user"))
-    survey = _kept(timed_replies(asked, chats, RUN, attempts, wait), store, "survey").select(*RUN, profile("reply").alias("profile"), F.col("error").alias("e1"), F.col("latency_s").alias("s1"))
+    survey = timed_replies(asked, chats, RUN, attempts, wait, ledger).select(*RUN, profile("reply").alias("profile"), F.col("error").alias("e1"), F.col("latency_s").alias("s1"))
     planning = ok.join(survey.where("e1 is null"), RUN)
     asked = planning.select(*RUN, "chat_provider", "model", prompts.plan_system("{}", F.col("profile.doc_type"), F.col("profile.languages")).alias("told"), pick(1).alias("base"), prompts.plan_prompt("text").alias("user"))
     asked = asked.withColumn("system", F.replace("told", F.lit("{}"), F.col("base")))
-    replies = _kept(timed_replies(asked, chats, RUN, attempts, wait), store, "plans")
+    replies = timed_replies(asked, chats, RUN, attempts, wait, ledger)
     key = F.struct(*RUN)
     texts = planning.join(replies.where("error is null").select(*RUN), RUN).select(key.alias("run"), "text")
     totals = texts.select("run", F.size(lines("text")).alias("n_lines"))
@@ -74,9 +76,3 @@ def run_dumps(cases: DataFrame, results: DataFrame, sections: DataFrame) -> Data
     whole = F.array_join(F.transform("ps", lambda x: x["t"]), "\n\n")
     return raw.union(ok.join(parts, RUN).select(F.concat(path, F.lit("_structured.md")), whole))
 
-
-def _kept(rows: DataFrame, store: str | None, name: str) -> DataFrame:
-    if store is None:
-        return rows
-    rows.write.parquet(f"{store}/{name}")
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{store}/{name}")

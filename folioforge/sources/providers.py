@@ -1,8 +1,9 @@
 """Provider interfaces, registries and the stages that call them.
 
 A provider runs inside an Arrow stage on executors and is the only step that may leave the JVM for
-a network. Its output is written before anything reads it, so that a lost executor or a second
-reader does not repeat paid calls, and a failing row yields an error text and spares the others.
+a network. Requests go through a ledger (see ``ledger``): equal ones are called once, and neither a
+lost executor nor a second reader repeats a paid call. A failing row yields an error text and spares
+the others.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from functools import wraps
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import reachable
 
 
 class ProviderError(RuntimeError):
@@ -120,78 +120,55 @@ register_chat_provider("rules", RuleChat)
 register_ocr_provider("echo", EchoOcr)
 
 
-def ocr_pages(files: DataFrame, provider: OcrProvider, key: str = "path", attempts: int = 3, wait: float = 1.0) -> DataFrame:
-    """(key, page_no from 1, text, error) from (key, filename, content)."""
+def named_class(provider) -> str:
+    """What a provider object is called in a ledger: its class."""
+    return f"{type(provider).__module__}.{type(provider).__qualname__}"
 
-    def run(batches):
-        import pyarrow as pa
 
-        extract = retried(attempts, wait)(provider.extract)
-        for batch in batches:
-            rows = []
-            for k, name, content in zip(*(batch.column(c).to_pylist() for c in (key, "filename", "content")), strict=True):
-                try:
-                    rows += [(k, i, t, None) for i, t in enumerate(extract(name, content or b""), 1)]
-                except ProviderError as e:
-                    rows.append((k, 1, None, str(e)))
-            if rows:
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[key, "page_no", "text", "error"])
+def ocr_pages(files: DataFrame, provider: OcrProvider, key: str = "path", attempts: int = 3, wait: float = 1.0, ledger=None) -> DataFrame:
+    """(key, page_no from 1, text, error) from (key, filename, content); each file is sent once, at this call."""
 
-    reachable(files.sparkSession)
-    return files.select(F.col(key).cast("string").alias(key), "filename", "content").mapInArrow(run, f"{key} string, page_no int, text string, error string")
+    def extract(name, model, parts):
+        return json.dumps(provider.extract(parts["filename"], parts["content"] or b""))
 
+    asked = files.select(F.col(key).cast("string").alias(key), F.lit(named_class(provider)).alias("provider"), F.lit(None).cast("string").alias("model"), F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("content", F.lit("").cast("binary")).alias("content"))
+    replies = _ledger(files, ledger).ask(asked, [key], ["filename", "content"], extract, attempts, wait)
+    pages = F.from_json("reply", "array<string>")
+    good = replies.where("error is null").select(key, F.posexplode(pages).alias("page_no", "text"), "error").withColumn("page_no", F.col("page_no") + 1)
+    return good.union(replies.where("error is not null").select(key, F.lit(1), F.lit(None).cast("string"), "error"))
 
-def chat_json(prompts: DataFrame, provider: ChatProvider, schema: str, key: str = "doc_id", attempts: int = 3, wait: float = 1.0) -> DataFrame:
-    """(key, reply as ``schema``, error) from (key, system, user); a reply that is no JSON is retried."""
-    kind = prompts.schema[key].dataType.simpleString()
 
-    def run(batches):
-        import pyarrow as pa
+def _ledger(df: DataFrame, ledger):
+    """The ledger given, or that of the application."""
+    from .ledger import Ledger
 
-        ask = retried(attempts, wait)(provider.complete_json)
-        for batch in batches:
-            out, errors = [], []
-            for system, user in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                try:
-                    out.append(json.dumps(ask(system, user)))
-                    errors.append(None)
-                except ProviderError as e:
-                    out.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(errors, pa.string())], names=[key, "reply", "error"])
+    return ledger or Ledger(df.sparkSession)
+
+
+def chat_json(prompts: DataFrame, provider: ChatProvider, schema: str, key: str = "doc_id", attempts: int = 3, wait: float = 1.0, ledger=None) -> DataFrame:
+    """(key, reply as ``schema``, error) from (key, system, user); a reply that is no JSON is retried. Calls are made at this call, once a prompt."""
+
+    def complete(name, model, parts):
+        return json.dumps(provider.complete_json(parts["system"], parts["user"]))
 
-    reachable(prompts.sparkSession)
-    done = prompts.select(key, "system", "user").mapInArrow(run, f"{key} {kind}, reply string, error string")
-    return done.withColumn("reply", F.from_json("reply", schema))
+    asked = prompts.select(key, F.lit(named_class(provider)).alias("provider"), F.lit(None).cast("string").alias("model"), "system", "user")
+    done = _ledger(prompts, ledger).ask(asked, [key], ["system", "user"], complete, attempts, wait)
+    return done.select(key, F.from_json("reply", schema).alias("reply"), "error")
 
 
-def timed_replies(prompts: DataFrame, chats: dict, keys: list, attempts: int = 3, wait: float = 1.0) -> DataFrame:
+def timed_replies(prompts: DataFrame, chats: dict, keys: list, attempts: int = 3, wait: float = 1.0, ledger=None) -> DataFrame:
     """(keys, reply, error, latency_s) from (keys, chat_provider, model, system, user).
 
     ``chats`` maps names to providers; reply is JSON text. A reply that is no JSON is retried, and a
-    row that fails has an error. latency_s is the wall time of the row's calls, waits included.
+    row that fails has an error. latency_s is the wall time of the request's calls, waits included.
+    Calls are made at this call, once for equal requests.
     """
-    kinds = ", ".join(f"{k} {prompts.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(batches):
-        import pyarrow as pa
+    def complete(name, model, parts):
+        return json.dumps(_known(chats, name).complete_json(parts["system"], parts["user"], model=model))
 
-        for batch in batches:
-            replies, errors, seconds = [], [], []
-            for name, model, system, user in zip(*(batch.column(c).to_pylist() for c in ("chat_provider", "model", "system", "user")), strict=True):
-                began, reply, error = time.monotonic(), None, None
-                try:
-                    reply = json.dumps(retried(attempts, wait)(_known(chats, name).complete_json)(system, user, model=model))
-                except ProviderError as e:
-                    error = str(e)
-                replies.append(reply)
-                errors.append(error)
-                seconds.append(round(time.monotonic() - began, 2))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(replies, pa.string()), pa.array(errors, pa.string()), pa.array(seconds, pa.float64())], names=[*keys, "reply", "error", "latency_s"])
-
-    reachable(prompts.sparkSession)
-    return prompts.select(*keys, "chat_provider", "model", "system", "user").mapInArrow(run, f"{kinds}, reply string, error string, latency_s double")
+    asked = prompts.select(*keys, F.col("chat_provider").alias("provider"), "model", "system", "user")
+    return _ledger(prompts, ledger).ask(asked, keys, ["system", "user"], complete, attempts, wait)
 
 
 def _known(chats: dict, name: str) -> ChatProvider:
@@ -221,12 +198,12 @@ def planned(replies: DataFrame, keys: list, reply: str = "reply") -> DataFrame:
     return rows.where("s.start_line is not null and s.end_line is not null").select(*keys, "ord", blank("label", ""), blank("section_id", ""), blank("language", "unknown"), blank("level", 1), "s.start_line", "s.end_line")
 
 
-def extracted_metadata(docs: DataFrame, provider: ChatProvider, id_col: str = "doc_id", text_col: str = "text", attempts: int = 3, wait: float = 1.0) -> DataFrame:
+def extracted_metadata(docs: DataFrame, provider: ChatProvider, id_col: str = "doc_id", text_col: str = "text", attempts: int = 3, wait: float = 1.0, ledger=None) -> DataFrame:
     """(id, title, authors, year, source, doi, error) read by a chat provider from each text's first 2000 characters."""
     from .prompts import METADATA, metadata_prompt
 
     asked = docs.select(id_col, F.lit(METADATA).alias("system"), metadata_prompt(F.coalesce(F.col(text_col), F.lit(""))).alias("user"))
-    replies = chat_json(asked, provider, "title string, authors array<string>, year int, source string, doi string", id_col, attempts, wait)
+    replies = chat_json(asked, provider, "title string, authors array<string>, year int, source string, doi string", id_col, attempts, wait, ledger)
     return replies.select(id_col, clean_metadata("reply").alias("m"), "error").select(id_col, "m.*", "error")
 
 
@@ -245,29 +222,19 @@ def scholar_query(doi, title, authors):
     return F.when(F.coalesce(col(doi), F.lit("")) != "", col(doi)).otherwise(by_title)
 
 
-def looked_up(queries: DataFrame, provider: ScholarProvider, key: str = "doc_id") -> DataFrame:
-    """(key, publication_info, cited_by, url, year) of the first hit of (key, query); nulls without one or on any error."""
+def looked_up(queries: DataFrame, provider: ScholarProvider, key: str = "doc_id", ledger=None) -> DataFrame:
+    """(key, publication_info, cited_by, url, year) of the first hit of (key, query); nulls without one or on any error. Equal queries are sent once, at this call."""
     from ..functions.strings import recovered_year
 
-    kind = queries.schema[key].dataType.simpleString()
+    def search(name, model, parts):
+        top = (provider.search(parts["query"]) or [{}])[0]
+        text = lambda k: None if top.get(k) is None else str(top[k])
+        first = lambda k: text(k) if k in top else "" if top else None
+        return json.dumps({"publication_info": first("publicationInfo"), "cited_by": None if top.get("citedBy") is None else int(top["citedBy"]), "url": first("link"), "y": text("year")})
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for q in batch.column(1).to_pylist():
-                try:
-                    top = (provider.search(q) or [{}])[0]
-                    cited = top.get("citedBy")
-                    rows.append((top.get("publicationInfo", "" if top else None), None if cited is None else int(cited), top.get("link", "" if top else None), None if top.get("year") is None else str(top["year"])))
-                except Exception:  # noqa: BLE001 - a lookup that fails adds nothing
-                    rows.append((None, None, None, None))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[key, "publication_info", "cited_by", "url", "y"])
-
-    reachable(queries.sparkSession)
-    done = queries.select(key, "query").mapInArrow(run, f"{key} {kind}, publication_info string, cited_by long, url string, y string")
+    asked = queries.select(key, F.lit(named_class(provider)).alias("provider"), F.lit(None).cast("string").alias("model"), "query")
+    found = _ledger(queries, ledger).ask(asked, [key], ["query"], search, 1, 0)
+    done = found.select(key, F.from_json("reply", "publication_info string, cited_by long, url string, y string").alias("r")).select(key, "r.*")
     return done.select(key, "publication_info", "cited_by", "url", recovered_year("y", "publication_info").alias("year"))
 
 

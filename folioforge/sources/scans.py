@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.pytext import strip
 from ..operators.lines import PAGE_BREAK, gathered, page_batches, without_leaks
-from ..session import reachable
+from ..session import dropped, kept, reachable
+from .ledger import Ledger
 from .prompts import TRANSCRIBE
-from .providers import ProviderError, retried
+from .providers import ProviderError, named_class, retried
 
 
 class PageRenderer(ABC):
@@ -106,34 +107,28 @@ def batched(pages: DataFrame, pages_per_call: int = 4, most_images: int = 20, mo
     return pages.join(flat.select("path", "part", F.col("x.ps.page_no").alias("page_no"), F.col("x.bs").alias("batch")), ["path", "page_no"])
 
 
-def transcribed(files: DataFrame, renderer: PageRenderer, vision: VisionProvider, pages_per_call: int = 4, attempts: int = 3, wait: float = 1.0) -> DataFrame:
+def transcribed(files: DataFrame, renderer: PageRenderer, vision: VisionProvider, pages_per_call: int = 4, attempts: int = 3, wait: float = 1.0, ledger: Ledger | None = None) -> DataFrame:
     """(path, text, error) of (path, filename, content).
 
     Blank pages and what follows an echoed prompt on a page go; pages are joined by the page break.
-    A document of which a page or a call fails has the error and no text.
+    A document of which a page or a call fails has the error and no text. Files are rendered once
+    and batches sent once, when this is called; what it returns only reads rows.
     """
 
-    def call(batches):
-        import pyarrow as pa
+    def call(name, model, parts):
+        return vision.transcribe(parts["images"], parts["prompt"])
 
-        ask = retried(attempts, wait)(vision.transcribe)
-        for batch in batches:
-            texts, errors = [], []
-            for images in batch.column(3).to_pylist():
-                try:
-                    texts.append(ask(images, f"{TRANSCRIBE}\n{len(images)} page image(s)"))
-                    errors.append(None)
-                except ProviderError as e:
-                    texts.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "part", "batch", "text", "error"])
-
-    pages = page_images(files, renderer)
+    ledger = ledger or Ledger(files.sparkSession)
+    pages = kept(page_images(files, renderer), "images")
     images = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "image"))), lambda x: x["image"])
     calls = batched(pages.where("error is null"), pages_per_call).groupBy("path", "part", "batch").agg(images.alias("images"))
-    replies = calls.mapInArrow(call, "path string, part int, batch int, text string, error string")
-    failed = pages.select("path", "error").union(replies.select("path", "error")).where("error is not null").groupBy("path").agg(F.min("error").alias("error"))
-    clean = replies.where("error is null").withColumn("text", without_leaks("text")).where(strip("text") != "")
+    prompt = F.concat(F.lit(f"{TRANSCRIBE}\n"), F.size("images").cast("string"), F.lit(" page image(s)"))
+    asked = calls.select("path", "part", "batch", F.lit(named_class(vision)).alias("provider"), F.lit(None).cast("string").alias("model"), "images", prompt.alias("prompt"))
+    replies = ledger.ask(asked, ["path", "part", "batch"], ["images", "prompt"], call, attempts, wait)
+    unread = kept(pages.where("error is not null").select("path", "error"), "unread")
+    dropped(pages)
+    failed = unread.union(replies.where("error is not null").select("path", "error")).groupBy("path").agg(F.min("error").alias("error"))
+    clean = replies.where("error is null").withColumn("text", without_leaks("reply")).where(strip("text") != "")
     full = gathered(clean, ["path"], F.struct("part", "batch"), "text", PAGE_BREAK)
     out = files.select("path").join(full, "path", "left").join(failed, "path", "left")
     return out.select("path", F.when(F.col("error").isNull(), F.coalesce("text", F.lit(""))).alias("text"), "error")

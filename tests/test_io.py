@@ -2,11 +2,13 @@
 
 import io
 import json
+import os
 import zipfile
 
 import pytest
 from folioforge.operators import cases, names
 from folioforge.sources import files, prompts, providers, scans, sinks
+from folioforge.sources.ledger import Ledger, digest
 from folioforge.streaming import incremental
 from pyspark.sql import functions as F
 
@@ -126,7 +128,7 @@ def test_cases(spark, tmp_path):
     md = "# One\ntext of it\n## Two\nmore text"
     c = spark.createDataFrame([(1, md, md, None), (2, None, "", "unreadable")], "case_id long, text string, gold string, error string")
     chats = {"rules": providers.RuleChat(), "broken": Broken()}
-    results, sections = cases.run_cases(c, chats, ["other"], ["default"], attempts=2, wait=0, store=str(tmp_path / "replies"))
+    results, sections = cases.run_cases(c, chats, ["other"], ["default"], attempts=2, wait=0, ledger=Ledger(spark, f"file://{tmp_path}/calls"))
     got = {(r.case_id, r.chat_provider): r for r in results.collect()}
     ok = got[1, "rules"]
     assert (ok.error, ok.num_pred_sections, ok.num_hallucinated, ok.genre, ok.section_labels) == (None, 2, 0, "academic_article", ["One", "Two"])
@@ -165,3 +167,95 @@ def test_stream(spark, tmp_path):
     assert sorted(r.doc_id for r in spark.read.parquet(str(out)).collect()) == [1, 2]
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert incremental.event_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def recorder(path):
+    """(note a line from any process, the lines so far), as closures that workers need no module for."""
+
+    def note(what):
+        fd = os.open(path, os.O_WRONLY | os.O_APPEND | os.O_CREAT)
+        os.write(fd, f"{what}\n".encode())
+        os.close(fd)
+
+    def told():
+        return path.read_text().split("\n")[:-1] if path.exists() else []
+
+    return note, told
+
+
+def test_ledger(spark, tmp_path):
+    broken, (note, told) = tmp_path / "broken", recorder(tmp_path / "log")
+    asked = spark.createDataFrame([(k, "p", "m", None if k == 9 else f"q{k % 4}") for k in range(10)], "id long, provider string, model string, query string").repartition(3)
+    broken.touch()
+
+    def call(provider, model, parts):
+        q = parts["query"]
+        if q == "q3" and broken.exists():
+            raise OSError("down")
+        note(q)
+        return q.upper()
+
+    book = Ledger(spark, f"file://{tmp_path}/calls")
+    first = book.ask(asked, ["id"], ["query"], call, attempts=2, wait=0)
+    got = {r.id: (r.reply, r.error) for r in first.collect()}
+    assert got == {k: (None, None) if k == 9 else (None, "down") if k % 4 == 3 else (f"Q{k % 4}", None) for k in range(10)}
+    assert first.count() == 10 and first.where("reply is not null").count() == 7  # further actions
+    broken.unlink()
+    again = {r.id: r.reply for r in Ledger(spark, f"file://{tmp_path}/calls").ask(asked, ["id"], ["query"], call, wait=0).collect()}
+    assert again == {k: None if k == 9 else f"Q{k % 4}" for k in range(10)}
+    assert sorted(told()) == ["q0", "q1", "q2", "q3"]
+    assert book.replies().count() == 4 and not (tmp_path / "calls/journal").exists()
+    other = asked.withColumn("model", F.lit("n"))
+    book.ask(other, ["id"], ["query"], call, wait=0)
+    assert len(told()) == 8  # another model is another request
+    names = spark.range(1).select(digest(F.lit("a"), F.lit("b"), F.lit("c")).alias("x"), digest(F.lit("ab"), F.lit(""), F.lit("c")).alias("y"), digest(F.lit("a"), F.lit("b"), F.lit(None).cast("string")).alias("z")).first()
+    assert len(set(names)) == 3
+
+
+def test_ledger_after_a_failed_task(spark, tmp_path):
+    """A task that dies half way pays for no call again."""
+    dead, (note, told) = tmp_path / "dead", recorder(tmp_path / "log")
+    asked = spark.createDataFrame([(k, "p", "m", f"q{k}") for k in range(6)], "id long, provider string, model string, query string").coalesce(1)
+
+    def call(provider, model, parts):
+        if len(told()) == 4 and not dead.exists():
+            dead.touch()
+            os._exit(1)
+        note(parts["query"])
+        return parts["query"]
+
+    book = Ledger(spark, f"file://{tmp_path}/calls")
+    with pytest.raises(Exception, match="crashed|exited|EOF"):
+        book.ask(asked, ["id"], ["query"], call, wait=0)
+    assert len(told()) == 4 and book.replies().count() == 0
+    assert book.ask(asked, ["id"], ["query"], call, wait=0).where("reply = concat('q', id)").count() == 6
+    assert sorted(told()) == [f"q{k}" for k in range(6)]
+
+
+def test_each_request_is_paid_once(spark, tmp_path):
+    note, told = recorder(tmp_path / "log")
+
+    class Pages(scans.FormFeedPages):
+        def render(self, filename, content):
+            note("render")
+            return super().render(filename, content)
+
+    class Vision(scans.EchoVision):
+        def transcribe(self, images, prompt):
+            note("vision")
+            return super().transcribe(images, prompt)
+
+    class Chat(providers.RuleChat):
+        def complete(self, messages, **options):
+            note("chat")
+            return super().complete(messages, **options)
+
+    f = spark.createDataFrame([("a", "n.pdf", bytearray(b"p1\fp2\fp3"))], "path string, filename string, content binary")
+    out = scans.transcribed(f, Pages(), Vision(), pages_per_call=2, wait=0, ledger=Ledger(spark, f"file://{tmp_path}/scans"))
+    assert out.first().text == "p1\n\n---\n\np2\n\n---\n\np3" and out.where("error is not null").count() == 0
+    assert sorted(told()) == ["render", "vision", "vision"]
+    md = "# One\ntext of it\n## Two\nmore text"
+    c = spark.createDataFrame([(1, md, md, None), (2, md, "", None)], "case_id long, text string, gold string, error string")
+    results, sections = cases.run_cases(c, {"rules": Chat()}, ["m"], ["default"], wait=0, ledger=Ledger(spark, f"file://{tmp_path}/cases"))
+    assert results.count() == 2 and results.where("error is null").count() == 2 and sections.count() == 4 and cases.run_dumps(c, results, sections).count() == 4
+    assert told().count("chat") == 2  # the survey and the plan, which both cases share
