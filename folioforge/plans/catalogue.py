@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, names, structure, text, workflows
+from . import evaluation, names, streams, structure, text, workflows
 
-QUERIES = text.QUERIES | structure.QUERIES | evaluation.QUERIES | names.QUERIES | workflows.QUERIES
-ORACLES = text.ORACLES | structure.ORACLES | evaluation.ORACLES | names.ORACLES | workflows.ORACLES
+QUERIES = text.QUERIES | structure.QUERIES | evaluation.QUERIES | names.QUERIES | workflows.QUERIES | streams.QUERIES
+ORACLES = text.ORACLES | structure.ORACLES | evaluation.ORACLES | names.ORACLES | workflows.ORACLES | streams.ORACLES

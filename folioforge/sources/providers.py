@@ -125,6 +125,13 @@ def named_class(provider) -> str:
     return f"{type(provider).__module__}.{type(provider).__qualname__}"
 
 
+def request(provider, *parts):
+    """The column that names a request of ``parts`` to a provider object without a model, as the ledger has it."""
+    from .ledger import digest
+
+    return digest(F.lit(named_class(provider)), F.lit(None).cast("string"), *parts)
+
+
 def ocr_pages(files: DataFrame, provider: OcrProvider, key: str = "path", attempts: int = 3, wait: float = 1.0, ledger=None) -> DataFrame:
     """(key, page_no from 1, text, error) from (key, filename, content); each file is sent once, at this call."""
 

@@ -3,13 +3,15 @@
 import io
 import json
 import os
+import time
 import zipfile
+from datetime import datetime
 
 import pytest
-from folioforge.operators import cases, names
+from folioforge.operators import cases, names, progress
 from folioforge.sources import files, prompts, providers, scans, sinks
 from folioforge.sources.ledger import Ledger, digest
-from folioforge.streaming import incremental
+from folioforge.streaming import choices, fresh, incremental
 from pyspark.sql import functions as F
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -259,3 +261,76 @@ def test_each_request_is_paid_once(spark, tmp_path):
     results, sections = cases.run_cases(c, {"rules": Chat()}, ["m"], ["default"], wait=0, ledger=Ledger(spark, f"file://{tmp_path}/cases"))
     assert results.count() == 2 and results.where("error is null").count() == 2 and sections.count() == 4 and cases.run_dumps(c, results, sections).count() == 4
     assert told().count("chat") == 2  # the survey and the plan, which both cases share
+
+
+def test_progress(spark, tmp_path):
+    """Counts of a batch and of a stream come from the jobs that do the work."""
+    rows = spark.createDataFrame([(1, None, 2.5), (2, "bad", 0.5), (3, None, None)], "id long, error string, cost double")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "one write")
+    out, counted = progress.run_counted(rows, "run", cost=F.sum("cost"))
+    jobs = len(tracker.getJobIdsForGroup("counted"))
+    spark.sparkContext.setJobGroup("plain", "the same write")
+    progress.kept(rows, "plain")
+    assert jobs == len(tracker.getJobIdsForGroup("plain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counted == {"total": 3, "done": 2, "failed": 1, "cost": 3.0} and out.count() == 3
+    assert progress.run_counted(rows.limit(0), "none")[1] == {"total": 0, "done": 0, "failed": 0}
+    assert progress.as_row(spark, "run", counted).first().asDict() == {"name": "run", **counted}
+    listener = progress.StreamCounts("counts")
+    spark.streams.addListener(listener)
+    try:
+        for k in range(3):
+            rows.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in")).observe("counts", *progress.counts())
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):
+            if listener.ended(q.runId):
+                break
+            time.sleep(0.1)
+        got = listener.of(q.runId)
+        assert {k: got[k] for k in ("rows", "total", "done", "failed")} == {"rows": 9, "total": 9, "done": 6, "failed": 3} and got["batches"] >= 2
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_remembered_choice(spark, tmp_path):
+    """A choice holds until its limit, over a restart; ties, late rows, null keys and null times."""
+    schema = "user_id long, ts timestamp, event_id long, c string"
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    batches = [
+        [(1, day(1), 1, "a"), (1, day(2), 2, None), (2, day(1), 3, None), (None, day(1), 4, "n"), (None, day(2), 5, None)],
+        [(1, day(3), 6, None), (1, day(3, 1), 7, None), (1, None, 8, "x"), (2, day(4), 10, "q"), (2, day(4), 9, None), (2, day(4), 11, None)],
+        [(2, day(3, 23), 12, None), (2, day(6), 13, None), (2, day(6, 1), 14, None), (1, day(9), 15, None)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        last = choices.remember_new(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"), "c", late="3 days")
+    got = {r.ord: r.remembered for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: "a", 2: "a", 3: None, 4: "n", 5: "n", 6: "a", 7: None, 9: None, 10: "q", 11: "q", 12: None, 13: "q", 14: None, 15: None}
+    assert last.stateOperators[0].operatorName == "transformWithStateInPySparkExec" or "transformWithState" in last.stateOperators[0].operatorName
+
+
+def test_filter_of_finished(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('s', id % 1500) AS source").union(spark.sql("SELECT CAST(-1 AS long), CAST(NULL AS string)"))
+    done = spark.range(0, 3000, 3).selectExpr("concat('s', id) AS source").union(spark.sql("SELECT CAST(NULL AS string)"))
+    want = docs.join(done.select("source").distinct(), "source", "left_anti").select("doc_id", "source")
+    got = fresh.pending_filtered(docs, done)
+    assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+    assert sorted(fresh.pending_filtered(docs, done, n_done=1).collect(), key=repr) == sorted(want.collect(), key=repr)  # a full filter
+    assert fresh.pending_filtered(docs, done.limit(0)).count() == 4001
+    bits = fresh.bits_for(1001)
+    maybe = fresh.split_by_filter(docs, fresh.done_filter(done, bits), bits).where("maybe_done")
+    n = docs.join(done, "source", "left_semi").count()
+    assert n <= maybe.count() < n + 100 and maybe.where("source is null").count() == 0
+    plan = got._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "BroadcastHashJoin" in physical.split("SortMergeJoin")[0] or "BroadcastExchange" in physical
+    for k in range(2):
+        docs.where(f"pmod(doc_id, 2) = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        fresh.ingest_pending(spark, str(tmp_path / "in"), docs.schema, str(tmp_path / "done"), str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    first = docs.where("doc_id % 2 = 0")
+    second = docs.where("doc_id % 2 <> 0").join(first.select("source").distinct(), "source", "left_anti").select("doc_id", "source")
+    assert sorted(out.collect(), key=repr) == sorted(first.union(second).collect(), key=repr)
