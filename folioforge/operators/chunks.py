@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pytext import SPACE, col, n_words, named, strip, sub, words
@@ -54,38 +54,42 @@ def passages(text, window: int | Column, overlap: int | Column) -> Column:
     return named(words(text), built)
 
 
-def chunked(docs: DataFrame, sections: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", window: int | Column = 300, overlap: int | Column = 50) -> DataFrame:
+SECTION = "section_ord int, content string, heading_path array<string>, language string"
+
+
+def chunked(docs: DataFrame, sections: DataFrame | str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int | Column = 300, overlap: int | Column = 50) -> DataFrame:
     """(id, position, chunk_id, kind, heading_path, language, content, token_count, char_offset).
 
     Position 0 is the whole document, then its non-blank sections in order, then passages of its
-    plain text. ``sections`` has id, section_ord, content, heading_path, language; a passage takes
-    path and language of the last section whose offset (lengths of the plain section texts, plus
-    one each) is not behind it, and none before the first.
+    plain text. ``sections`` has section_ord, content, heading_path, language: the name of an array
+    of such structs in ``docs``, in order, which needs no shuffle, or a table with the id; a passage
+    takes path and language of the last section whose offset (lengths of the plain section texts,
+    plus one each) is not behind it, and none before the first.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(window).alias("_window"), F.lit(overlap).alias("_overlap"))
+    rows = docs.withColumns({"_window": F.lit(window), "_overlap": F.lit(overlap)})
+    empty = F.array().cast("array<string>")
+    own = lambda s: F.struct(s["section_ord"].cast("int").alias("section_ord"), s["content"].alias("content"), s["heading_path"].alias("heading_path"), F.coalesce(s["language"], F.lit("")).alias("language"))
+    if isinstance(sections, DataFrame):
+        per = sections.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("section_ord", "content", "heading_path", "language"))).alias("_secs"))
+        rows, sections = rows.join(per, id_col, "left"), "_secs"
+    secs = F.transform(sections, own) if sections else F.lit(None).cast(f"array<struct<{SECTION}>>")
+    rows = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "_window", "_overlap", F.coalesce(secs, F.array().cast(f"array<struct<{SECTION}>>")).alias("secs"))
     if isinstance(window, Column):
         window, overlap = F.col("_window"), F.col("_overlap")
-    empty = F.array().cast("array<string>")
-    if sections is None:
-        rows = base.withColumns({"marks": F.expr("cast(array() as array<struct<pos:int,heading_path:array<string>,language:string>>)"), "secs": F.expr("cast(array() as array<struct<section_ord:int,content:string,heading_path:array<string>,language:string>>)")})
-    else:
-        s = sections.select(F.col(id_col).alias("id"), F.col("section_ord").cast("int"), "content", "heading_path", F.coalesce("language", F.lit("")).alias("language"))
-        order = Window.partitionBy("id").orderBy("section_ord")
-        sized = s.withColumn("pos", F.coalesce(F.sum(F.length(plain_text("content")) + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-        marks = sized.groupBy("id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("section_ord", "pos", "heading_path", "language"))), lambda x: F.struct(x["pos"].alias("pos"), x["heading_path"].alias("heading_path"), x["language"].alias("language"))).alias("marks"),
-            F.array_sort(F.collect_list(F.struct("section_ord", "content", "heading_path", "language"))).alias("secs"),
-        )
-        rows = base.join(marks, "id", "left").withColumn("secs", F.coalesce("secs", F.expr("cast(array() as array<struct<section_ord:int,content:string,heading_path:array<string>,language:string>>)")))
-        rows = rows.withColumn("marks", F.coalesce("marks", F.expr("cast(array() as array<struct<pos:int,heading_path:array<string>,language:string>>)")))
     whole = F.struct(F.lit("full_doc").alias("kind"), empty.alias("heading_path"), F.lit("").alias("language"), F.col("text").alias("content"), F.lit(None).cast("int").alias("char_offset"))
-    parts = F.transform(F.filter("secs", lambda s: strip(s["content"]) != ""), lambda s: F.struct(F.lit("section").alias("kind"), s["heading_path"].alias("heading_path"), s["language"].alias("language"), s["content"].alias("content"), F.lit(None).cast("int").alias("char_offset")))
 
-    def passage(p):
-        last = F.try_element_at(F.filter("marks", lambda m: m["pos"] <= p["char_offset"]), F.lit(-1))
+    def passage(p, marks):
+        last = F.try_element_at(F.filter(marks, lambda m: m["pos"] <= p["char_offset"]), F.lit(-1))
         return F.struct(F.lit("passage").alias("kind"), F.coalesce(last["heading_path"], empty).alias("heading_path"), F.coalesce(last["language"], F.lit("")).alias("language"), p["passage"].alias("content"), p["char_offset"].alias("char_offset"))
 
-    rows = rows.withColumn("ps", passages(plain_text("text"), window, overlap))
-    rows = rows.withColumn("chunks", F.concat(F.array(whole), parts, F.transform("ps", passage)))
+    def laid(secs):
+        parts = F.transform(F.filter(secs, lambda s: strip(s["content"]) != ""), lambda s: F.struct(F.lit("section").alias("kind"), s["heading_path"].alias("heading_path"), s["language"].alias("language"), s["content"].alias("content"), F.lit(None).cast("int").alias("char_offset")))
+        begins = lambda sizes, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
+        marks = lambda sizes: F.transform(secs, lambda s, i: F.struct(begins(sizes, i).alias("pos"), s["heading_path"].alias("heading_path"), s["language"].alias("language")))
+        below = named(F.transform(secs, lambda s: F.length(plain_text(s["content"])) + 1), marks)
+        return F.concat(F.array(whole), parts, named(below, lambda m: F.transform(passages(plain_text("text"), window, overlap), lambda p: passage(p, m))))
+
+    # sections, their sizes and marks are bound, so that each is made once a document
+    rows = rows.withColumn("chunks", named(F.col("secs"), laid))
     rows = rows.select("id", F.posexplode("chunks").alias("position", "c"))
     return rows.select(F.col("id").alias(id_col), "position", F.format_string("%s_%04d", F.col("id").cast("string"), F.col("position")).alias("chunk_id"), F.col("c.kind").alias("kind"), "c.heading_path", "c.language", "c.content", token_estimate("c.content").alias("token_count"), "c.char_offset")

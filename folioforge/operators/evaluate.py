@@ -43,7 +43,8 @@ def invented(labels, headings) -> Column:
 
     def bad(keys):
         pairs = F.transform(col(labels), lambda x: F.struct(x.alias("label"), heading_key(x).alias("key")))
-        wrong = F.filter(pairs, lambda p: ~F.exists(keys, lambda g: (g == p["key"]) | g.contains(p["key"]) | p["key"].contains(g)))
+        held = lambda p: F.exists(keys, lambda g: g.contains(p["key"]) | p["key"].contains(g))
+        wrong = F.filter(pairs, lambda p: ~F.when(F.array_contains(keys, p["key"]), True).otherwise(held(p)))
         return F.transform(wrong, lambda p: p["label"])
 
     return named(F.transform(col(headings), heading_key), bad)
@@ -55,7 +56,8 @@ def scored_runs(runs: DataFrame, gold_col: str = "gold", sections_col: str = "se
     text = F.array_join(F.transform(sections_col, lambda s: s["content"]), "\n\n")
     named = F.filter(F.transform(sections_col, lambda s: strip(s["label"])), lambda x: x != "")
     rows = runs.withColumns({"_heads": heads, "_named": named})
-    bad = invented("_named", "_heads")
+    rows = rows.withColumn("_bad", invented("_named", "_heads"))  # a column, as two metrics read it
+    bad = F.col("_bad")
     return rows.withColumns(
         {
             "gold_token_f1": token_f1(gold_tokens(gold_col), tokens(text)),
@@ -66,7 +68,7 @@ def scored_runs(runs: DataFrame, gold_col: str = "gold", sections_col: str = "se
             "hallucinated_sections": bad,
             "num_hallucinated": F.size(bad),
         }
-    ).drop("_heads", "_named")
+    ).drop("_heads", "_named", "_bad")
 
 
 def price_table(spark) -> DataFrame:

@@ -45,16 +45,22 @@ def heading_paths(plan: DataFrame, key: str = "doc_id", order: str = "section_or
     return rows.withColumn("heading_path", path).drop("_l", "_t", *(f"_{c}{k}" for c in "tp" for k in (1, 2, 3)))
 
 
-def cut_sections(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", deepest: int = 2) -> DataFrame:
-    """The plan's sections with their content; blank ones go.
+def with_sections(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", deepest: int = 2, out: str = "sections") -> DataFrame:
+    """(id, text, ``out``): documents with their cut sections as one array in the order of the plan; blank ones go.
 
-    Ranges are clamped to the document, inverted ones go, a first line that is a heading is left
-    out whatever its text, and byte order marks at line starts are dropped. Levels are clamped to
-    1..``deepest``; a missing section_id comes from the label.
+    ``out`` holds structs of the plan's fields and content. The plan travels to the texts as one array
+    a document, so texts are shuffled once and sections not at all. Ranges are clamped to the
+    document, inverted ones go, a first line that is a heading is left out whatever its text, and byte
+    order marks at line starts are dropped. Levels are clamped to 1..``deepest``; a missing
+    section_id comes from the label. A document without plan has no sections, a null text is empty.
     """
     fields = [c for c in plan.columns if c != id_col]
-    plans = plan.groupBy(id_col).agg(F.collect_list(F.struct(*fields)).alias("_ps"))
-    texts = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(plans, id_col)
+    first = ["section_ord"] if "section_ord" in fields else []
+    fields = [*first, *(c for c in fields if c not in first)]
+    plans = plan.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_ps"))
+    kind = plans.schema["_ps"].dataType
+    texts = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(plans, id_col, "left")
+    texts = texts.withColumn("_ps", F.coalesce("_ps", F.array().cast(kind)))
 
     def body(part):
         headed = strip(F.get(part, F.lit(0))).rlike(r"^#{1,6}\s+\S")
@@ -65,11 +71,18 @@ def cut_sections(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_
         def one(p):
             start, end = F.greatest(F.lit(1), p["start_line"]), F.least(F.size(ls), p["end_line"])
             part = F.transform(F.slice(ls, start.cast("int"), F.greatest(end - start + 1, F.lit(0)).cast("int")), lambda x: sub(x, r"^\x{feff}+"))
-            return F.struct(*(p[c].alias(c) for c in fields), F.get(named(part, body), F.lit(0)).alias("content"))
+            level = F.greatest(F.lit(1), F.least(F.lit(deepest), p["level"]))
+            named_id = F.when(F.coalesce(p["section_id"], F.lit("")) == "", section_slug(p["label"])).otherwise(p["section_id"])
+            own = {"level": level, "section_id": named_id}
+            return F.struct(*(own.get(c, p[c]).alias(c) for c in fields), F.get(named(part, body), F.lit(0)).alias("content"))
+
+        return F.filter(F.transform("_ps", one), lambda s: s["content"] != "")
 
-        return F.transform("_ps", one)
+    # the lines are made once a document
+    return texts.select(id_col, text_col, named(lines(text_col), cut).alias(out))
 
-    # the lines are made once a document, and a section row carries its own text only
-    rows = texts.select(id_col, F.explode(named(lines("_text"), cut)).alias("_s")).select(id_col, "_s.*").where("content <> ''")
-    rows = rows.withColumn("level", F.greatest(F.lit(1), F.least(F.lit(deepest), F.col("level"))))
-    return rows.withColumn("section_id", F.when(F.coalesce("section_id", F.lit("")) == "", section_slug("label")).otherwise(F.col("section_id")))
+
+def cut_sections(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", deepest: int = 2) -> DataFrame:
+    """The sections of ``with_sections`` as rows: (id, the plan's fields, content)."""
+    rows = with_sections(docs, plan, id_col, text_col, deepest, "_sections")
+    return rows.select(id_col, F.explode("_sections").alias("_s")).select(id_col, "_s.*")

@@ -16,16 +16,21 @@ def parse_standard(docs: DataFrame, headings: DataFrame, id_col: str = "doc_id",
     clean = docs.select(id_col, F.array_join(L.without_noise(F.coalesce(text_col, F.lit(""))), "\n").alias(text_col))
     totals = clean.select(id_col, F.size(lines(text_col)).alias("n_lines"))
     full = plan.heading_paths(plan.gaps_filled(headings, totals, id_col), id_col)
-    secs = plan.cut_sections(clean, full, id_col, text_col, deepest=3)
-    return secs, chunks.chunked(clean, secs, id_col, text_col)
+    rows = plan.with_sections(clean, full, id_col, text_col, 3, "_sections")
+    return _exploded(rows, id_col), chunks.chunked(rows, "_sections", id_col, text_col)
 
 
 def structured(docs: DataFrame, plans: DataFrame, id_col: str = "doc_id", text_col: str = "text", window=300, overlap=50) -> tuple[DataFrame, DataFrame]:
     """(sections, chunks) by a section plan, gaps filled; heading paths are section id and label."""
     totals = docs.select(id_col, F.size(lines(F.coalesce(text_col, F.lit("")))).alias("n_lines"))
-    secs = plan.cut_sections(docs, plan.gaps_filled(plans, totals, id_col), id_col, text_col)
-    secs = secs.withColumn("heading_path", F.array("section_id", "label"))
-    return secs, chunks.chunked(docs, secs, id_col, text_col, window, overlap)
+    rows = plan.with_sections(docs, plan.gaps_filled(plans, totals, id_col), id_col, text_col, out="_sections")
+    paths = F.transform("_sections", lambda s: s.withField("heading_path", F.array(s["section_id"], s["label"])))
+    rows = rows.withColumn("_sections", paths)
+    return _exploded(rows, id_col), chunks.chunked(rows, "_sections", id_col, text_col, window, overlap)
+
+
+def _exploded(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.select(id_col, F.explode("_sections").alias("_s")).select(id_col, "_s.*")
 
 
 def genre_pipeline(docs: DataFrame, profiles: DataFrame, plans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, DataFrame]:

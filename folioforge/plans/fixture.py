@@ -69,15 +69,16 @@ def decorated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text)."""
-    return _texts(decorated_lines(spark, sf_dir))
+    return texts_of(decorated_lines(spark, sf_dir))
 
 
 def book_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of the book variant."""
     n = "n AS (SELECT doc_id, max(i) AS n FROM doc_lines GROUP BY doc_id)"
-    return _texts(spark.sql(f"WITH doc_lines AS (SELECT * FROM {{x}}), {n}, {BOOK_BODY} {BOOK_ORDERED}", x=doc_lines(spark, sf_dir)))
+    return texts_of(spark.sql(f"WITH doc_lines AS (SELECT * FROM {{x}}), {n}, {BOOK_BODY} {BOOK_ORDERED}", x=doc_lines(spark, sf_dir)))
 
 
-def _texts(rows: DataFrame) -> DataFrame:
+def texts_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) of (doc_id, line_no, line)."""
     items = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(items, lambda x: x["line"]), "\n").alias("text"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.pytext import lines
-from ..operators import article, book, chunks, genres, plan, render
-from .fixture import DUCK, DUCK_BOOK, book_texts, decorated, decorated_lines
+from ..operators import article, book, genres, plan, render, workflow
+from ..session import kept
+from .fixture import DUCK, DUCK_BOOK, book_texts, decorated, decorated_lines, texts_of
 from .registry import registry
 from .text import DUCK_APA, DUCK_INITIALS, DUCK_SLUG, GOOD, STUB_DUCK, duck_plain, duck_windows, duck_words, duck_yaml, stub_metadata
 
@@ -37,8 +38,12 @@ sections AS (SELECT doc_id, section_ord, label, CASE WHEN section_id = '' THEN c
   SELECT doc_id, section_ord, label, section_id, language, level, {DUCK_TRIM.format("string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT (r = 1 AND regexp_matches(trim(line), '^#{1,6}\\s+\\S')))")} AS content FROM sl GROUP BY ALL) WHERE content <> '')"""
 
 
+def plan_of(dec):
+    return dec.sparkSession.sql(f"WITH dec AS (SELECT * FROM {{x}}), {STUB_PLAN} SELECT * FROM plan", x=dec)
+
+
 def stub_plan(spark, sf_dir):
-    return spark.sql(f"WITH dec AS (SELECT * FROM {{x}}), {STUB_PLAN} SELECT * FROM plan", x=decorated_lines(spark, sf_dir))
+    return plan_of(decorated_lines(spark, sf_dir))
 
 
 def totals(spark, sf_dir):
@@ -95,8 +100,8 @@ SELECT doc_id, position, concat(doc_id, '_', printf('%04d', position)) AS chunk_
 
 @query(duck_chunks(60, 48))
 def structured_chunks(spark, sf_dir):
-    s = sections(spark, sf_dir).withColumn("heading_path", F.array("section_id", "label"))
-    return chunks.chunked(decorated(spark, sf_dir), s, window=60, overlap=12)
+    made = kept(decorated_lines(spark, sf_dir), "lines")  # the fixture is made once, for the plan and for the texts
+    return workflow.structured(texts_of(made), plan_of(made), window=60, overlap=12)[1]
 
 
 DUCK_ARTICLE = f"""{DUCK},
