@@ -41,11 +41,16 @@ ARTICLES = frozenset(("article", "main"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 NOISE_WORDS = "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discuss disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion recommended related reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget"
+#: Words that make a name say how a page is laid out, not what an element is: has-sidebar, no-header, comments-open.
+STATE_FIRST = frozenset("has have no not is are with without show shows hide hides can allow allows enable enables supports".split())
+STATE_LAST = frozenset("open closed enabled disabled active inactive on off allowed none".split())
 CONTENT_WORDS = "article articlebody body content entry main mainbody post story text"
 
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _NOISE, _CONTENT = frozenset(NOISE_WORDS.split()), frozenset(CONTENT_WORDS.split())
-_NAMES = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: Share of noise words from which a name counts as noise, and of a page's text from which it does not.
+NOISY, MOST = 0.5, 0.6
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _MAY_HIDE = re.compile("hidden|display|role", re.I)
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -63,10 +68,11 @@ class Page:
     """Block nodes of a page in document order, and its text runs."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.depth, self.attr, self.marks = ["#root"], [-1], [0], [(False, False, False)], [False]
+        self.tag, self.parent, self.depth, self.attr, self.marks = ["#root"], [-1], [0], [(0.0, False, False)], [False]
+        self._html, self._ends = html, {}
         self.runs: list = []  # (node, [text, ...])
         self.chars, self.links, self.tags, self.stops, self.inputs = [0], [0], [0], [0], [0]
-        stack, run, at, linked, unseen, endless = [0], None, 0, False, 0, set()
+        stack, run, at, linked, unseen = [0], None, 0, False, 0
         for m in _TOKEN.finditer(html):
             if m.start() < unseen:  # inside a hidden element
                 at = max(unseen, m.end())
@@ -79,13 +85,18 @@ class Page:
                 node = stack[-1]
                 if tag == "head":
                     continue
-                if tag in HIDDEN and tag not in endless and not m["attrs"].endswith("/"):
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                if tag in HIDDEN and not m["attrs"].endswith("/"):
+                    end = self._end_of(tag, m.start())
                     if end:
-                        unseen = at = end.end()
+                        unseen = at = end
                         continue
-                    endless.add(tag)
                 if tag in INLINE:
+                    if m["attrs"] and tag not in VOID:
+                        noise, content, hide, _ = self._named(m["attrs"], tag)
+                        end = self._end_of(tag, m.start()) if hide or noise == 1 and not content else None
+                        if end:
+                            unseen = at = end
+                            continue
                     self.tags[node] += 1
                     if tag == "a":
                         linked = True
@@ -99,7 +110,7 @@ class Page:
                 self.parent.append(stack[-1])
                 self.depth.append(len(stack))
                 self.tag.append(tag)
-                *attr, main = self._named(m["attrs"])
+                *attr, main = self._named(m["attrs"], tag)
                 self.attr.append(tuple(attr))
                 self.marks.append(main or tag in ARTICLES)
                 for x in (self.chars, self.links, self.stops, self.inputs):
@@ -132,18 +143,42 @@ class Page:
                     del stack[k:]
                     break
 
+    def _end_of(self, tag: str, start: int) -> int | None:
+        """Where the element whose start tag is at ``start`` ends, by depth; None if it never does."""
+        if tag not in self._ends:
+            ends, open_ = {}, []
+            for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])(?:[^>\"']*(?:\"[^\"]*\"|'[^']*')?)*?(/?)>", self._html, re.I):
+                if m[1]:
+                    if open_:
+                        ends[open_.pop()] = m.end()
+                elif not m[2]:
+                    open_.append(m.start())
+            self._ends[tag] = ends
+        return self._ends[tag].get(start)
+
     @staticmethod
-    def _named(attrs: str) -> tuple:
-        """Whether the attributes name noise or content, hide the element, or make it the main part."""
+    def _named(attrs: str, tag: str) -> tuple:
+        """How far a name says noise (the largest share of noise words in one name), whether one says content, whether the element is hidden or the main part.
+
+        Names that tell a state count for nothing, and an id of a paragraph or heading is the anchor of its text.
+        """
         if not attrs:
-            return False, False, False, False
-        words = {w for v in _NAMES.findall(attrs) for w in _WORDS.findall(v.lower())}
+            return 0.0, False, False, False
+        noise, content = 0.0, False
+        for kind, value in _NAMES.findall(attrs):
+            if kind.lower() == "id" and (tag in PARAGRAPHS or tag in HEADINGS):
+                continue
+            for name in [value] if kind.lower() == "aria-label" else value.strip("\"'").split():
+                words = [w.lower() for w in _WORDS.findall(name)]
+                if words and words[0] not in STATE_FIRST and (len(words) == 1 or words[-1] not in STATE_LAST):
+                    noise = max(noise, sum(w in _NOISE for w in words) / len(words))
+                    content = content or not _CONTENT.isdisjoint(words)
         hide = main = False
         if _MAY_HIDE.search(attrs):
             own = {k.lower(): v.strip("\"'") for k, v in reversed(_ATTRIBUTE.findall(attrs))}  # the first of a name counts
             hide = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(own.get("style", "")))
             main = own.get("role", "").lower() == "main"
-        return not words.isdisjoint(_NOISE), not words.isdisjoint(_CONTENT), hide, main
+        return noise, content, hide, main
 
     def _text(self, text: str, node: int, run, linked: bool):
         if run is None:
@@ -173,7 +208,8 @@ class Page:
             tags[p] += tags[k]
             stops[p] += stops[k]
             inputs[p] += inputs[k]
-        below, within, out = [False] * n, [False] * n, []
+        below, within, out = [0.0] * n, [False] * n, []
+        noise = self._noise(chars, marks)
         rank, like = [0.0] * n, [1.0] * n
         for k in range(n):
             own = kids[k]
@@ -186,10 +222,10 @@ class Page:
                     rank[c] = i / len(own)
                     like[c] = of[self.tag[c]] / len(own)
         for k in range(n):
-            p, tag, (noise, content, hide) = self.parent[k], self.tag[k], self.attr[k]
-            apart = noise or hide or tag in APART
+            p, tag, (_, content, hide) = self.parent[k], self.tag[k], self.attr[k]
+            below[k] = 1.0 if hide or tag in APART else noise[k]
             if p >= 0:
-                below[k] = below[p] or self.tag[p] in APART or self.attr[p][0] or self.attr[p][2]
+                below[k] = max(below[k], below[p])
                 within[k] = within[p] or marks[p]
             c, sibs = chars[k], len(kids[p]) if p >= 0 else 1
             out.append(
@@ -211,10 +247,10 @@ class Page:
                     tag in LISTS or tag in TABLES,
                     tag in APART,
                     marks[k],
-                    noise,
+                    noise[k],
                     content,
                     hide,
-                    apart or below[k],
+                    below[k],
                     within[k] or marks[k],
                     inputs[k],
                     len(kids[k]),
@@ -222,20 +258,35 @@ class Page:
             )
         return out
 
+    def _noise(self, chars: list, marks: list) -> list:
+        """What names say of each node, not held against the page itself: html, body, a part that the page marks, or one with most of the text and its title or such a part."""
+        n = len(self.tag)
+        holds = [m or t == "h1" for m, t in zip(marks, self.tag, strict=True)]
+        for k in range(n - 1, 0, -1):
+            holds[self.parent[k]] = holds[self.parent[k]] or holds[k]
+        spared = lambda k: self.tag[k] in ("html", "body") or marks[k] or holds[k] and chars[k] >= MOST * chars[0]
+        # half of a name's words are nearer to all than to none: share-buttons, but not search-for-peace
+        return [0.0 if x[0] and spared(k) else min(1.0, 1.5 * x[0]) for k, x in enumerate(self.attr)]
+
     def marked(self) -> list | None:
-        """1 for nodes in or above the page's own article, 0 for others; None without an article."""
+        """1 for nodes in or above the page's own article, 0 for others; None without an article.
+
+        Labels come from marks, tags and what is hidden. Of a node inside the article that its name
+        calls noise they say nothing (-1), so what such a name weighs is learned outside of it.
+        """
         n = len(self.tag)
-        inside, above, apart = [False] * n, [False] * n, [False] * n
+        inside, above, apart, said = [False] * n, [False] * n, [False] * n, [False] * n
         for k in range(n):
             p, (noise, _, hide) = self.parent[k], self.attr[k]
-            apart[k] = noise or hide or self.tag[k] in APART or p >= 0 and apart[p]
+            apart[k] = hide or self.tag[k] in APART or p >= 0 and apart[p]
+            said[k] = noise >= NOISY and not self.marks[k] and self.tag[k] not in ("html", "body") or p >= 0 and said[p]
             inside[k] = (self.marks[k] or p >= 0 and inside[p]) and not apart[k]
         if not any(inside):
             return None
         for k in range(n - 1, -1, -1):
             if (inside[k] or above[k]) and self.parent[k] >= 0:
                 above[self.parent[k]] = True
-        return [int(i or a) for i, a in zip(inside, above, strict=True)]
+        return [-1 if i and s and not a else int(i or a) for i, a, s in zip(inside, above, said, strict=True)]
 
     def decoded(self, p: list) -> list:
         """Kept nodes: the most likely set in which every kept node has a kept parent and none is hidden."""
@@ -260,7 +311,7 @@ class Page:
 
 def _plain_odds(x) -> float:
     """Probability of a node where no page could be learned from."""
-    return 0.02 if x[20] else 0.2 if x[3] > 0.5 else 0.9
+    return 0.02 if x[20] >= NOISY else 0.2 if x[3] > 0.5 else 0.9
 
 
 def fit_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = FIT_PAGES) -> list | None:
@@ -279,8 +330,8 @@ def fit_on(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fi
                 y = page.marked()
                 if y:
                     for marks in (None, [False] * len(y)):
-                        xs += [[float(v) for v in x] for x in page.features(marks)]
-                        ys += y
+                        xs += [[float(v) for v in x] for x, known in zip(page.features(marks), y, strict=True) if known >= 0]
+                        ys += [known for known in y if known >= 0]
             if ys:
                 yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.int32())], names=["x", "y"])
 
