@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pytext import col, lines, n_words, named, strip, sub
 from ..functions.strings import heading_key, tokens
+from ..session import kept
 
 #: List prices in USD per million tokens (input, output), per page, and defaults.
 PRICES = {
@@ -50,6 +51,52 @@ def invented(labels, headings) -> Column:
     return named(F.transform(col(headings), heading_key), bad)
 
 
+#: Length of the pieces by which keys are found in one another.
+GRAM = 3
+
+
+def _grams(key: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` characters."""
+    most = F.length(key) - size + 1
+    return F.when(most < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: F.substring(key, i, F.lit(size)))))
+
+
+def held_keys(inner: DataFrame, outer: DataFrame, case: str = "case_id") -> DataFrame:
+    """(case, inner, outer): keys of ``inner`` that stand within keys of ``outer`` in the same case; each has case and key.
+
+    Inverted lists of pieces of up to ``GRAM`` characters name the candidates: a key looks only into the
+    shortest list among its own pieces, and into none if one of them occurs nowhere. What is found
+    is compared in full. Empty keys stand in every key and are left to the caller.
+    """
+    own, other = (d.select(case, "key").where("key is not null and key <> ''").distinct() for d in (inner, outer))
+    sizes = range(1, GRAM + 1)
+    lists = kept(other.select(case, F.col("key").alias("outer"), F.explode(F.concat(*(_grams(F.col("key"), k) for k in sizes))).alias("gram")), "lists")
+    counts = lists.groupBy(case, "gram").agg(F.count("*").alias("n"))
+    pieces = F.coalesce(*(F.when(F.length("key") == k, _grams(F.col("key"), k)) for k in sizes[:-1]), _grams(F.col("key"), GRAM))
+    asked = own.select(case, F.col("key").alias("inner"), F.explode(pieces).alias("gram")).join(counts, [case, "gram"], "left")
+    probe = asked.groupBy(case, "inner").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    probe = kept(probe.where("missing = 0").select(case, "inner", "gram"), "probes")
+    return probe.join(lists, [case, "gram"]).where(F.col("outer").contains(F.col("inner"))).select(case, "inner", "outer")
+
+
+def invented_labels(labels: DataFrame, headings: DataFrame, case: str = "case_id") -> DataFrame:
+    """(case, label): distinct labels of a whole run matrix that ``invented`` finds, by index.
+
+    ``labels`` has case and label, ``headings`` case and heading. Each distinct key of a case is judged
+    once, however many runs have it, and never met with all headings of its case. Labels of a case without
+    headings are all invented; one whose key is empty is invented only there, and a heading whose
+    key is empty stands in every label. Null labels and headings are passed over.
+    """
+    said = labels.where("label is not null").select(case, "label", heading_key("label").alias("key")).distinct()
+    heads = headings.where("heading is not null").select(case, heading_key("heading").alias("key")).distinct()
+    known = held_keys(said, heads, case).select(case, F.col("inner").alias("key")).union(held_keys(heads, said, case).select(case, F.col("outer")))
+    some = heads.select(case).distinct()
+    known = known.union(said.where("key = ''").select(case, "key").join(some, case, "left_semi"))
+    free = heads.where("key = ''").select(case).distinct()
+    rest = said.join(free, case, "left_anti")
+    return rest.join(known.distinct(), [case, "key"], "left_anti").select(case, "label")
+
+
 def scored_runs(runs: DataFrame, gold_col: str = "gold", sections_col: str = "sections") -> DataFrame:
     """Adds the metrics of each run; ``sections_col`` is array<struct<label, content>>."""
     heads = gold_headings(gold_col)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..functions.pytext import strip
 from ..operators import evaluate as E
+from ..session import kept
 from .fixture import decorated
 from .registry import registry
 from .structure import DUCK_SECTIONS, sections
@@ -42,6 +44,15 @@ def run_metrics(spark, sf_dir):
     return E.scored_runs(predicted(spark, sf_dir)).drop("gold", "sections")
 
 
+@query(f"{DUCK_RUNS} SELECT DISTINCT doc_id, label FROM bad")
+def invented_headings(spark, sf_dir):
+    """Labels of all predicted sections against the headings of their text, by inverted lists instead of pairs."""
+    rows = kept(predicted(spark, sf_dir), "predicted")
+    labels = rows.select("doc_id", F.explode("sections").alias("s")).select("doc_id", strip("s.label").alias("label")).where("label <> ''")
+    heads = rows.select("doc_id", F.explode(E.gold_headings("gold")).alias("heading"))
+    return E.invented_labels(labels, heads, "doc_id")
+
+
 @query("SELECT doc_id, source, len(list_intersect(" + TOKENS.format("text") + ", " + TOKENS.format("source") + ")) AS shared FROM documents")
 def token_overlap(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -81,3 +81,26 @@ def pending_by_filter(spark, sf_dir):
     d = _read(spark, sf_dir, "documents").selectExpr("doc_id", name, "n_chars")
     done = d.where(FINISHED).select("source").union(_read(spark, sf_dir, "orders").selectExpr("concat('elsewhere/', o_orderkey) AS source"))
     return fresh.pending_filtered(d.select("doc_id", "source"), done)
+
+
+#: Replies around the JSON of the events: whole, with odd types, nested, cut in the middle, no object at all.
+ODD_REPLY = """CASE event_id % 7
+ WHEN 0 THEN concat('{"title": "', event_type, '", "year": ', 1990 + event_id % 40, ', "authors": ["A', user_id, '", "B"], "meta": ', props, '}')
+ WHEN 1 THEN concat('{"title": ', user_id, ', "year": "', event_type, '", "meta": {"k": "', event_type, '"}}')
+ WHEN 2 THEN concat('{"title": "', event_type, '", "year": null, "authors": {"first": "', event_type, '"}, "meta": ', props, '}')
+ WHEN 3 THEN concat('{"title": "', event_type, '", "year": ', event_id, ', "meta": ', substr(props, 1, 3))
+ WHEN 4 THEN concat('[', props, ']')
+ WHEN 5 THEN concat('Here is the JSON: ', props)
+ ELSE concat('{"year": ', event_id % 30, ', "meta": {"k": {"deep": ', props, '}}}') END"""
+
+
+@query(f"""WITH r AS (SELECT event_id, {ODD_REPLY} AS reply FROM events), j AS (SELECT event_id, json_valid(reply) AS ok, CASE WHEN json_valid(reply) THEN reply END AS reply FROM r),
+f AS (SELECT event_id, ok, ok AND json_type(reply) = 'OBJECT' AS obj, json_type(reply, '$.title') AS tt, json_type(reply, '$.year') AS ty, json_type(reply, '$.authors') AS ta, json_type(reply, '$.meta.k') AS tk, reply FROM j)
+SELECT event_id, CASE WHEN obj AND tt IN ('VARCHAR', 'UBIGINT') THEN json_extract_string(reply, '$.title') END AS title, CASE WHEN obj AND ty = 'UBIGINT' THEN CAST(json_extract_string(reply, '$.year') AS INT) END AS year,
+ CASE WHEN obj AND ta = 'ARRAY' THEN CAST(json_extract(reply, '$.authors') AS VARCHAR[]) END AS authors, CASE WHEN obj AND tk = 'UBIGINT' THEN CAST(json_extract_string(reply, '$.meta.k') AS BIGINT) END AS k,
+ CASE WHEN NOT ok THEN ['reply'] WHEN NOT obj THEN ['object'] ELSE list_filter([CASE WHEN ty NOT IN ('UBIGINT', 'NULL') THEN 'year' END, CASE WHEN ta NOT IN ('ARRAY', 'NULL') THEN 'authors' END, CASE WHEN tk NOT IN ('UBIGINT', 'NULL') THEN 'k' END], lambda x: x IS NOT NULL) END AS rejected FROM f""")
+def variant_replies(spark, sf_dir):
+    """Replies of no fixed shape: what fits is read, what does not is named."""
+    fields = {"title": ("$.title", "string"), "year": ("$.year", "int"), "authors": ("$.authors", "array<string>"), "k": ("$.meta.k", "bigint")}
+    e = _read(spark, sf_dir, "events").selectExpr("event_id", f"{ODD_REPLY} AS reply")
+    return e.select("event_id", providers.variant_fields("reply", fields).alias("v")).select("event_id", "v.title", "v.year", "v.authors", "v.k", "v.rejected")

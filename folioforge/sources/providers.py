@@ -15,7 +15,7 @@ import time
 from abc import ABC, abstractmethod
 from functools import wraps
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -245,6 +245,27 @@ def looked_up(queries: DataFrame, provider: ScholarProvider, key: str = "doc_id"
     return done.select(key, "publication_info", "cited_by", "url", recovered_year("y", "publication_info").alias("year"))
 
 
+def variant_fields(reply, fields: dict) -> Column:
+    """struct<fields, rest, rejected> of a JSON reply of any shape, read as a VARIANT.
+
+    ``fields`` maps names to (path, type), as in ``{"year": ("$.year", "int")}``. A field that is
+    missing or null is null; one whose value is no such type is null and named in ``rejected``. A reply
+    that is cut or no JSON at all has only nulls and ``rejected`` = ["reply"]; an object is wanted, so
+    other JSON has ["object"]. ``rest`` is the reply as JSON text in one form, so that nothing it
+    said is lost.
+    """
+    text = F.col(reply) if isinstance(reply, str) else reply
+    v = F.try_parse_json(text)
+    shape = F.schema_of_variant(v)
+    is_object = F.coalesce(shape.startswith("OBJECT"), F.lit(False))
+    got = {n: F.when(is_object, F.try_variant_get(v, path, kind)) for n, (path, kind) in fields.items()}
+    # a JSON null reads as a variant whose schema is VOID
+    given = {n: is_object & F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")) != "VOID", F.lit(False)) for n, (path, _) in fields.items()}
+    bad = F.filter(F.array(*(F.when(given[n] & got[n].isNull(), F.lit(n)) for n in fields)), lambda x: x.isNotNull())
+    rejected = F.when(v.isNull(), F.array(F.lit("reply"))).when(~is_object, F.array(F.lit("object"))).otherwise(bad)
+    return F.struct(*(got[n].alias(n) for n in fields), F.to_json(v).alias("rest"), rejected.alias("rejected"))
+
+
 def clean_metadata(reply):
     """Metadata with authors as trimmed non-empty strings."""
     from ..functions.pytext import strip

@@ -154,19 +154,42 @@ def test_evaluation(spark):
     assert evaluate.with_cost(c).first().cost_usd == 0.000507
 
 
-def test_unique_names(spark):
-    rnd = random.Random(5)
-    stems = ["a", "a", "a_2", *(rnd.choice(["a", "b", "a_2", "b_3"]) for _ in range(40))]
-    used, want = set(), []
+def named_in_order(stems):
+    used, out = set(), []
     for s in stems:
         name, n = s, 2
         while name in used:
             name, n = f"{s}_{n}", n + 1
         used.add(name)
-        want.append(name)
-    d = spark.createDataFrame([("f", i, s) for i, s in enumerate(stems)], "g string, i int, s string")
-    assert [r.name for r in names.unique_names(d, "s", "i", "g").orderBy("i").collect()] == want
-    assert want[:3] == ["a", "a_2", "a_2_2"]
+        out.append(name)
+    return out
+
+
+@pytest.mark.parametrize("pool", [["a", "a_2", "a_3", "a_5", "a_2_2", "a_2_3", "a_3_2", "b", "b_2", "a_02", "a_1", "a_2_2_2", "", "_2"], ["a"] * 20 + [f"a_{k}" for k in range(2, 30)] + [f"a_{k}_{j}" for k in (2, 3, 4) for j in (2, 3, 4)]])
+def test_unique_names(spark, pool):
+    rnd = random.Random(len(pool))
+    rows = [(g, i, s) for g in ("f", None) for i, s in enumerate([*(["a", "a", "a_2"] if g else []), *(rnd.choice(pool) for _ in range(90))])]
+    d = spark.createDataFrame(rows, "g string, i int, s string")
+    got = {(r.g, r.i): r.name for r in names.unique_names(d, "s", "i", "g").collect()}
+    for g in ("f", None):
+        assert [got[g, i] for h, i, _ in rows if h == g] == named_in_order([s for h, _, s in rows if h == g])
+    assert [got["f", i] for i in range(3)] == ["a", "a_2", "a_2_2"]
+    assert names.unique_names(d.limit(0), "s", "i", "g").count() == 0
+
+
+def test_one_mixed_root_is_spread(spark):
+    """Half the rows have the root as stem, the others are its numbers; no task of the result holds more than its share."""
+    n = 60_000
+    d = spark.range(n).select(F.lit("f").alias("g"), F.col("id").alias("i"), F.expr("CASE WHEN hash(id) % 2 = 0 THEN 'a' ELSE concat('a_', pmod(xxhash64(id), 40000) + 2) END").alias("s"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = names.unique_names(d, "s", "i", "g")
+        per = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert [r.name for r in out.orderBy("i").collect()] == named_in_order([r.s for r in d.orderBy("i").collect()])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert max(per) < n * 0.6
 
 
 def test_page_batches(spark):
