@@ -121,3 +121,11 @@ def library_collections(spark: SparkSession, path: str) -> DataFrame:
 def find_collection(collections: DataFrame, name: str) -> DataFrame:
     """The collection of a name, compared without case; no row if there is none."""
     return collections.where(F.lower("name") == name.strip().lower()).orderBy("key").limit(1)
+
+
+def paged(spark: SparkSession, template: str, schema: str, limit: int = 100, rows: str = "results", total: str = "total", tasks: int = 64) -> DataFrame:
+    """All rows of a JSON interface that answers by pages, read in parallel; see ``paged``."""
+    from .vault import registered
+
+    options = {"path": template, "limit": limit, "rows": rows, "total": total, "tasks": tasks}
+    return registered(spark).read.format("paged_json").schema(schema).options(**options).load()

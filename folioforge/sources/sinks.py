@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reachable
+from ..session import kept, reachable
+from .vault import registered, safe_path
 
 
 def vault_folder(root: str, case: str, override: str | None = None) -> str:
@@ -23,44 +24,17 @@ def collisions(files: DataFrame) -> DataFrame:
     return files.groupBy("rel_path").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _safe(rel_path: str) -> str:
-    parts = rel_path.replace("\\", "/").split("/")
-    if rel_path.startswith("/") or any(p in ("", ".", "..") for p in parts) or ":" in parts[0]:
-        raise ValueError(f"path leaves the vault: {rel_path!r}")
-    return "/".join(parts)
-
-
 def write_vault(files: DataFrame, root: str, folders: tuple = ("notes",)) -> None:
-    """Write (rel_path, content) rows as files under ``root``, a URI that every executor reaches.
+    """Write (rel_path, content) rows as files under ``root``, a URI that every executor reaches, all or none.
 
-    Each task writes its own rows; a file is written whole under a temporary name and then moved,
-    so a task that runs again leaves the same files. Each top folder also gets ``folders``, empty.
-    Paths that leave the vault are refused; paths written twice raise before anything is written.
+    Each top folder also gets ``folders``, empty. Paths that leave the vault are refused; paths written
+    twice raise before anything is written. See ``vault`` for what a lost task leaves: nothing.
     """
     twice = collisions(files).limit(5).collect()
     if twice:
         raise ValueError(f"written twice: {', '.join(r['rel_path'] for r in twice)}")
-
-    def put(rows):
-        import posixpath
-        import uuid
-
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root)
-        for r in rows:
-            path = f"{base.rstrip('/')}/{_safe(r['rel_path'])}"
-            store.create_dir(posixpath.dirname(path), recursive=True)
-            if "/" in r["rel_path"]:
-                for f in folders:
-                    store.create_dir(f"{base.rstrip('/')}/{_safe(r['rel_path']).split('/')[0]}/{f}", recursive=True)
-            part = f"{path}.{uuid.uuid4().hex}.part"
-            with store.open_output_stream(part) as out:
-                out.write((r["content"] or "").encode())
-            store.move(part, path)
-
-    reachable(files.sparkSession)
-    files.select("rel_path", "content").foreachPartition(put)
+    registered(files.sparkSession)
+    files.select("rel_path", "content").write.format("vault").mode("append").option("folders", ",".join(folders)).save(root)
 
 
 def zipped(files: DataFrame, folders: tuple = ("notes",)) -> DataFrame:
@@ -84,7 +58,7 @@ def zipped(files: DataFrame, folders: tuple = ("notes",)) -> DataFrame:
             for name in names:
                 z.writestr(zipfile.ZipInfo(name), "")
             for path, content in rows:
-                z.writestr(zipfile.ZipInfo(_safe(path)), content or "", zipfile.ZIP_DEFLATED)
+                z.writestr(zipfile.ZipInfo(safe_path(path)), content or "", zipfile.ZIP_DEFLATED)
         return pa.table({"folder": [top], "archive": [buf.getvalue()]})
 
     reachable(files.sparkSession)
@@ -93,10 +67,11 @@ def zipped(files: DataFrame, folders: tuple = ("notes",)) -> DataFrame:
 
 
 def save_uploads(uploads: DataFrame, root: str) -> DataFrame:
-    """(path, size, written): files of (path, content) written under ``root``, sub-paths kept.
+    """(path, size, written): files of (path, content) written under ``root``, sub-paths kept, when this is called.
 
     A file of the same size that is there already is left alone. Paths that leave the folder are
-    refused; of a path given twice the last one written stays.
+    refused; of a path given twice the last one written stays. What was done is a written table, so
+    further actions on it write nothing and report the same rows.
     """
 
     def put(batches):
@@ -110,7 +85,7 @@ def save_uploads(uploads: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             paths, data, fresh = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()], []
             for path, content in zip(paths, data, strict=True):
-                target = f"{base.rstrip('/')}/{_safe(path)}"
+                target = f"{base.rstrip('/')}/{safe_path(path)}"
                 info = store.get_file_info(target)
                 fresh.append(info.type != fs.FileType.File or info.size != len(content))
                 if fresh[-1]:
@@ -122,7 +97,7 @@ def save_uploads(uploads: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(fresh)], names=["path", "size", "written"])
 
     reachable(uploads.sparkSession)
-    return uploads.select("path", "content").mapInArrow(put, "path string, size long, written boolean")
+    return kept(uploads.select("path", "content").mapInArrow(put, "path string, size long, written boolean"), "uploads")
 
 
 def pretty_json(documents: DataFrame, key: str = "doc_id") -> DataFrame:

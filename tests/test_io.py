@@ -89,7 +89,9 @@ def test_sinks(spark, tmp_path):
 def test_uploads(spark, tmp_path):
     rows = [("a/b/x.md", bytearray(b"one")), ("y.md", bytearray(b"two")), ("a/x.md", None)]
     up = spark.createDataFrame(rows, "path string, content binary")
-    first = {r.path: r.written for r in sinks.save_uploads(up, f"file://{tmp_path}").collect()}
+    saved = sinks.save_uploads(up, f"file://{tmp_path}")
+    assert saved.where("written").count() == saved.where("written").count() == 3  # an action more writes and changes nothing
+    first = {r.path: r.written for r in saved.collect()}
     assert first == {"a/b/x.md": True, "y.md": True, "a/x.md": True} and (tmp_path / "a/b/x.md").read_bytes() == b"one"
     more = spark.createDataFrame([("y.md", bytearray(b"TWO")), ("a/b/x.md", bytearray(b"longer"))], "path string, content binary")
     assert {r.path: (r.size, r.written) for r in sinks.save_uploads(more, f"file://{tmp_path}").collect()} == {"y.md": (3, False), "a/b/x.md": (6, True)}
@@ -334,3 +336,47 @@ def test_filter_of_finished(spark, tmp_path):
     first = docs.where("doc_id % 2 = 0")
     second = docs.where("doc_id % 2 <> 0").join(first.select("source").distinct(), "source", "left_anti").select("doc_id", "source")
     assert sorted(out.collect(), key=repr) == sorted(first.union(second).collect(), key=repr)
+
+
+def test_vault_is_all_or_none(spark, tmp_path):
+    from folioforge.sources.vault import registered
+
+    def left():
+        return sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*"))
+
+    registered(spark)
+    root = f"file://{tmp_path}"
+    good = spark.range(40).selectExpr("concat('S/', id, '.md') AS rel_path", "encode(concat('é', id), 'utf-8') AS content", "id AS more").repartition(4)
+    bad = good.unionByName(spark.sql("SELECT '../x' AS rel_path, X'00' AS content, 1L AS more"))
+    with pytest.raises(Exception, match="leaves the vault"):
+        bad.write.format("vault").mode("append").save(root)
+    assert left() == []  # what other tasks had written is gone
+    ends = good.select(F.when(F.col("more") == 39, F.raise_error(F.lit("late"))).otherwise(F.col("rel_path")).alias("rel_path"), "content")
+    with pytest.raises(Exception, match="late"):
+        ends.write.format("vault").mode("append").save(root)
+    with pytest.raises(Exception, match="written twice"):
+        good.union(good).write.format("vault").mode("append").save(root)
+    with pytest.raises(Exception, match="needs the columns"):
+        spark.range(1).write.format("vault").mode("append").save(root)
+    with pytest.raises(Exception, match="mode append"):
+        good.write.format("vault").mode("overwrite").save(root)
+    assert left() == []
+    good.write.format("vault").mode("append").option("folders", "notes,z").save(root)
+    assert left() == sorted(["S", "S/notes", "S/z", *(f"S/{k}.md" for k in range(40))]) and (tmp_path / "S/7.md").read_text() == "é7"
+
+
+def test_paged_reader(spark, tmp_path):
+    items = [{"key": f"k{k}", "n": k, "data": {"title": f"T{k}", "tags": ["a", None, k]}, "w": k / 2} if k % 3 else {"n": str(k), "data": None, "key": k} for k in range(95)]
+    for start in range(0, 95, 10):
+        (tmp_path / f"p{start}-10.json").write_text(json.dumps({"total": 95, "results": items[start : start + 10]}))
+    (tmp_path / "one.json").write_text("\n".join(json.dumps(x) for x in items))
+    schema = "w double, key string, data struct<tags: array<string>, title: string>, n long, none date"
+    got = files.paged(spark, f"file://{tmp_path}/p{{start}}-{{limit}}.json", schema, limit=10, tasks=4)
+    assert got.rdd.getNumPartitions() == 4
+    want = spark.read.schema(schema.replace("n long", "n string")).json(str(tmp_path / "one.json"))
+    want = want.withColumn("n", F.when(F.col("data").isNotNull(), F.col("n").cast("long")))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    (tmp_path / "q0.json").write_text("[]")
+    assert files.paged(spark, f"file://{tmp_path}/q{{start}}.json", schema).count() == 0
+    with pytest.raises(Exception, match="schema"):
+        spark.read.format("paged_json").option("path", "x").load()
