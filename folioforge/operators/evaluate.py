@@ -145,19 +145,35 @@ def best_runs(runs: DataFrame, case: str = "case_id", order: str = "ord") -> Dat
     return ok.groupBy(case).agg(F.min_by(F.struct(*cols), rank).alias("b")).select(case, "b.*")
 
 
-def report(runs: DataFrame, best: DataFrame) -> DataFrame:
-    """(content): the Markdown report of an evaluation. Its size is that of the run table, one line a run."""
+#: What stands before the rows of a report and before its best runs.
+REPORT_HEAD = ["# evaluation matrix", "", "## Results", "", "| case | provider | model | prompt | genre | goldF1 | #gold | #pred | #unlab | #halluc | cost$ | sec | error |", "|---|---|---|---|---|---|---|---|---|---|---|---|---|"]
+REPORT_BEST = ["", "## Per-case best config", ""]
+
+
+def report_lines(runs: DataFrame, best: DataFrame) -> DataFrame:
+    """(part, case_id, ord, line): the Markdown report of an evaluation, a row a line, in the order of part, case_id, ord.
+
+    Parts: 0 head, 1 a line for each run, 2 head of the best runs, 3 a line for each of them. Lines of
+    the heads have a null case.
+    """
     dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
     zero = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
     cells = ["case_id", "chat_provider", "model", "prompt_variant"]
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.col(c).cast("string") for c in cells), F.coalesce("genre", F.lit("None")), *(dash(c) for c in ("gold_token_f1", "num_gold_sections", "num_pred_sections", "num_unlabeled", "num_hallucinated")), zero("cost_usd"), zero("latency_s"), dash("error")), F.lit(" |"))
     item = F.concat(F.lit("- **"), F.col("case_id").cast("string"), F.lit("**: `"), F.concat_ws("/", "chat_provider", "model", "prompt_variant"), F.lit("` — hallucinated="), F.col("num_hallucinated").cast("string"), F.lit(", unlabeled="), F.col("num_unlabeled").cast("string"), F.lit(", goldF1="), F.col("gold_token_f1").cast("string"))
-    fold = lambda df, order, c: df.agg(F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c.alias("_v")))), lambda x: x["_v"]), "\n"), F.lit("")).alias("t"))
-    table = fold(runs, F.struct("case_id", "ord"), row).withColumn("k", F.lit(0))
-    picks = fold(best, F.col("case_id"), item).withColumn("k", F.lit(1))
-    both = table.union(picks).agg(F.max(F.when(F.col("k") == 0, F.col("t"))).alias("rows"), F.max(F.when(F.col("k") == 1, F.col("t"))).alias("best"))
-    head = "# evaluation matrix\n\n## Results\n\n| case | provider | model | prompt | genre | goldF1 | #gold | #pred | #unlab | #halluc | cost$ | sec | error |\n|---|---|---|---|---|---|---|---|---|---|---|---|---|\n"
-    return both.select(F.concat(F.lit(head), F.col("rows"), F.lit("\n\n## Per-case best config\n\n"), F.col("best"), F.lit("\n")).alias("content"))
+    kinds = {c: runs.schema[c].dataType for c in ("case_id", "ord")}
+    heads = runs.sparkSession.createDataFrame([(p, k, t) for p, ts in ((0, REPORT_HEAD), (2, REPORT_BEST)) for k, t in enumerate(ts)], "part int, ord int, line string")
+    heads = heads.select("part", F.lit(None).cast(kinds["case_id"]).alias("case_id"), F.col("ord").cast(kinds["ord"]).alias("ord"), "line")
+    return heads.union(runs.select(F.lit(1), "case_id", "ord", row)).union(best.select(F.lit(3), "case_id", "ord", item))
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """Write the lines as text files that hold the report when read in the order of their names.
+
+    The sort is a range sort over all tasks, so neither a task nor a row holds all runs.
+    """
+    keys = ["part", F.col("case_id").asc_nulls_first(), "ord"]
+    lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("line").write.text(path)
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:

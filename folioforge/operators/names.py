@@ -16,7 +16,7 @@ from ..session import dropped, kept
 RUN = 1 << 16
 
 
-def _ranked(rows: DataFrame, keys: list, order: list, out: str, weight=None) -> DataFrame:
+def ranked(rows: DataFrame, keys: list, order: list, out: str, weight=None) -> DataFrame:
     """Adds ``out``: the sum of ``weight`` (1 for each row) over earlier rows of the same keys.
 
     Rows are sorted over all tasks by a range partition; sums of each key and partition are added up
@@ -56,7 +56,7 @@ def unique_names(df: DataFrame, stem: str, order: str, group: str) -> DataFrame:
     key, own = ["_g", "_s"], r"^(.*)_([1-9][0-9]{0,8})$"
     folder = F.coalesce(F.concat(F.lit("g"), F.col(group).cast("string")), F.lit("n"))  # null is a folder of its own
     rows = df.withColumns({"_g": folder, "_s": F.coalesce(stem, F.lit("")), "_o": F.col(order)})
-    rows = kept(_ranked(rows, key, ["_o"], "_rank"), "names")
+    rows = kept(ranked(rows, key, ["_o"], "_rank"), "names")
     stems = rows.groupBy(*key).agg(F.min("_o").alias("_first"), F.count("*").alias("_n"))
     root = F.regexp_extract("_s", own, 1)
     number = F.regexp_extract("_s", own, 2).try_cast("long")
@@ -69,7 +69,7 @@ def unique_names(df: DataFrame, stem: str, order: str, group: str) -> DataFrame:
         return rows.select(*cols, _nth(F.col("_s"), F.col("_rank") + 1).alias("name"))
     marks = pairs.select("_g", F.col("_root").alias("_s"), F.col("_first").alias("_o"), F.col("_k"), F.lit(0).alias("_row"))
     lane = rows.join(pairs.select("_g", F.col("_root").alias("_s")).distinct(), key, "left_semi").select("_g", "_s", "_o", F.lit(None).cast("long").alias("_k"), F.lit(1).alias("_row"))
-    earlier = _ranked(lane.union(marks), key, ["_o", "_row"], "_reach", F.col("_row")).where("_row = 0").select("_g", F.col("_s").alias("_root"), "_k", "_reach")
+    earlier = ranked(lane.union(marks), key, ["_o", "_row"], "_reach", F.col("_row")).where("_row = 0").select("_g", F.col("_s").alias("_root"), "_k", "_reach")
     pairs = pairs.select("_g", "_root", "_k", "_s", "_pn").join(earlier, ["_g", "_root", "_k"])
     # a stem loses its own name if its root reaches that number first: the number is then not blocked
     state = kept(pairs.withColumns({"_blocked": F.lit(False), "_lost": F.lit(False)}), "blocked")
@@ -99,7 +99,7 @@ def _round(state: DataFrame) -> DataFrame:
     Number k of a root is reached by its row k - 1 - (blocked numbers below k) - (1 if the root lost its own name),
     counted from 0; it is blocked if its own stem begins before that row, or no such row is.
     """
-    below = _ranked(state, ["_g", "_root"], ["_k"], "_below", F.col("_blocked").cast("long"))
+    below = ranked(state, ["_g", "_root"], ["_k"], "_below", F.col("_blocked").cast("long"))
     lost = below.join(_losers(state), ["_g", "_root"], "left")
     # a root that lost its own name is one name short, so each number is reached one row sooner
     reach = F.col("_k") - 1 - F.col("_below") - F.coalesce("_lost1", F.lit(0))
@@ -110,12 +110,12 @@ def _round(state: DataFrame) -> DataFrame:
 
 def _named(rows: DataFrame, state: DataFrame, cols: list) -> DataFrame:
     """The n-th row of a stem gets its n-th name that is not blocked."""
-    blocked = kept(_ranked(state.where("_blocked"), ["_g", "_root"], ["_k"], "_below").select("_g", F.col("_root").alias("_s"), (F.col("_k") - 1 - F.col("_below")).alias("_slot")), "slots")
+    blocked = kept(ranked(state.where("_blocked"), ["_g", "_root"], ["_k"], "_below").select("_g", F.col("_root").alias("_s"), (F.col("_k") - 1 - F.col("_below")).alias("_slot")), "slots")
     lost = _losers(state).withColumnRenamed("_root", "_s")
     shifted = rows.join(lost, ["_g", "_s"], "left").withColumn("_slot", F.col("_rank") + F.coalesce("_lost1", F.lit(0)))
     # blocked numbers at or below the one a row would get: those whose slot is not beyond the row's
     events = shifted.select("_g", "_s", "_slot", F.lit(1).alias("_row"), F.col("_o")).union(blocked.select("_g", "_s", "_slot", F.lit(0), F.lit(None).cast(rows.schema["_o"].dataType)))
-    counted = _ranked(events, ["_g", "_s"], ["_slot", "_row", "_o"], "_skip", 1 - F.col("_row")).where("_row = 1").select("_g", "_s", "_o", "_skip")
+    counted = ranked(events, ["_g", "_s"], ["_slot", "_row", "_o"], "_skip", 1 - F.col("_row")).where("_row = 1").select("_g", "_s", "_o", "_skip")
     both = shifted.join(counted, shifted["_g"].eqNullSafe(counted["_g"]) & (shifted["_s"] == counted["_s"]) & shifted["_o"].eqNullSafe(counted["_o"]))
     return both.select(*(shifted[c] for c in cols), _nth(shifted["_s"], shifted["_slot"] + counted["_skip"] + 1).alias("name"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cases, names, speech, workflow
+from ..operators import cases, names, packing, speech, workflow
 from ..operators import lines as L
 from ..sources import files, prompts, providers, scans, sinks
 from .evaluation import duck_nwords
@@ -41,6 +41,18 @@ def page_batches(spark, sf_dir):
     return sizes.select("doc", L.page_batches(F.transform("p", lambda x: x["size"]), 20, 200_000).alias("batches"))
 
 
+@query(
+    """WITH RECURSIVE p AS (SELECT page_id, CAST(floor(octet_length(encode(html)) * 4 / 3.0) AS BIGINT) AS size, row_number() OVER (ORDER BY page_id) AS k FROM pages),
+r AS (SELECT page_id, k, CAST(0 AS INT) AS batch, 1 AS n, size AS bytes FROM p WHERE k = 1
+ UNION ALL SELECT p.page_id, p.k, CAST(r.batch + CASE WHEN r.n >= 20 OR r.bytes + p.size > 200000 THEN 1 ELSE 0 END AS INT), CASE WHEN r.n >= 20 OR r.bytes + p.size > 200000 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 20 OR r.bytes + p.size > 200000 THEN p.size ELSE r.bytes + p.size END FROM r JOIN p ON p.k = r.k + 1)
+SELECT page_id, batch FROM r"""
+)
+def pages_packed(spark, sf_dir):
+    """All pages as one document, packed over blocks of a few dozen pages."""
+    pages = _read(spark, sf_dir, "pages").select(F.lit("all").alias("path"), F.col("page_id").alias("page_no"), F.octet_length("html").alias("size"))
+    return packing.packed_pages(pages, 20, 200_000, block=64).select(F.col("page_no").alias("page_id"), "batch")
+
+
 #: The first free name of a stem among those used before it in the folder.
 UNIQUE = """d AS (SELECT doc_id, {folder} AS folder, {stem} AS stem, row_number() OVER (PARTITION BY {folder} ORDER BY doc_id) AS k FROM documents),
 r AS (SELECT doc_id, folder, k, stem AS name, [stem] AS used FROM d WHERE k = 1
@@ -134,12 +146,13 @@ m AS (SELECT doc_id, CAST((a - 1) * 2 + b - 1 AS INT) AS ord, {CASE_MODELS}[a] A
 w AS (SELECT doc_id, {duck_nwords('text')} AS n, {duck_nwords('substr(text, 1, 2000)')} AS p FROM doc)
 SELECT m.doc_id AS case_id, ord, 'rules' AS chat_provider, model, prompt_variant, CASE WHEN m.doc_id % 17 = 5 THEN 'unreadable' END AS error,
  CASE WHEN m.doc_id % 17 <> 5 THEN 'unknown' END AS doc_type, CASE WHEN m.doc_id % 17 <> 5 THEN CAST(g.n AS INT) END AS num_gold_sections, CASE WHEN m.doc_id % 17 <> 5 THEN CAST(coalesce(k.n, 0) AS INT) END AS num_pred_sections,
- CASE WHEN m.doc_id % 17 <> 5 THEN 0 END AS num_hallucinated, CASE WHEN m.doc_id % 17 = 5 THEN 0 ELSE floor(CAST((p + w.n) * 1.3e0 / 1e6 * CASE model WHEN 'other' THEN 1.0e0 ELSE 2.0e0 END + w.n * 1.3e0 / 1e6 * CASE model WHEN 'other' THEN 3.0e0 ELSE 6.0e0 END + 0.001e0 AS DOUBLE) * 1e6 + 0.5e0) / 1e6 END AS cost_usd
+ CASE WHEN m.doc_id % 17 <> 5 THEN 0 END AS num_hallucinated, CASE WHEN m.doc_id % 17 = 5 THEN 0 ELSE floor(CAST((p + w.n) * 1.3e0 / 1e6 * CASE model WHEN 'other' THEN 1.0e0 ELSE 2.0e0 END + w.n * 1.3e0 / 1e6 * CASE model WHEN 'other' THEN 3.0e0 ELSE 6.0e0 END + 0.001e0 AS DOUBLE) * 1e6 + 0.5e0) / 1e6 END AS cost_usd,
+ true AS timed, m.doc_id % 17 = 5 AS took_no_time
 FROM m JOIN w ON w.doc_id = m.doc_id JOIN g ON g.doc_id = m.doc_id LEFT JOIN k ON k.doc_id = m.doc_id""")
 def case_runs(spark, sf_dir):
-    """Headings found by rule stand for a chat provider's plan; time taken is left out."""
+    """Headings found by rule stand for a chat provider's plan; times are told by what must hold of them."""
     results, _ = cases.run_cases(stub_cases(spark, sf_dir), {"rules": providers.get_chat_provider("rules")}, CASE_MODELS, CASE_VARIANTS, wait=0)
-    return results.select("case_id", "ord", "chat_provider", "model", "prompt_variant", "error", "doc_type", "num_gold_sections", "num_pred_sections", "num_hallucinated", "cost_usd")
+    return results.select("case_id", "ord", "chat_provider", "model", "prompt_variant", "error", "doc_type", "num_gold_sections", "num_pred_sections", "num_hallucinated", "cost_usd", F.expr("latency_s >= 0 AND latency_s < 3600 AND run_at <= current_timestamp()").alias("timed"), (F.col("latency_s").isNull() | (F.col("error") == "unreadable") & (F.col("latency_s") == 0)).alias("took_no_time")).fillna(False, ["took_no_time"])
 
 
 @query(f"{DUCK} SELECT doc_id, string_agg(concat(line_no, ': ', line), chr(10) ORDER BY line_no) FILTER (WHERE line_no <= 250) AS survey, string_agg(concat(line_no, ': ', line), chr(10) ORDER BY line_no) AS plan, '{prompts.PLAN}' || chr(10) || 'Kind of document: unknown' || chr(10) || 'Languages: en, fr' AS system FROM dec GROUP BY doc_id")
@@ -193,6 +206,26 @@ def spoken_headings(spark, sf_dir):
     return h.select("p_partkey", speech.title_case("h").alias("title"), speech.heading_norm("h").alias("norm"), speech.series_junk("h").alias("junk"))
 
 
+LINE = "CASE p_partkey % 7 WHEN 0 THEN initcap(p_name) WHEN 1 THEN concat('Department of ', p_name) WHEN 2 THEN concat(initcap(p_brand), ' University, ', p_size) WHEN 3 THEN concat(initcap(p_name), '.') WHEN 4 THEN p_brand WHEN 5 THEN concat('the school of ', p_name, ' and of many more words than a line of names would ever have in print, is it') ELSE concat(p_name, ' ', p_size) END"
+DUCK_LINE = LINE.replace("initcap(p_name)", "array_to_string(list_transform(string_split(p_name, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), ' ')").replace("initcap(p_brand)", "concat(upper(p_brand[1]), lower(p_brand[2:]))")
+_CLEAN = "regexp_replace(lower(trim({0})), '\\s+', ' ', 'g')"
+
+
+@query(f"""WITH l AS (SELECT p_partkey, trim({DUCK_LINE}) AS s, {_CLEAN.format('p_name')} AS norm, {_CLEAN.format("concat(p_name, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' ', p_type) WHEN 2 THEN ' of old' ELSE '' END)")} AS full_title FROM part),
+k AS (SELECT *, CASE WHEN p_partkey % 4 = 3 THEN string_split(full_title, ' ')[1] ELSE full_title END AS title FROM l),
+f AS (SELECT *, list_distinct({duck_words('norm')}) AS hs, list_distinct({duck_words('title')}) AS ts, regexp_matches(lower(s), 'university|school of|institute|department|college') AS place FROM k)
+SELECT p_partkey, length(s) BETWEEN 6 AND 130 AND NOT regexp_matches(s, '[.!?;:—]$') AND (NOT regexp_matches(s, '[0-9]') OR place OR regexp_matches(lower(s), 'centre|center'))
+ AND (regexp_matches(replace(replace(s, '·', ''), ',', ''), '^[A-Z][A-Za-z0-9_’''.-]*(\s+[A-Z][A-Za-z0-9_’''.-]*){{1,8}}$') OR (place AND {duck_nwords('s')} <= 14)) AS byline,
+ title <> '' AND (norm = title OR (length(title) >= 8 AND (starts_with(title, norm) OR starts_with(norm, title))) OR (len(hs) > 0 AND len(list_intersect(hs, ts)) >= 0.8 * len(hs))) AS same_title FROM f""")
+def spoken_lines(spark, sf_dir):
+    """Lines that are authors or affiliations, and headings that repeat a title more or less."""
+    p = _read(spark, sf_dir, "part")
+    p = p.selectExpr("p_partkey", f"{LINE} AS line", "p_name", "concat(p_name, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' ', p_type) WHEN 2 THEN ' of old' ELSE '' END) AS full_title")
+    p = p.withColumns({"norm": speech.heading_norm("p_name"), "full_title": speech.heading_norm("full_title")})
+    p = p.withColumn("title", F.expr("CASE WHEN p_partkey % 4 = 3 THEN split(full_title, ' ')[0] ELSE full_title END"))
+    return p.select("p_partkey", speech.byline("line").alias("byline"), speech.fuzzy_title("norm", "title").alias("same_title"))
+
+
 def scanned(spark, sf_dir):
     """(path, filename, format, content): turns of a conversation as pages of a file of some kind."""
     c = L.gathered(_read(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", "\f")

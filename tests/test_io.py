@@ -380,3 +380,16 @@ def test_paged_reader(spark, tmp_path):
     assert files.paged(spark, f"file://{tmp_path}/q{{start}}.json", schema).count() == 0
     with pytest.raises(Exception, match="schema"):
         spark.read.format("paged_json").option("path", "x").load()
+
+
+def test_report_files(spark, tmp_path):
+    from folioforge.operators import evaluate
+
+    rows = [(c, k, "p", "m", "v", "g" if k else None, None if k == 2 else 0.5, 3, 2, k, c, 0.1, 0.0, "bad" if k == 2 else None) for c in range(40) for k in range(3)]
+    schema = "case_id long, ord int, chat_provider string, model string, prompt_variant string, genre string, gold_token_f1 double, num_gold_sections int, num_pred_sections int, num_unlabeled int, num_hallucinated int, cost_usd double, latency_s double, error string"
+    runs = spark.createDataFrame(rows, schema)
+    evaluate.write_report(evaluate.report_lines(runs, evaluate.best_runs(runs)).repartition(5), str(tmp_path / "r"))
+    got = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*"))).split("\n")
+    assert got[:6] == evaluate.REPORT_HEAD and got[6] == "| 0 | p | m | v | None | 0.5 | 3 | 2 | 0 | 0 | 0.1 | 0.0 | — |"
+    assert got[8] == "| 0 | p | m | v | g | — | 3 | 2 | 2 | 0 | 0.1 | 0.0 | bad |"
+    assert got[126:129] == evaluate.REPORT_BEST and got[129] == "- **0**: `p/m/v` — hallucinated=0, unlabeled=0, goldF1=0.5" and len(got) == 6 + 120 + 3 + 40 + 1

@@ -6,7 +6,7 @@ import re
 import pytest
 from folioforge.functions import pytext as P
 from folioforge.functions import strings as S
-from folioforge.operators import article, book, chunks, evaluate, genres, names, plan, speech, workflow
+from folioforge.operators import article, book, chunks, evaluate, genres, names, packing, plan, speech, workflow
 from folioforge.operators import lines as L
 from pyspark.sql import functions as F
 
@@ -179,8 +179,8 @@ def test_unique_names(spark, pool):
 
 def test_one_mixed_root_is_spread(spark):
     """Half the rows have the root as stem, the others are its numbers; no task of the result holds more than its share."""
-    n = 60_000
-    d = spark.range(n).select(F.lit("f").alias("g"), F.col("id").alias("i"), F.expr("CASE WHEN hash(id) % 2 = 0 THEN 'a' ELSE concat('a_', pmod(xxhash64(id), 40000) + 2) END").alias("s"))
+    n = 30_000
+    d = spark.range(n).select(F.lit("f").alias("g"), F.col("id").alias("i"), F.expr("CASE WHEN hash(id) % 2 = 0 THEN 'a' ELSE concat('a_', pmod(xxhash64(id), 20000) + 2) END").alias("s"))
     old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
@@ -205,6 +205,33 @@ def test_page_batches(spark):
     assert value(spark, L.page_batches(F.array(*(F.lit(s) for s in sizes)), 5, 300)) == batches
 
 
+def test_packing_over_blocks(spark):
+    """Equal to the fold, with blocks as small as a call and with one block."""
+    rnd = random.Random(7)
+    rows = [(p, k * 3, rnd.choice([None, 0, 5, 90, 300, 1000])) for p, n in (("a", 137), ("b", 1), ("c", 40), (None, 3)) for k in range(n)]
+    rows += [("d", k, 10) for k in range(64)]
+    d = spark.createDataFrame(rows, "path string, page_no long, size long")
+
+    def fold(sizes):
+        out, n, total, batch = [], 0, 0, 0
+        for s in (int((s or 0) * 4 / 3) for s in sizes):
+            if n >= 8 or n and total + s > 700:
+                n, total, batch = 0, 0, batch + 1
+            n, total = n + 1, total + s
+            out.append(batch)
+        return out
+
+    for block in (8, 4096):
+        got = {}
+        for r in packing.packed_pages(d, 8, 700, block=block).orderBy("page_no").collect():
+            got.setdefault(r.path, []).append(r.batch)
+        assert got == {p: fold([s for q, _, s in sorted(rows, key=lambda r: r[1]) if q == p]) for p in "abcd"}
+    assert packing.packed_pages(d.limit(0)).count() == 0
+    many = spark.range(200_000).selectExpr("'x' AS path", "id AS page_no", "pmod(hash(id), 700) AS size")
+    out = packing.packed_pages(many, 8, 700, block=4096)
+    assert out.agg(F.count("*"), F.max("batch")).first() == (200_000, max(fold([r.size for r in many.orderBy("page_no").collect()])))
+
+
 def test_leaks(spark):
     text = "good\n## You transcribe document page images into markdown\nbad\n---\nall fine\n---\nSystem preamble: x"
     assert value(spark, L.without_leaks(F.lit(text))) == "good\n\n---\n\nall fine"
