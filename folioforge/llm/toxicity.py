@@ -193,16 +193,23 @@ def fit_on(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
     """``fit`` on the labelled documents of the ``fit_docs`` lowest hashes of their ids.
 
     Of an id with several labels the highest counts; rows that share an id are documents of their
-    own. Null ids and labels are passed over, null texts are empty. Ties of the hash go by id.
+    own. Null ids and labels are passed over, null texts are empty. Ties of the hash go by id, then by a hash
+    of the text. At most ``FIT_BYTES`` of texts leave the documents, whatever their lengths.
     """
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     y = y.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_docs)
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = docs.join(F.broadcast(y), "id")
-    before = Window.orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    few = rows.select("id", "text", "y", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "id", "text").limit(fit_docs)
-    few = few.withColumn("n", F.sum("n").over(before)).where(F.col("n") <= FIT_BYTES)
-    rows = few.orderBy("id", "text").select("text", F.col("y").cast("int").alias("y")).toArrow()
+    # the bounds are found on ids and lengths; only texts within them move
+    sizes = docs.join(F.broadcast(y), "id").select("id", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n"), "y")
+    order = [F.xxhash64("id"), "id", "h", "n"]
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    few = sizes.orderBy(*order).limit(fit_docs).withColumn("sum", F.sum("n").over(before)).where(F.col("sum") <= FIT_BYTES)
+    few = few.groupBy("id", "h").agg(F.first("y").alias("y"), F.count("*").alias("times"))
+    chosen = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["id", "h"])
+    # of equal rows as many as the bounds let in: each brings its text once, repeated by its count
+    chosen = chosen.groupBy("id", "h").agg(F.first("text").alias("text"), F.first("y").alias("y"), F.first("times").alias("times"))
+    rows = chosen.select("id", "text", "y", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("k"))
+    rows = rows.orderBy("id", "text").select("text", F.col("y").cast("int").alias("y")).toArrow()
     texts, toxic = rows["text"].cast("binary").to_pylist(), rows["y"].to_pylist()
     del rows
     model = fit(texts, toxic)
