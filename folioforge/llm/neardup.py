@@ -100,35 +100,41 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = sk.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("cls"), F.count("*").alias("m"))
     reps = sk.join(classes, (sk.fp == classes.fp) & (sk.id == classes.cls)).select("id", "n", "sk").dropDuplicates(["id"])
     values = sk.where("n > 0").join(classes.select(F.col("cls").alias("id")).distinct(), "id", "left_semi").select("id", "n", F.size("sk").alias("s"), F.explode("sk").alias("v"))
-    common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # counts meet their rows as written tables: a skewed key is split between two plain sides, not against an aggregate
+    common = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "common")
     listed = values.join(common, "v").groupBy("id", "n", "s").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     room = (F.col("s") - shared_at_least(F.col("s"), t) + 1 - (F.col("s") - F.size("vs"))).cast("int")
     listed = listed.where(room > 0).select("id", "n", F.explode(F.slice("vs", F.lit(1), room)).alias("x")).select("id", "n", "x.v", "x.df")
     listed = written(listed, "lists")
+    drop_written(common)
     pairs = _list_pairs(listed.where(F.col("df") <= LIST), t)
 
     hot = listed.where(F.col("df") > LIST).select("id").distinct()
     hot_sets = written(shingle_rows(docs.join(hot, "id", "left_semi"), size, K, full=True).dropDuplicates(["id"]), "hotsets")
     flat = hot_sets.select("id", "n", F.explode("sh").alias("v"))
-    rows = flat.join(flat.groupBy("v").agg(F.count("*").alias("df")), "v")
+    hot_counts = written(flat.groupBy("v").agg(F.count("*").alias("df")), "hotcounts")
+    rows = flat.join(hot_counts, "v")
     per = rows.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.avg("df").alias("mean_df"))
     prefix = (F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1).cast("int")
     prefixes = per.select("id", "n", "mean_df", F.posexplode(F.slice("vs", F.lit(1), prefix)).alias("rank", "x"))
     prefixes = written(prefixes.select("id", "n", "mean_df", "rank", "x.v"), "hotlists")
+    drop_written(hot_counts)
     length = prefixes.groupBy("v").agg(F.count("*").alias("m"), F.max_by("id", F.struct("mean_df", -F.col("id"))).alias("hub")).where("m > 1")
+    length = written(length, "lengths")
     hot_lists = prefixes.join(length, "v")
     short = hot_lists.where(F.col("m") <= LIST)
     long_ = hot_lists.where(F.col("m") > LIST)
     spokes = long_.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     pairs = written(pairs.union(_list_pairs(short, t, ranked=True)).union(spokes).distinct(), "pairs")
 
-    spent = [listed, hot_sets, prefixes, pairs]
+    spent = [listed, hot_sets, prefixes, pairs, length]
     links = written(_verified(pairs, reps, docs, size, num, den, t, spent), "links")
     comp = components(links)
     left = long_.select("v", "id", "n", "rank").join(comp.withColumnRenamed("node", "id"), "id", "left")
     left = written(left.select("v", "id", "n", "rank", F.coalesce("component", "id").alias("c")), "left")
     sizes = left.groupBy("v", "c").agg(F.count("*").alias("w"))
     main = sizes.groupBy("v").agg(F.max_by("c", F.struct("w", "c")).alias("main"), F.count("*").alias("cs")).where("cs > 1")
+    main = written(main, "main")
     minor = written(left.join(main, "v").where("c <> main").select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("c").alias("ca")), "minor")
     others = left.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("c").alias("cb"))
     shapes = minor.select("v", "na", "ra").distinct().join(others.select("v", "nb", "rb").distinct(), "v").where(_reach(t))
@@ -139,7 +145,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = _verified(rest, reps, docs, size, num, den, t, spent)
         comp = components(links.union(more))
     comp = written(comp, "components")
-    drop_written(*spent, links, left, minor, rest)
+    drop_written(*spent, links, left, main, minor, rest)
 
     per_class = classes.join(comp, F.col("cls") == F.col("node"), "left").select("fp", "m", F.coalesce("component", "cls").alias("component_id"))
     per_class = written(per_class, "classes")
