@@ -6,8 +6,8 @@ last byte and the separator is that byte; a longer record is followed by an empt
 readers pass over. The files are therefore plain concatenated gzip members in any file system that
 Spark can write, and a task that is lost and run again leaves no trace.
 
-The reader takes a file whole, so files are bounded: large pages are written apart from the others,
-with as few records in a file as their size asks for.
+Files are bounded: large pages are written apart from the others, with as few records in a file as
+their size asks for. The reader streams a file, so others may be of any length.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import bounded_batches, drop_written, written
 #: Records and bytes of payload in one archive file (one record at least).
 FILE_RECORDS, FILE_BYTES = 10_000, 1 << 30
 CHUNK = 1 << 16
+#: Schemes of stores whose files Python can open as streams.
+STREAMED = frozenset(("file", "hdfs", "s3", "s3a", "gs"))
 
 
 def _digest(data: bytes) -> str:
@@ -115,21 +117,20 @@ def _rename(spark: SparkSession, path: str) -> None:
 
 
 def records(data, chunk: int = CHUNK):
-    """(header, block) of each record of one archive, decompressing a chunk at a time.
+    """(header, block) of each record of one archive, read and decompressed a chunk at a time.
 
-    Each gzip member must hold one record: a version line, named fields, a blank line and
-    Content-Length bytes, then two line ends. ValueError where the framing is broken.
+    ``data`` is bytes or an open stream. Each gzip member must hold one record: a version line, named
+    fields, a blank line and Content-Length bytes, then two line ends. ValueError where the framing
+    is broken. No more than one record and one chunk is held.
     """
+    import io
     import zlib
 
-    view, at, left = memoryview(data), 0, b""
-    while at < len(view) or left:
+    stream, left = data if hasattr(data, "read") else io.BytesIO(data), b""
+    while left or (left := stream.read(chunk)):
         z, parts = zlib.decompressobj(31), []
         while not z.eof:
-            piece = left or bytes(view[at : at + chunk])
-            if not left:
-                at += len(piece)
-            left = b""
+            piece, left = left or stream.read(chunk), b""
             if not piece:
                 raise ValueError("archive ends within a gzip member")
             parts.append(z.decompress(piece))
@@ -151,11 +152,23 @@ def records(data, chunk: int = CHUNK):
         yield header, block
 
 
+def _opened(uri: str):
+    """A stream of a file that Spark has listed."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":  # Spark gives paths as they are, not as URIs write them
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"), compression=None)
+    store, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    return store.open_input_stream(path, compression=None)
+
+
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """(row_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of every record.
 
-    All files under ``path`` are archives, of at most 2 GB each. An archive without records, or no
-    archive, gives no rows; null and repeated ids come back as they were written.
+    All files under ``path`` are archives. Each is read as a stream by one task, whatever its length; in
+    a store that only Spark can open it is read whole and may have 2 GB. An archive without records,
+    or no archive, gives no rows; null and repeated ids come back as they were written.
 
     Block digests, and the payload digests of responses, are checked; a mismatch or broken framing
     fails the read. A revisit gives the length and digest of the payload that it stands for and no
@@ -168,9 +181,9 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
         schema = pa.schema([("row_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            for content in batch.column(0):
+            for one in batch.column(0):
                 rows, size = [], 0
-                for header, block in records(content.as_buffer()):
+                for header, block in records(_opened(one.as_py()) if streamed else one.as_buffer()):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     digest = header["warc-payload-digest"].removeprefix("sha1:")
                     if _digest(block) != header["warc-block-digest"].removeprefix("sha1:"):
@@ -188,5 +201,6 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    streamed = path.partition(":")[0] in STREAMED or path.startswith("/")
+    files = spark.read.format("binaryFile").load(path).select("path" if streamed else "content")
     return files.mapInArrow(parsed, "row_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")

@@ -13,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from folioforge.llm import boost, convtrie, htmltext, queries, resample, suffixdup
+from folioforge.llm import boost, convtrie, htmltext, queries, resample, suffixdup, warc
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from oracle import connection, same  # noqa: E402
@@ -231,3 +231,31 @@ def test_pages_with_clashing_columns(spark, trees):
     got = {r.page_id: (r.text, r.n_chars) for r in htmltext.main_text(df, trees=trees).collect()}
     assert got == {1: (f"Title of it\n{PLAIN}", len(PLAIN) + 12), None: ("", 0)}
     assert htmltext.main_text(df.limit(0), trees=trees).count() == 0
+
+
+def test_archives_are_read_as_streams(spark, tmp_path):
+    """One archive of many records, as others write them, in a reader that never sees the whole file."""
+    import gzip
+
+    class Narrow:
+        def __init__(self, data):
+            self.data, self.at, self.most = data, 0, 0
+
+        def read(self, n):
+            out, self.at = self.data[self.at : self.at + n], self.at + n
+            self.most = max(self.most, len(out))
+            return out
+
+    rows = [(k, f"u{k}", "x" * (k * 997 % 5000)) for k in range(300)]
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), "file://" + path)
+    members = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+    stream = Narrow(members)
+    assert sum(1 for _ in warc.records(stream, 512)) == sum(1 for _ in warc.records(members)) == 300 and stream.most == 512
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/a b%20c.warc.gz").write_bytes(members * 20 + gzip.compress(b""))
+    got = warc.read_warc(spark, f"file://{tmp_path}/one")
+    assert got.count() == 6000 and got.where("record_type = 'response'").selectExpr("sum(length(payload))").first()[0] == 20 * sum(len(x) for x in {h for _, _, h in rows})
+    (tmp_path / "one/cut.warc.gz").write_bytes(members[:-20])
+    with pytest.raises(Exception, match="ends within"):
+        warc.read_warc(spark, f"file://{tmp_path}/one").count()
