@@ -91,7 +91,7 @@ def save_uploads(uploads: DataFrame, root: str) -> DataFrame:
                 if fresh[-1]:
                     store.create_dir(posixpath.dirname(target), recursive=True)
                     part = f"{target}.{uuid.uuid4().hex}.part"
-                    with store.open_output_stream(part) as out:
+                    with store.open_output_stream(part, compression=None) as out:
                         out.write(content)
                     store.move(part, target)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in data], pa.int64()), pa.array(fresh)], names=["path", "size", "written"])

@@ -63,7 +63,7 @@ class _Writer(DataSourceArrowWriter):
                     if above not in made:
                         store.create_dir(f"{folder}/{above}", recursive=False)
                         made.add(above)
-                with store.open_output_stream(f"{folder}/{path}") as out:
+                with store.open_output_stream(f"{folder}/{path}", compression=None) as out:
                     out.write(content if isinstance(content, bytes) else (content or "").encode())
                 paths.append(path)
         return _Staged(folder, paths)
