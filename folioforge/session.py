@@ -38,7 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folioforge-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+        base = spark.sparkContext.getCheckpointDir()  # what later calls see
+    return re.sub("^file:/(?!/)", "file:///", base).rstrip("/")
 
 
 def hadoop_path(spark: SparkSession, path: str):
