@@ -6,10 +6,11 @@ the calls that the ledger lacks (an anti join on the digest, one call for equal
 then returns; readers and actions after that read rows. While a task calls, each reply is put into
 a journal file named by the digest as soon as it is there, so a task that is run again, or a run
 that was ended and is started again, finds the replies of the first try and pays for none twice.
-When the calls of an ``ask`` are written to the table their journal is deleted.
+When the calls of an ``ask`` are written to the table their journal files are deleted.
 
 A call that fails is a row with an error in this ``ask`` and is no entry of the ledger: the next
-``ask`` tries it again. Two copies of one task at the same time (speculation) may both make a call
+``ask`` tries it again. One ``ask`` at a time writes to a ledger: two that run at once may pay for the
+same request twice. Two copies of one task at the same time (speculation) may both make a call
 that is in neither journal nor ledger; leave ``spark.speculation`` off where calls cost money.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from ..session import dropped, exists, kept, reachable, removed, work_folder
+from ..session import dropped, exists, kept, reachable, work_folder
 from .providers import ProviderError, retried
 
 ROWS = "call string, provider string, model string, reply string, latency_s double"
@@ -76,7 +77,7 @@ class Ledger:
         made = self._called(new.select("call", "provider", "model", *parts), parts, call, attempts, wait)
         fresh = kept(made, "calls")
         fresh.where("error is null").select("call", "provider", "model", "reply", "latency_s").write.mode("append").parquet(f"{self.root}/replies")
-        removed(self.spark, f"{self.root}/journal")
+        self._settled(fresh.where("error is null").select("call"))
         own = kept(rows.select(*keys, "call"), "keys")
         failed = kept(fresh.where("error is not null").select("call", "error", "latency_s"), "failed")
         dropped(rows, fresh)
@@ -84,6 +85,21 @@ class Ledger:
         known = known.union(failed.select("call", F.lit(None).cast("string"), "error", "latency_s"))
         return own.join(known, "call", "left").select(*keys, "reply", "error", "latency_s")
 
+    def _settled(self, calls: DataFrame) -> None:
+        """Delete the journal files of calls that are in the table; those of a run that ended before stay until their request is asked again."""
+        journal = f"{self.root}/journal"
+
+        def run(rows):
+            from pyarrow import fs
+
+            store, base = fs.FileSystem.from_uri(journal)
+            for r in rows:
+                entry = f"{base}/{r['call'][:2]}/{r['call']}.json"
+                if store.get_file_info(entry).type == fs.FileType.File:
+                    store.delete_file(entry)
+
+        calls.foreachPartition(run)
+
     def _called(self, requests: DataFrame, parts: list, call, attempts: int, wait: float) -> DataFrame:
         journal = f"{self.root}/journal"
 
