@@ -45,8 +45,8 @@ def heading_paths(plan: DataFrame, key: str = "doc_id", order: str = "section_or
     return rows.withColumn("heading_path", path).drop("_l", "_t", *(f"_{c}{k}" for c in "tp" for k in (1, 2, 3)))
 
 
-def with_sections(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", deepest: int = 2, out: str = "sections") -> DataFrame:
-    """(id, text, ``out``): documents with their cut sections as one array in the order of the plan; blank ones go.
+def with_sections(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", deepest: int = 2, out: str = "sections", keep: tuple = ()) -> DataFrame:
+    """(id, text, ``keep``, ``out``): documents with their cut sections as one array in the order of the plan; blank ones go.
 
     ``out`` holds structs of the plan's fields and content. The plan travels to the texts as one array
     a document, so texts are shuffled once and sections not at all. Ranges are clamped to the
@@ -59,7 +59,7 @@ def with_sections(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text
     fields = [*first, *(c for c in fields if c not in first)]
     plans = plan.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_ps"))
     kind = plans.schema["_ps"].dataType
-    texts = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(plans, id_col, "left")
+    texts = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), *keep).join(plans, id_col, "left")
     texts = texts.withColumn("_ps", F.coalesce("_ps", F.array().cast(kind)))
 
     def body(part):
@@ -79,7 +79,7 @@ def with_sections(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text
         return F.filter(F.transform("_ps", one), lambda s: s["content"] != "")
 
     # the lines are made once a document
-    return texts.select(id_col, text_col, named(lines(text_col), cut).alias(out))
+    return texts.select(id_col, text_col, *keep, named(lines(text_col), cut).alias(out))
 
 
 def cut_sections(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", deepest: int = 2) -> DataFrame:
