@@ -25,17 +25,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        # written, as a skewed node is split between two plain sides, not against an aggregate
-        low = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "low")
+        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        large = written(large, "large")
-        least = written(large.groupBy("x").agg(F.min("y").alias("m")), "least")
+        least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x")
         star = small.where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         nxt = written(star.union(least.select("x", F.col("m").alias("y"))).distinct(), "edges")
         old, e = e, nxt
         now = _state(e)
-        drop_written(old, low, large, least)
+        drop_written(old)
         if now == state:
             break
         state = now
