@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 #: White space and line ends.
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: Signs up to U+00FF one by one and the others behind one range: two tests a sign, where ``SPACE`` takes a dozen.
+ANY_SPACE = r"[\t\n\x{b}\f\r\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
+ODD_SPACE = ANY_SPACE.replace(r"\x{20}", "")
+ODD_END = r"[\x{b}\f\r\x{1c}\x{1d}\x{1e}\x{85}\x{2028}-\x{2029}]"
 LINE_END = r"(?:\r\n|[\n-\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}])"
 
 
@@ -23,25 +28,37 @@ def sub(c, pattern: str, by: str = "") -> Column:
 
 
 def strip(c) -> Column:
-    return sub(c, rf"\A[{SPACE}]+|[{SPACE}]+\z")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def rstrip(c) -> Column:
-    return sub(c, rf"[{SPACE}]+\z")
+    return F.rtrim(col(c), F.lit(SPACES))
 
 
 def lines(c) -> Column:
     """Array of lines without their ends; an end at the end of the text opens no line."""
-    c = col(c)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(sub(c, LINE_END + r"\z"), LINE_END, -1))
+
+    def cut(c):
+        # splits at one sign are not made by the pattern engine
+        return F.when(c.rlike(ODD_END), F.split(c, LINE_END, -1)).otherwise(F.split(c, "\n", -1))
+
+    kept = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
+    return F.get(F.transform(F.transform(F.array(col(c)), cut), kept), F.lit(0))
+
+
+def _spaced(c: Column, f) -> Column:
+    """f of the text with all white space inside it as one space and none around it."""
+    one = lambda c: F.btrim(F.when(c.contains("  ") | c.rlike(ODD_SPACE), sub(c, f"{ANY_SPACE}+", " ")).otherwise(c))
+    flat = F.replace(c, F.lit("\n"), F.lit(" "))
+    return F.get(F.transform(F.transform(F.array(flat), one), f), F.lit(0))
 
 
 def words(c) -> Column:
-    return F.filter(F.split(col(c), f"[{SPACE}]+"), lambda w: w != "")
+    return _spaced(col(c), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ", -1)))
 
 
 def n_words(c) -> Column:
-    return F.size(words(c))
+    return _spaced(col(c), lambda t: F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "))) + 1))
 
 
 def any_of(patterns) -> str:

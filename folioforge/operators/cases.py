@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pytext import lines
+from ..functions.pytext import lines, n_words
 from ..functions.strings import file_slug
+from ..session import kept
 from ..sources import prompts
 from ..sources.ledger import Ledger
 from ..sources.providers import planned, profile, timed_replies
@@ -27,31 +28,35 @@ def run_cases(cases: DataFrame, chats: dict, models: list, variants: list, attem
     called: one survey and one plan for each distinct request, however often the results are read.
     """
     ledger = ledger or Ledger(cases.sparkSession)
-    runs = evaluate.run_matrix(cases, sorted(chats), models, variants)
-    ok = runs.where("error is null")
+    cases = kept(cases.select("case_id", "text", "gold", "error"), "cases")
+    matrix = lambda **made: evaluate.run_matrix(cases.withColumns(made), sorted(chats), models, variants)
     hint = {v: prompts.variant(v) for v in variants}
     pick = lambda k: F.coalesce(*(F.when(F.col("prompt_variant") == v, F.lit(hint[v][k])) for v in variants))
-    asked = ok.select(*RUN, "chat_provider", "model", pick(0).alias("system"), prompts.survey_prompt("text").alias("user"))
+    # prompts and counts are made once a case, below the matrix
+    asked = matrix(user=prompts.survey_prompt("text")).where("error is null").select(*RUN, "chat_provider", "model", pick(0).alias("system"), "user")
     survey = timed_replies(asked, chats, RUN, attempts, wait, ledger).select(*RUN, profile("reply").alias("profile"), F.col("error").alias("e1"), F.col("latency_s").alias("s1"))
-    planning = ok.join(survey.where("e1 is null"), RUN)
-    asked = planning.select(*RUN, "chat_provider", "model", prompts.plan_system("{}", F.col("profile.doc_type"), F.col("profile.languages")).alias("told"), pick(1).alias("base"), prompts.plan_prompt("text").alias("user"))
+    planning = matrix(user=prompts.plan_prompt("text")).where("error is null").drop("error").join(survey.where("e1 is null"), RUN)
+    asked = planning.select(*RUN, "chat_provider", "model", prompts.plan_system("{}", F.col("profile.doc_type"), F.col("profile.languages")).alias("told"), pick(1).alias("base"), "user")
     asked = asked.withColumn("system", F.replace("told", F.lit("{}"), F.col("base")))
-    replies = timed_replies(asked, chats, RUN, attempts, wait, ledger)
-    key = F.struct(*RUN)
-    texts = planning.join(replies.where("error is null").select(*RUN), RUN).select(key.alias("run"), "text")
+    replies = timed_replies(asked, chats, RUN, attempts, wait, ledger).withColumn("plan", F.when(F.col("error").isNull(), F.sha2("reply", 256)))
+    # each distinct plan of a case is cut and scored once, however many runs gave it
+    key = F.struct("case_id", "plan")
+    own = replies.where("plan is not null").groupBy("case_id", "plan").agg(F.min("reply").alias("reply"))
+    found = planned(own.select(key.alias("run"), "reply"), ["run"])
+    texts = own.select("case_id", "plan").join(cases.select("case_id", "text", "gold"), "case_id").select(key.alias("run"), "text", "gold")
     totals = texts.select("run", F.size(lines("text")).alias("n_lines"))
-    found = planned(replies.where("error is null").select(key.alias("run"), "reply"), ["run"])
     full = plan.gaps_filled(found, totals, "run")
-    sections = plan.cut_sections(texts, full, "run").select("run.*", "section_ord", "label", "section_id", "content")
-    inner = F.array_sort(F.collect_list(F.struct("section_ord", "label", "section_id", "content")))
-    per = sections.groupBy(*RUN).agg(inner.alias("sections"))
-    done = ok.join(survey, RUN).join(replies.select(*RUN, F.col("error").alias("e2"), F.col("latency_s").alias("s2")), RUN, "left")
-    done = done.join(per, RUN, "left").withColumn("sections", F.coalesce("sections", F.array().cast(per.schema["sections"].dataType)))
-    done = evaluate.scored_runs(done.withColumn("error", F.coalesce("e1", "e2")))
-    done = done.withColumns({"prompt_text": F.concat_ws("\n", F.substring("text", 1, 2000), "text"), "ocr_pages": page_count("text")})
-    done = evaluate.with_cost(done, output="text")
-    bad = F.col("error").isNotNull()
+    cut = plan.with_sections(texts, full, "run", keep=("gold",))
     names = ["gold_token_f1", "num_gold_sections", "num_pred_sections", "num_labeled", "num_unlabeled", "hallucinated_sections", "num_hallucinated"]
+    scored = evaluate.scored_runs(cut).select("run.*", "sections", *names)
+    parts = cut.select("run.*", F.explode("sections").alias("s"))
+    sections = replies.select(*RUN, "plan").join(parts, ["case_id", "plan"]).select(*RUN, "s.section_ord", "s.label", "s.section_id", "s.content")
+    counts = {"asked": n_words(F.concat_ws("\n", F.substring("text", 1, 2000), "text")), "told": n_words("text"), "ocr_pages": page_count("text")}
+    ok = matrix(**counts).where("error is null").drop("error", "gold")
+    done = ok.join(survey, RUN).join(replies.select(*RUN, F.col("error").alias("e2"), F.col("latency_s").alias("s2"), "plan"), RUN, "left")
+    done = done.join(scored, ["case_id", "plan"], "left").withColumn("sections", F.coalesce("sections", F.array().cast(scored.schema["sections"].dataType)))
+    done = evaluate.priced(done.withColumn("error", F.coalesce("e1", "e2")), "asked", "told")
+    bad = F.col("error").isNotNull()
     labels = F.transform("sections", lambda s: F.coalesce(F.nullif(s["label"], F.lit("")), s["section_id"]))
     row = [
         *RUN, "chat_provider", "model", "prompt_variant",
@@ -62,7 +67,7 @@ def run_cases(cases: DataFrame, chats: dict, models: list, variants: list, attem
         F.round(F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0)), 2).alias("latency_s"),
     ]
     done = done.select(*row)
-    unread = runs.where("error is not null").select(*RUN, "chat_provider", "model", "prompt_variant", "error").withColumns({"cost_usd": F.lit(0.0), "latency_s": F.lit(0.0)})
+    unread = matrix().where("error is not null").select(*RUN, "chat_provider", "model", "prompt_variant", "error").withColumns({"cost_usd": F.lit(0.0), "latency_s": F.lit(0.0)})
     return done.unionByName(unread, allowMissingColumns=True).withColumn("run_at", F.current_timestamp()), sections
 
 

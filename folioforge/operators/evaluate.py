@@ -124,9 +124,14 @@ def price_table(spark) -> DataFrame:
 
 def with_cost(runs: DataFrame, model: str = "model", prompt: str = "prompt_text", output: str = "output_text", pages: str = "ocr_pages") -> DataFrame:
     """Adds cost_usd by list price; unknown models have a default price. The price table is fixed and small."""
+    return priced(runs, n_words(prompt), n_words(output), model, pages)
+
+
+def priced(runs: DataFrame, prompt_words, output_words, model: str = "model", pages: str = "ocr_pages") -> DataFrame:
+    """``with_cost`` from numbers of words: runs of one case share their texts, which are best counted once."""
     rows = runs.join(F.broadcast(price_table(runs.sparkSession).withColumnRenamed("model", "_m")), F.col(model) == F.col("_m"), "left").drop("_m")
-    million = lambda c: n_words(c) * F.lit(1.3) / F.lit(1e6)
-    cost = million(prompt) * F.coalesce("price_in", F.lit(OTHER_PRICE[0])) + million(output) * F.coalesce("price_out", F.lit(OTHER_PRICE[1])) + F.col(pages) * F.lit(PAGE_PRICE)
+    million = lambda n: col(n) * F.lit(1.3) / F.lit(1e6)
+    cost = million(prompt_words) * F.coalesce("price_in", F.lit(OTHER_PRICE[0])) + million(output_words) * F.coalesce("price_out", F.lit(OTHER_PRICE[1])) + F.col(pages) * F.lit(PAGE_PRICE)
     return rows.withColumn("cost_usd", F.floor(cost * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).drop("price_in", "price_out")
 
 

@@ -19,16 +19,21 @@ def gaps_filled(plan: DataFrame, totals: DataFrame, key: str = "doc_id") -> Data
     """
     order = Window.partitionBy(key).orderBy("start_line", "ord")
     reach = F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    p = plan.withColumn("cursor", F.greatest(F.lit(1), F.coalesce(reach + 1, F.lit(1)))).withColumn("rank", F.row_number().over(order))
-    own = p.select(key, (2 * F.col("rank")).alias("o"), "label", "section_id", "language", "level", "start_line", "end_line", F.lit(False).alias("filler"))
-    blank = lambda rows, o, start, end, name: rows.select(key, o.alias("o"), F.lit("").alias("label"), name.alias("section_id"), F.lit("unknown").alias("language"), F.lit(1).alias("level"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.lit(True).alias("filler"))
-    at = F.concat(F.lit("unlabeled_"), F.col("cursor").cast("string"))
-    between = blank(p.where("start_line > cursor"), 2 * F.col("rank") - 1, F.col("cursor"), F.col("start_line") - 1, at)
-    ends = plan.groupBy(key).agg(F.greatest(F.lit(1), F.max("end_line") + 1).alias("cursor"))
-    tails = totals.join(ends, key, "left")
-    tail = blank(tails.where("cursor <= n_lines"), F.lit(1 << 30), F.col("cursor"), F.col("n_lines"), at)
-    alone = blank(tails.where("cursor is null"), F.lit(0), F.lit(1), F.col("n_lines"), F.lit("body"))
-    rows = own.union(between).union(tail).union(alone)
+    p = plan.withColumns({"reach": reach, "rank": F.row_number().over(order), "last": F.lead(F.lit(False), 1, True).over(order)})
+    rows = p.join(totals.select(key, "n_lines"), key, "full")
+    fields = ("label", "section_id", "language", "level", "start_line", "end_line")
+    kinds = [plan.schema[c].dataType for c in fields]
+    piece = lambda o, values, filler: F.struct(o.cast("int").alias("o"), *(v.cast(t).alias(c) for c, t, v in zip(fields, kinds, values, strict=True)), F.lit(filler).alias("filler"))
+    blank = lambda o, start, end, name: F.array(piece(o, (F.lit(""), name, F.lit("unknown"), F.lit(1), start, end), True))
+    after = lambda c: F.greatest(F.lit(1), F.coalesce(c + 1, F.lit(1)))
+    at = lambda c: F.concat(F.lit("unlabeled_"), c.cast("string"))
+    cursor, end = after(F.col("reach")), after(F.greatest("reach", "end_line"))
+    between = F.when(F.col("start_line") > cursor, blank(2 * F.col("rank") - 1, cursor, F.col("start_line") - 1, at(cursor)))
+    tail = F.when(F.col("last") & (end <= F.col("n_lines")), blank(F.lit(1 << 30), end, F.col("n_lines"), at(end)))
+    own = F.array(piece(2 * F.col("rank"), [F.col(c) for c in fields], False))
+    alone = blank(F.lit(0), F.lit(1), F.col("n_lines"), F.lit("body"))
+    parts = F.when(F.col("rank").isNull(), alone).otherwise(F.flatten(F.array_compact(F.array(between, own, tail))))
+    rows = rows.select(key, F.explode(parts).alias("s")).select(key, "s.*")
     return rows.withColumn("section_ord", F.row_number().over(Window.partitionBy(key).orderBy("o"))).drop("o")
 
 

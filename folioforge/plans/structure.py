@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pytext import lines
 from ..operators import article, book, genres, plan, render, workflow
-from ..session import kept
-from .fixture import DUCK, DUCK_BOOK, book_texts, decorated, decorated_lines, texts_of
+from .fixture import DUCK, DUCK_BOOK, book_texts, decorated, decorated_docs, texts_of
 from .registry import registry
 from .text import DUCK_APA, DUCK_INITIALS, DUCK_SLUG, GOOD, STUB_DUCK, duck_plain, duck_windows, duck_words, duck_yaml, stub_metadata
 
@@ -38,12 +37,21 @@ sections AS (SELECT doc_id, section_ord, label, CASE WHEN section_id = '' THEN c
   SELECT doc_id, section_ord, label, section_id, language, level, {DUCK_TRIM.format("string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT (r = 1 AND regexp_matches(trim(line), '^#{1,6}\\s+\\S')))")} AS content FROM sl GROUP BY ALL) WHERE content <> '')"""
 
 
-def plan_of(dec):
-    return dec.sparkSession.sql(f"WITH dec AS (SELECT * FROM {{x}}), {STUB_PLAN} SELECT * FROM plan", x=dec)
+def plan_of(docs):
+    """The rows of STUB_PLAN for (doc_id, lines)."""
+    heads = F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda h: h["line"].rlike("^#{1,3} "))
+    h = docs.select("doc_id", F.size("lines").alias("n_lines"), heads.alias("heads"))
+    h = h.select("doc_id", "n_lines", "heads", F.posexplode("heads").alias("k", "h")).withColumn("ord", F.col("k") + 1)
+    end = F.coalesce(F.get("heads", F.col("ord"))["line_no"] - 1, F.col("n_lines")) + F.when(F.col("ord") % 5 == 0, 2).otherwise(0)
+    tongue = F.element_at(F.array(*map(F.lit, ("both", "English", "isiXhosa", "unknown"))), F.col("ord") % 4 + 1)
+    return h.where("ord % 3 <> 2").select(
+        "doc_id", "ord", F.regexp_replace("h.line", "^#+ *", "").alias("label"), F.lit("").alias("section_id"), tongue.alias("language"),
+        F.length(F.regexp_extract("h.line", "^#+", 0)).alias("level"), F.col("h.line_no").alias("start_line"), end.alias("end_line"),
+    )
 
 
 def stub_plan(spark, sf_dir):
-    return plan_of(decorated_lines(spark, sf_dir))
+    return plan_of(decorated_docs(spark, sf_dir))
 
 
 def totals(spark, sf_dir):
@@ -100,7 +108,7 @@ SELECT doc_id, position, concat(doc_id, '_', printf('%04d', position)) AS chunk_
 
 @query(duck_chunks(60, 48))
 def structured_chunks(spark, sf_dir):
-    made = kept(decorated_lines(spark, sf_dir), "lines")  # the fixture is made once, for the plan and for the texts
+    made = decorated_docs(spark, sf_dir)
     return workflow.structured(texts_of(made), plan_of(made), window=60, overlap=12)[1]
 
 
