@@ -89,6 +89,9 @@ def invented_labels(labels: DataFrame, headings: DataFrame, case: str = "case_id
     """
     said = labels.where("label is not null").select(case, "label", heading_key("label").alias("key")).distinct()
     heads = headings.where("heading is not null").select(case, heading_key("heading").alias("key")).distinct()
+    # a label that is a heading is settled; only the others and the headings of their cases are indexed
+    said = kept(said.join(heads, [case, "key"], "left_anti"), "said")
+    heads = kept(heads.join(said.select(case).distinct(), case, "left_semi"), "headings")
     known = held_keys(said, heads, case).select(case, F.col("inner").alias("key")).union(held_keys(heads, said, case).select(case, F.col("outer")))
     some = heads.select(case).distinct()
     known = known.union(said.where("key = ''").select(case, "key").join(some, case, "left_semi"))
