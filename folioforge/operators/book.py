@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pytext import lines, n_words, strip, sub
 from ..functions.strings import book_slug
+from ..session import kept
 
 #: Headings before and after the chapters of a book, as patterns.
 FRONT = [
@@ -136,7 +137,8 @@ def contents_index(chapters: DataFrame, key: str = "doc_id") -> DataFrame:
 def book_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str = "filename") -> DataFrame:
     """(id, rel_path, content): the files of each book."""
     rows = book_lines(docs, id_col, text_col)
-    ch, frame = book_chapters(rows, id_col), book_frame(rows, id_col)
+    # several files are made of each
+    ch, frame = kept(book_chapters(rows, id_col), "chapters"), kept(book_frame(rows, id_col), "frames")
     stem = sub(F.element_at(F.split(F.col(name_col), "[/\\\\]"), -1), r"(?<=.)\.[^.]*$")
     one = lambda df, path, content: df.select(id_col, path.alias("rel_path"), content.alias("content"))
     title = F.concat(F.lit("---\ntitle: "), stem, F.lit("\nsource_file: "), F.col(name_col), F.lit("\n---\n# "), stem, F.lit("\n"))
