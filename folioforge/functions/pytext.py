@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 #: White space and line ends.
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Signs up to U+00FF one by one and the others behind one range: two tests a sign, where ``SPACE`` takes a dozen.
-ANY_SPACE = r"[\t\n\x{b}\f\r\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
-ODD_SPACE = ANY_SPACE.replace(r"\x{20}", "")
+#: White space but the blank: signs up to U+00FF one by one and the others behind one range, two tests a sign where ``SPACE`` takes a dozen.
+ODD_SPACE = r"[\t\n\x{b}\f\r\x{1c}\x{1d}\x{1e}\x{1f}\x{85}\x{a0}[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
 ODD_END = r"[\x{b}\f\r\x{1c}\x{1d}\x{1e}\x{85}\x{2028}-\x{2029}]"
 LINE_END = r"(?:\r\n|[\n-\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}])"
 
@@ -46,19 +45,19 @@ def lines(c) -> Column:
     return F.get(F.transform(F.transform(F.array(col(c)), cut), kept), F.lit(0))
 
 
-def _spaced(c: Column, f) -> Column:
-    """f of the text with all white space inside it as one space and none around it."""
-    one = lambda c: F.btrim(F.when(c.contains("  ") | c.rlike(ODD_SPACE), sub(c, f"{ANY_SPACE}+", " ")).otherwise(c))
-    flat = F.replace(c, F.lit("\n"), F.lit(" "))
-    return F.get(F.transform(F.transform(F.array(flat), one), f), F.lit(0))
+def words(c) -> Column:
+    """The words of a text; a split at one sign is not made by the pattern engine, and the empty pieces go."""
+    even = bound(F.replace(col(c), F.lit("\n"), F.lit(" ")), lambda t: F.when(t.rlike(ODD_SPACE), sub(t, ODD_SPACE, " ")).otherwise(t))
+    return F.array_remove(F.split(even, " ", -1), "")
 
 
-def words(c) -> Column:
-    return _spaced(col(c), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ", -1)))
+def spaced(c) -> Column:
+    """All white space inside the text as one space and none around it."""
+    return F.array_join(words(c), " ")
 
 
 def n_words(c) -> Column:
-    return _spaced(col(c), lambda t: F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "))) + 1))
+    return F.array_size(words(c))
 
 
 def any_of(patterns) -> str:
@@ -81,6 +80,11 @@ def rewritten(c, pattern: str, replace) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.when(x["f"].isNull(), "").otherwise(replace(x["i"], x["f"])))), "")
 
 
+def bound(value: Column, f) -> Column:
+    """f(value): the value is made once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def named(value: Column, f) -> Column:
     """f(value) where f gives an array: the value is made once, however often f uses it."""
     return F.flatten(F.transform(F.array(value), f))

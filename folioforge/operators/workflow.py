@@ -22,12 +22,11 @@ def parse_standard(docs: DataFrame, headings: DataFrame, id_col: str = "doc_id",
 
 def structured(docs: DataFrame, plans: DataFrame, id_col: str = "doc_id", text_col: str = "text", window=300, overlap=50) -> tuple[DataFrame, DataFrame]:
     """(sections, chunks) by a section plan, gaps filled; heading paths are section id and label."""
-    totals = docs.select(id_col, F.size(lines(F.coalesce(text_col, F.lit("")))).alias("n_lines"))
     keep = ()
     if isinstance(window, Column):  # sizes by row travel with the rows
         docs, keep = docs.withColumns({"_size": window, "_shared": overlap}), ("_size", "_shared")
         window, overlap = F.col("_size"), F.col("_shared")
-    rows = plan.with_sections(docs, plan.gaps_filled(plans, totals, id_col), id_col, text_col, out="_sections", keep=keep)
+    rows = plan.with_sections(docs, plans, id_col, text_col, out="_sections", keep=keep, gaps=True)
     paths = F.transform("_sections", lambda s: s.withField("heading_path", F.array(s["section_id"], s["label"])))
     rows = rows.withColumn("_sections", paths)
     return _exploded(rows, id_col), chunks.chunked(rows, "_sections", id_col, text_col, window, overlap)

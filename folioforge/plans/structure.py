@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.pytext import lines
+from ..functions.pytext import lines, named
 from ..operators import article, book, genres, plan, render, workflow
 from .fixture import DUCK, DUCK_BOOK, book_texts, decorated, decorated_docs, texts_of
 from .registry import registry
@@ -40,9 +40,10 @@ sections AS (SELECT doc_id, section_ord, label, CASE WHEN section_id = '' THEN c
 def plan_of(docs):
     """The rows of STUB_PLAN for (doc_id, lines)."""
     heads = F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda h: h["line"].rlike("^#{1,3} "))
-    h = docs.select("doc_id", F.size("lines").alias("n_lines"), heads.alias("heads"))
-    h = h.select("doc_id", "n_lines", "heads", F.posexplode("heads").alias("k", "h")).withColumn("ord", F.col("k") + 1)
-    end = F.coalesce(F.get("heads", F.col("ord"))["line_no"] - 1, F.col("n_lines")) + F.when(F.col("ord") % 5 == 0, 2).otherwise(0)
+    # each head with the line of the next one; the outer form spares the filter that would make the heads twice
+    heads = named(heads, lambda hs: F.transform(hs, lambda h, i: h.withField("next", F.get(hs, i + 1)["line_no"])))
+    h = docs.select("doc_id", F.size("lines").alias("n_lines"), F.posexplode_outer(heads).alias("k", "h")).where("k is not null").withColumn("ord", F.col("k") + 1)
+    end = F.coalesce(F.col("h.next") - 1, F.col("n_lines")) + F.when(F.col("ord") % 5 == 0, 2).otherwise(0)
     tongue = F.element_at(F.array(*map(F.lit, ("both", "English", "isiXhosa", "unknown"))), F.col("ord") % 4 + 1)
     return h.where("ord % 3 <> 2").select(
         "doc_id", "ord", F.regexp_replace("h.line", "^#+ *", "").alias("label"), F.lit("").alias("section_id"), tongue.alias("language"),
