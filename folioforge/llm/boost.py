@@ -12,16 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fit(rows: DataFrame, rounds: int = 12, depth: int = 4, step: float = 0.3, seed: int = 7) -> list | None:
-    """Trees for rows (x array<double>, y int 0/1); None where a class is missing."""
+def fit(rows: DataFrame, rounds: int = 12, depth: int = 4, step: float = 0.3, seed: int = 7, weight: str | None = None) -> list | None:
+    """Trees for rows (x array<double>, y int 0/1), ``weight`` names a column of how often each counts; None where a class is missing."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg((F.sum(weight) if weight else F.count("*")).alias("n")).collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < 5:
         return None
-    data = rows.select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"))
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, maxBins=32).fit(data)
+    data = rows.select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"), *([F.col(weight).cast("double").alias("weight")] if weight else []))
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, maxBins=32, **({"weightCol": "weight"} if weight else {})).fit(data)
     return parsed(model.toDebugString)
 
 

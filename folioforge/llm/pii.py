@@ -2,10 +2,10 @@
 
 Base spans of a kind are the leftmost non-overlapping matches of its pattern that pass a check.
 High-recall patterns propose further candidates; boosted trees over format and context features,
-fitted on a bounded sample in which a candidate is positive where it is what its kind asks for
-(``_is``), whether or not a base pattern finds it, score them. The sample holds its texts twice, the
+fitted on the candidates of all texts, of which one is positive where it is what its kind asks for
+(``_is``), whether or not a base pattern finds it, score them. The fit takes each text twice, the
 second time with known spans rewritten in other signs and spellings, which are labelled by the same rule.
-Candidates at or over a threshold calibrated for precision on held-out sample rows join the base spans. A kind with too few of either
+Candidates at or over a threshold calibrated for precision on held-out documents join the base spans. A kind with too few of either
 class, or no threshold, selects by ``_is`` itself. All are Catalyst expressions over the text column.
 
 The patterns are written so that no text makes them recurse or rescan: runs are possessive, and a
@@ -54,8 +54,7 @@ REWRITTEN = (
 )
 NEEDS = {"email": "@|\\(at\\)|\\[at\\]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 HINTS = {"email": "mail|contact|write to", "ip": "ip|host|server|addr", "card": "card|visa|credit|debit|account", "phone": r"\b(?:tele|cell)?phone|\btel|\bcall|\bmobile|\bfax|\bwhatsapp"}
-#: Documents of the fitting sample, lowest hashes first, and the precision asked of a threshold.
-SAMPLE_DOCS = 3000
+#: The precision asked of a threshold.
 PRECISION = 0.98
 SPAN = "struct<s:bigint,e:bigint,m:string,b:string,a:string>"
 
@@ -177,34 +176,41 @@ def _overlaps(spans: Column, c: Column) -> Column:
     return F.exists(spans, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
 
 
-def fitted(df: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> dict:
-    """kind -> (trees, threshold), from at most ``sample_docs`` documents; trees are None where ``_is`` selects."""
-    few = df.where(F.col("_text").rlike("[0-9@]")).select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
-    # written, so that the documents are read once for it and not once a kind
-    sample = written(df.join(F.broadcast(few.distinct()), "_id", "left_semi").select("_id", "_text"), "piisample")
+def candidates(df: DataFrame) -> DataFrame:
+    """(kind, x, y, held, n): the candidates of all texts, as they stand and rewritten, counted by features, label and side.
+
+    One pass over the texts. Outer explodes spare the filters that would match every text once more.
+    """
     other = F.col("_text")
     for pattern, by in REWRITTEN:
         other = F.regexp_replace(other, pattern, by)
-    again = sample.select("_id", "_text", other.alias("_other")).where("_other <> _text").select("_id", F.col("_other").alias("_text"))
-    rows = _matched(sample.union(again), WIDE, "w")
+    texts = df.where(F.col("_text").rlike("[0-9@]")).select("_id", "_text", other.alias("_other"))
+    both = F.when(F.col("_other") != F.col("_text"), F.array("_text", "_other")).otherwise(F.array("_text"))
+    rows = _matched(texts.select("_id", F.explode_outer(both).alias("_text")), WIDE, "w")
     tagged = lambda k: F.transform(_spans(k, "w", lambda m: F.lit(True)), lambda c: F.struct(F.lit(k).alias("kind"), c.alias("c")))
     spans = F.concat(*map(tagged, KINDS))
-    rows = rows.select("_id", F.explode(spans).alias("x")).select("_id", "x.kind", "x.c")
+    rows = rows.select("_id", F.explode_outer(spans).alias("x")).where("x is not null").select("_id", "x.kind", "x.c")
     by_kind = lambda f: F.coalesce(*(F.when(F.col("kind") == k, f(k)) for k in KINDS))
     data = rows.select("kind", by_kind(lambda k: F.array(*_features(k, F.col("c")))).alias("x"), F.coalesce(by_kind(lambda k: _is(k, F.col("c"))), F.lit(False)).cast("int").alias("y"), (F.pmod(F.xxhash64("_id", F.lit("held")), F.lit(4)) == 0).alias("held"))
-    data = data.cache()
+    return data.groupBy("kind", "x", "y", "held").agg(F.count("*").alias("n"))
+
+
+def fitted(df: DataFrame, precision: float = PRECISION) -> dict:
+    """kind -> (trees, threshold), from the candidates of all documents; trees are None where ``_is`` selects."""
+    # written, so that the documents are read once and not once a kind and round
+    data = written(candidates(df), "piifit")
     out = dict.fromkeys(KINDS, (None, None))
     try:
-        have = {(r["kind"], r["y"]): r["n"] for r in data.groupBy("kind", "y").agg(F.count("*").alias("n")).collect()}
+        have = {(r["kind"], r["y"]): r["n"] for r in data.groupBy("kind", "y").agg(F.sum("n").alias("n")).collect()}
         for k in KINDS:
             if min(have.get((k, 0), 0), have.get((k, 1), 0)) < 20:
                 continue
             own = data.where(F.col("kind") == k)
-            trees = boost.fit(own.where("not held"), rounds=8, depth=3)
+            trees = boost.fit(own.where("not held"), rounds=8, depth=3, weight="n")
             if not trees:
                 continue
             p = boost.as_sql(trees, [F.col("x")[i] for i in range(len(_features(k, F.struct(F.lit("").alias("m"), F.lit("").alias("b"), F.lit("").alias("a")))))])
-            held = own.where("held").select((F.floor(p * 100) / 100).alias("p"), "y").groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).orderBy(F.desc("p")).collect()
+            held = own.where("held").select((F.floor(p * 100) / 100).alias("p"), "y", "n").groupBy("p").agg(F.sum(F.col("y") * F.col("n")).alias("pos"), F.sum("n").alias("n")).orderBy(F.desc("p")).collect()
             threshold, pos, n = None, 0, 0
             for r, under in zip(held, [*(r["p"] + 0.01 for r in held[1:]), 0.0], strict=True):
                 pos, n = pos + r["pos"], n + r["n"]
@@ -213,8 +219,7 @@ def fitted(df: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRE
             if threshold is not None:
                 out[k] = (trees, max(threshold, 0.5))
     finally:
-        data.unpersist()
-        drop_written(sample)
+        drop_written(data)
     return out
 
 
