@@ -55,6 +55,11 @@ def invented(labels, headings) -> Column:
 GRAM = 3
 
 
+def _met(left: DataFrame, right: DataFrame, on: list, how: str = "inner") -> DataFrame:
+    """A join by shuffle, never by broadcast: pieces of keys take hundreds of times the room of the compressed files by which Spark would judge them."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def _grams(key: Column, size: int) -> Column:
     """Distinct pieces of ``size`` characters."""
     most = F.length(key) - size + 1
@@ -73,10 +78,10 @@ def held_keys(inner: DataFrame, outer: DataFrame, case: str = "case_id") -> Data
     lists = kept(other.select(case, F.col("key").alias("outer"), F.explode(F.concat(*(_grams(F.col("key"), k) for k in sizes))).alias("gram")), "lists")
     counts = lists.groupBy(case, "gram").agg(F.count("*").alias("n"))
     pieces = F.coalesce(*(F.when(F.length("key") == k, _grams(F.col("key"), k)) for k in sizes[:-1]), _grams(F.col("key"), GRAM))
-    asked = own.select(case, F.col("key").alias("inner"), F.explode(pieces).alias("gram")).join(counts, [case, "gram"], "left")
+    asked = _met(own.select(case, F.col("key").alias("inner"), F.explode(pieces).alias("gram")), counts, [case, "gram"], "left")
     probe = asked.groupBy(case, "inner").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     probe = kept(probe.where("missing = 0").select(case, "inner", "gram"), "probes")
-    return probe.join(lists, [case, "gram"]).where(F.col("outer").contains(F.col("inner"))).select(case, "inner", "outer")
+    return _met(probe, lists, [case, "gram"]).where(F.col("outer").contains(F.col("inner"))).select(case, "inner", "outer")
 
 
 def invented_labels(labels: DataFrame, headings: DataFrame, case: str = "case_id") -> DataFrame:
@@ -90,14 +95,14 @@ def invented_labels(labels: DataFrame, headings: DataFrame, case: str = "case_id
     said = labels.where("label is not null").select(case, "label", heading_key("label").alias("key")).distinct()
     heads = headings.where("heading is not null").select(case, heading_key("heading").alias("key")).distinct()
     # a label that is a heading is settled; only the others and the headings of their cases are indexed
-    said = kept(said.join(heads, [case, "key"], "left_anti"), "said")
-    heads = kept(heads.join(said.select(case).distinct(), case, "left_semi"), "headings")
+    said = kept(_met(said, heads, [case, "key"], "left_anti"), "said")
+    heads = kept(_met(heads, said.select(case).distinct(), [case], "left_semi"), "headings")
     known = held_keys(said, heads, case).select(case, F.col("inner").alias("key")).union(held_keys(heads, said, case).select(case, F.col("outer")))
     some = heads.select(case).distinct()
-    known = known.union(said.where("key = ''").select(case, "key").join(some, case, "left_semi"))
+    known = known.union(_met(said.where("key = ''").select(case, "key"), some, [case], "left_semi"))
     free = heads.where("key = ''").select(case).distinct()
-    rest = said.join(free, case, "left_anti")
-    return rest.join(known.distinct(), [case, "key"], "left_anti").select(case, "label")
+    rest = _met(said, free, [case], "left_anti")
+    return _met(rest, known.distinct(), [case, "key"], "left_anti").select(case, "label")
 
 
 def scored_runs(runs: DataFrame, gold_col: str = "gold", sections_col: str = "sections") -> DataFrame:
